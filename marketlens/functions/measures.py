@@ -22,8 +22,8 @@ SPANS = {
 }
 
 
-def order_measures() -> list[Column]:
-    """Aggregates over orders. Unused ones are pruned by the optimizer."""
+def order_measures(*spans: str) -> list[Column]:
+    """Aggregates over orders: counts, lateness and the named spans."""
     late = F.col("is_late")
     late_delay = F.when(late, F.col("delay_days"))
     measures = [
@@ -33,21 +33,17 @@ def order_measures() -> list[Column]:
         F.sum(late_delay).alias("late_delay"),
         F.count(late_delay).alias("n_late_delay"),
     ]
-    for name, (start, end) in SPANS.items():
-        span = micros_between(start, end)
+    for name in spans:
+        span = micros_between(*SPANS[name])
         measures += [exact_sum(span).alias(f"us_{name}"), F.count(span).alias(f"n_{name}")]
     return measures
 
 
-MEASURE_NAMES = [
-    "n_orders", "n_late", "n_flagged", "late_delay", "n_late_delay",
-    *(f"{kind}_{name}" for name in SPANS for kind in ("us", "n")),
-]
-
-
-def resum() -> list[Column]:
-    """Sum pre-aggregated measures up to a coarser grain."""
-    return [F.sum(name).alias(name) for name in MEASURE_NAMES]
+def resum(*spans: str) -> list[Column]:
+    """Sum pre-aggregated measures up to a coarser grain. Unused ones are pruned by the optimizer."""
+    names = ["n_orders", "n_late", "n_flagged", "late_delay", "n_late_delay"]
+    names += [f"{kind}_{span}" for span in spans for kind in ("us", "n")]
+    return [F.sum(name).alias(name) for name in names]
 
 
 def average_days(span: str) -> Column:

@@ -86,10 +86,10 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
 
 def clean_tables(raw: RawTables) -> Tables:
     return Tables(
-        orders=clean_orders(raw.orders),
-        customers=missing_to_null(raw.customers),
-        order_items=clean_order_items(raw.order_items),
-        products=clean_products(raw.products, raw.category_translation),
-        sellers=missing_to_null(raw.sellers),
-        reviews=clean_reviews(raw.reviews),
+        orders=lambda: clean_orders(raw.orders),
+        customers=lambda: missing_to_null(raw.customers),
+        order_items=lambda: clean_order_items(raw.order_items),
+        products=lambda: clean_products(raw.products, raw.category_translation),
+        sellers=lambda: missing_to_null(raw.sellers),
+        reviews=lambda: clean_reviews(raw.reviews),
     )

@@ -69,16 +69,16 @@ def category_orders(t: Tables, broadcast_bytes: int = BROADCAST_BYTES) -> DataFr
     )
 
 
-def state_measures(t: Tables) -> DataFrame:
+def state_measures(t: Tables, *spans: str) -> DataFrame:
     """Delivery measures per customer state, of delivered orders with a known delivery time.
 
     Summed per customer record before the join, so both of its sides have unique keys.
     """
-    per_customer = t.orders.filter(delivered_with_evidence()).groupBy("customer_id").agg(*order_measures())
+    per_customer = t.orders.filter(delivered_with_evidence()).groupBy("customer_id").agg(*order_measures(*spans))
     return (
         per_customer.join(t.customers.select("customer_id", "customer_state"), "customer_id")
         .groupBy("customer_state")
-        .agg(*resum())
+        .agg(*resum(*spans))
     )
 
 

@@ -15,6 +15,9 @@ from marketlens.schema import DELIVERED, PURCHASED, Tables
 # Fixed value: states with fewer delivered orders are not reported.
 MIN_STATE_ORDERS = 100
 
+STAGE_SPANS = ("pre_carrier", "transit", "actual")
+PROMISE_SPANS = ("promised", "actual", "buffer")
+
 
 def overall(
     t: Tables,
@@ -24,7 +27,7 @@ def overall(
     """Delivery speed and lateness in one row."""
     orders = t.orders.filter(delivery.delivered_with_evidence())
     middle = middle_sum(orders.select(delivery.micros_between(PURCHASED, DELIVERED).alias("span")), "span")
-    return orders.agg(*order_measures()).select(
+    return orders.agg(*order_measures("actual")).select(
         F.col("n_orders").alias(count_name),
         average_days("actual").alias("avg_delivery_days"),
         ratio2(middle.scalar(), F.lit(2 * MICROS_PER_DAY).cast("decimal(20,0)")).alias("median_delivery_days"),
@@ -53,15 +56,15 @@ def bands(t: Tables) -> DataFrame:
     )
 
 
-def states(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFrame:
+def states(t: Tables, min_orders: int, *spans: str) -> DataFrame:
     """Measures of the states with enough delivered orders."""
-    return state_measures(t).filter(F.col("n_orders") >= min_orders)
+    return state_measures(t, *spans).filter(F.col("n_orders") >= min_orders)
 
 
 def state_performance(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFrame:
     """Speed and lateness per state, highest late rate first."""
     return (
-        states(t, min_orders)
+        states(t, min_orders, "actual")
         .select(
             "customer_state",
             F.col("n_orders").alias("delivered_orders"),
@@ -76,7 +79,7 @@ def state_performance(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFram
 def stages(t: Tables) -> DataFrame:
     """Average days before the carrier, in transit and in total."""
     orders = t.orders.filter(delivery.delivered_with_stages())
-    return orders.agg(*order_measures()).select(
+    return orders.agg(*order_measures(*STAGE_SPANS)).select(
         average_days("pre_carrier").alias("avg_pre_carrier_days"),
         average_days("transit").alias("avg_transit_days"),
         average_days("actual").alias("avg_total_delivery_days"),
@@ -88,7 +91,7 @@ def stage_by_lateness(t: Tables) -> DataFrame:
     return (
         t.orders.filter(delivery.delivered_with_stages())
         .groupBy(delivery.late_label().alias("delivery_status"))
-        .agg(*order_measures())
+        .agg(*order_measures(*STAGE_SPANS))
         .select(
             "delivery_status",
             F.col("n_orders").alias("orders"),
@@ -106,7 +109,7 @@ def stage_late_vs_ontime(t: Tables) -> DataFrame:
 def promise_by_state(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFrame:
     """Promised against actual days per state, longest promise first."""
     return (
-        states(t, min_orders)
+        states(t, min_orders, *PROMISE_SPANS)
         .select(
             "customer_state",
             F.col("n_orders").alias("delivered_orders"),
@@ -121,7 +124,7 @@ def promise_by_state(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFrame
 
 def state_priority(t: Tables, min_orders: int = MIN_STATE_ORDERS) -> DataFrame:
     """Rate, volume and promise of every state side by side, in no order."""
-    return states(t, min_orders).select(
+    return states(t, min_orders, *PROMISE_SPANS).select(
         "customer_state",
         F.col("n_orders").alias("delivered_orders"),
         F.col("n_late").alias("late_orders"),

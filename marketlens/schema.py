@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from typing import Self
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -85,23 +86,37 @@ COLUMN_TYPES: dict[str, dict[str, T.DataType]] = {
 }
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The six cleaned tables every analysis and mart reads."""
+    """The six cleaned tables every analysis and mart reads, as attributes.
 
-    orders: DataFrame
-    customers: DataFrame
-    order_items: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    reviews: DataFrame
+    A table may be given as a function; it is then built when it is first asked for, so a
+    query over two tables does not open the other four.
+    """
+
+    NAMES = LOAD_ORDER
+
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        if set(sources) != set(self.NAMES):
+            raise TypeError(f"expected the tables {', '.join(self.NAMES)}")
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in type(self).NAMES:
+            raise AttributeError(name)
+        source = self._sources[name]
+        if callable(source):
+            source = self._sources[name] = source()
+        return source
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in self.NAMES}
+
+    def replacing(self, **sources: DataFrame | Callable[[], DataFrame]) -> Self:
+        """The same tables with some exchanged."""
+        return type(self)(**{**self._sources, **sources})
 
 
-@dataclass(frozen=True)
 class RawTables(Tables):
     """The seven tables as delivered, before cleaning."""
 
-    category_translation: DataFrame
+    NAMES = RAW_TABLES

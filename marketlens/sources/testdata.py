@@ -31,8 +31,23 @@ SHIFT_DAYS = 8036
 UNTRANSLATED = ("Brand#7", "Brand#13")
 
 
+# Declared types of the columns used, so that opening a table needs no look into its files.
+COLUMNS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_shipdate timestamp_ntz"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "supplier": "s_suppkey bigint",
+    "events": "event_id bigint, ts timestamp_ntz, event_type string, value double, props string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _later(start: Column, key: Column, factor: int, span_seconds: int) -> Column:
@@ -155,13 +170,13 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     return RawTables(
-        orders=raw_orders(spark, sf_dir),
-        customers=raw_customers(spark, sf_dir),
-        order_items=raw_order_items(spark, sf_dir),
-        products=raw_products(spark, sf_dir),
-        sellers=raw_sellers(spark, sf_dir),
-        reviews=raw_reviews(spark, sf_dir),
-        category_translation=raw_category_translation(spark, sf_dir),
+        orders=lambda: raw_orders(spark, sf_dir),
+        customers=lambda: raw_customers(spark, sf_dir),
+        order_items=lambda: raw_order_items(spark, sf_dir),
+        products=lambda: raw_products(spark, sf_dir),
+        sellers=lambda: raw_sellers(spark, sf_dir),
+        reviews=lambda: raw_reviews(spark, sf_dir),
+        category_translation=lambda: raw_category_translation(spark, sf_dir),
     )
 
 
@@ -169,32 +184,36 @@ def _as_text(moment: Column) -> Column:
     return F.substring(moment.cast("string"), 1, 19)
 
 
-def delivered_texts(raw: RawTables) -> RawTables:
-    """The raw tables as a file would deliver them: timestamps as text, some of them unreadable."""
+def _order_texts(orders: DataFrame) -> DataFrame:
     key = F.col("order_id")
-    orders = raw.orders.withColumns({c: _as_text(F.col(c)) for c in ORDER_TIMESTAMPS})
-    orders = orders.withColumn(
-        CARRIER,
+    texts = {c: _as_text(F.col(c)) for c in ORDER_TIMESTAMPS}
+    texts[CARRIER] = (
         F.when(key % 41 == 0, F.lit("junk"))
-        .when(key % 43 == 0, F.substring(CARRIER, 1, 10))
+        .when(key % 43 == 0, F.substring(texts[CARRIER], 1, 10))
         .when(key % 47 == 0, F.lit("NA"))
-        .otherwise(F.col(CARRIER)),
-    )
-    items = raw.order_items.withColumn(
-        "shipping_limit_date",
-        F.when(key % 53 == 0, F.lit("2017-02-30 10:00:00")).otherwise(_as_text(F.col("shipping_limit_date"))),
+        .otherwise(texts[CARRIER])
     )
-    reviews = raw.reviews.withColumns({c: _as_text(F.col(c)) for c in REVIEW_TIMESTAMPS})
-    return RawTables(**{**raw.as_dict(), "orders": orders, "order_items": items, "reviews": reviews})
+    return orders.withColumns(texts)
 
 
-def processed_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The cleaned tables as a published copy would hold them, without any join or action.
+def _item_texts(items: DataFrame) -> DataFrame:
+    limit = _as_text(F.col("shipping_limit_date"))
+    impossible = F.lit("2017-02-30 10:00:00")
+    return items.withColumn("shipping_limit_date", F.when(F.col("order_id") % 53 == 0, impossible).otherwise(limit))
 
-    ``clean_tables(raw_tables(..))`` gives the same rows; there the category needs a join.
-    """
+
+def delivered_texts(raw: RawTables) -> RawTables:
+    """The raw tables as a file would deliver them: timestamps as text, some of them unreadable."""
+    return raw.replacing(
+        orders=lambda: _order_texts(raw.orders),
+        order_items=lambda: _item_texts(raw.order_items),
+        reviews=lambda: raw.reviews.withColumns({c: _as_text(F.col(c)) for c in REVIEW_TIMESTAMPS}),
+    )
+
+
+def processed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.col("product_category_name")
-    products = raw_products(spark, sf_dir).select(
+    return raw_products(spark, sf_dir).select(
         "product_id",
         brand,
         F.col("product_name_lenght").alias("product_name_length"),
@@ -204,11 +223,18 @@ def processed_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .otherwise(F.lit(UNKNOWN_CATEGORY))
         .alias("product_category"),
     )
+
+
+def processed_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The cleaned tables as a published copy would hold them, without any join or action.
+
+    ``clean_tables(raw_tables(..))`` gives the same rows; there the category needs a join.
+    """
     return Tables(
-        orders=clean_orders(raw_orders(spark, sf_dir)),
-        customers=raw_customers(spark, sf_dir),
-        order_items=clean_order_items(raw_order_items(spark, sf_dir)),
-        products=products,
-        sellers=raw_sellers(spark, sf_dir),
-        reviews=raw_reviews(spark, sf_dir),
+        orders=lambda: clean_orders(raw_orders(spark, sf_dir)),
+        customers=lambda: raw_customers(spark, sf_dir),
+        order_items=lambda: clean_order_items(raw_order_items(spark, sf_dir)),
+        products=lambda: processed_products(spark, sf_dir),
+        sellers=lambda: raw_sellers(spark, sf_dir),
+        reviews=lambda: raw_reviews(spark, sf_dir),
     )
