@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Each level reads 20 more bits of the value, so a level has at most 2^20 buckets per rank;
-# spans between two timestamps (59 bits) fill 2^19 buckets of the first level at most.
-LEVEL_SHIFTS = (40, 20, 0)
+# A bucket of the first level is 2^36 microseconds (19 hours) wide: spans between any two
+# timestamps (59 bits) fill at most 2^23 buckets, those of ten years fewer than 5,000. Each
+# deeper level cuts one bucket into 2^18.
+LEVEL_SHIFTS = (36, 18, 0)
 
 
 def middle_sum(values: DataFrame, column: str) -> DataFrame:
