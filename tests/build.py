@@ -1,0 +1,54 @@
+"""Small hand-made tables."""
+
+from pyspark.sql import functions as F
+
+from marketlens.operators import clean
+from marketlens.schema import APPROVED, CARRIER, DELIVERED, ESTIMATED, PURCHASED, Tables
+
+ORDER_SCHEMA = (
+    f"order_id string, customer_id string, order_status string, {PURCHASED} string, {APPROVED} string, "
+    f"{CARRIER} string, {DELIVERED} string, {ESTIMATED} string"
+)
+ITEM_SCHEMA = (
+    "order_id string, order_item_id int, product_id string, seller_id string, shipping_limit_date string, "
+    "price decimal(12,2), freight_value decimal(12,2)"
+)
+
+
+def order(order_id, purchased="2017-01-01 00:00:00", delivered=None, estimated=None, *, status="delivered",
+          customer=None, approved=None, carrier=None):
+    return (order_id, customer or f"c-{order_id}", status, purchased, approved, carrier, delivered, estimated)
+
+
+def item(order_id, price, *, number=1, product="p1", seller="s1", freight="1.00"):
+    from decimal import Decimal
+
+    money = None if price is None else Decimal(price)
+    return (order_id, number, product, seller, "2017-01-05 00:00:00", money, Decimal(freight))
+
+
+def tables(spark, orders=(), items=(), customers=(), products=(), sellers=(), reviews=()):
+    """Cleaned tables; ``products`` are (id, category), ``reviews`` (id, order, score)."""
+    raw_orders = spark.createDataFrame(list(orders), ORDER_SCHEMA)
+    return Tables(
+        orders=clean.clean_orders(raw_orders),
+        order_items=clean.clean_order_items(spark.createDataFrame(list(items), ITEM_SCHEMA)),
+        customers=spark.createDataFrame(
+            list(customers), "customer_id string, customer_unique_id string, customer_state string"
+        ),
+        products=spark.createDataFrame(list(products), "product_id string, product_category string"),
+        sellers=spark.createDataFrame([(s,) for s in sellers], "seller_id string"),
+        reviews=spark.createDataFrame(list(reviews), "review_id string, order_id string, review_score int"),
+    )
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def row_dicts(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def values(df, column):
+    return [r[0] for r in df.select(F.col(column)).collect()]
