@@ -2,6 +2,7 @@
 
 Facts are brought to the grain of the join key before they are joined: the shuffle then
 carries combined rows and a key that holds a large part of the rows arrives as one row.
+Amounts are carried in hundredths.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.delivery import delivered, delivered_with_evidence
+from marketlens.functions.exact import cents_sum
 from marketlens.functions.measures import order_measures, resum
 from marketlens.operators.lookup import BROADCAST_BYTES, broadcast_join, fits_broadcast, spread_join
 from marketlens.schema import Tables
@@ -18,9 +20,9 @@ from marketlens.schema import Tables
 def item_totals(order_items: DataFrame) -> DataFrame:
     """One row per order that has items."""
     return order_items.groupBy("order_id").agg(
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight_value"),
-        F.sum("item_total_value").alias("item_total_value"),
+        cents_sum(F.col("price")).alias("price_cents"),
+        cents_sum(F.col("freight_value")).alias("freight_cents"),
+        cents_sum(F.col("item_total_value")).alias("total_cents"),
     )
 
 
@@ -33,8 +35,8 @@ def seller_orders(order_items: DataFrame) -> DataFrame:
     """One row per seller and order."""
     return order_items.groupBy("seller_id", "order_id").agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight_value"),
+        cents_sum(F.col("price")).alias("price_cents"),
+        cents_sum(F.col("freight_value")).alias("freight_cents"),
     )
 
 
@@ -46,27 +48,18 @@ def category_orders(t: Tables, broadcast_bytes: int = BROADCAST_BYTES) -> DataFr
     """
     products = t.products.select("product_id", "product_category")
     items = t.order_items.filter(F.col("product_id").isNotNull())
+    lines = [
+        F.count(F.lit(1)).alias("items"),
+        cents_sum(F.col("price")).alias("price_cents"),
+        F.count("price").alias("priced_items"),
+    ]
     if fits_broadcast(products, broadcast_bytes):
-        lines = items.select(
-            "order_id",
-            "product_id",
-            F.lit(1).alias("items"),
-            "price",
-            F.col("price").isNotNull().cast("int").alias("priced_items"),
-        )
-        categorised = broadcast_join(lines, products, "product_id", "inner")
+        categorised = broadcast_join(items, products, "product_id", "inner")
     else:
-        lines = items.groupBy("order_id", "product_id").agg(
-            F.count(F.lit(1)).alias("items"),
-            F.sum("price").alias("price"),
-            F.count("price").alias("priced_items"),
-        )
-        categorised = spread_join(lines, products, "product_id", "inner", piece_on=["order_id"])
-    return categorised.groupBy("order_id", "product_category").agg(
-        F.sum("items").alias("items"),
-        F.sum("price").alias("price"),
-        F.sum("priced_items").alias("priced_items"),
-    )
+        per_product = items.groupBy("order_id", "product_id").agg(*lines)
+        categorised = spread_join(per_product, products, "product_id", "inner", piece_on=["order_id"])
+        lines = [F.sum(name).alias(name) for name in ("items", "price_cents", "priced_items")]
+    return categorised.groupBy("order_id", "product_category").agg(*lines)
 
 
 def state_measures(t: Tables, *spans: str) -> DataFrame:

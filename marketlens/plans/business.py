@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.exact import growth2, mean2, pct2
+from marketlens.functions.exact import exact_sum, growth2, mean2, mean_money2, money, pct2
 from marketlens.operators.grains import delivered_sales
 from marketlens.schema import PURCHASED, Tables
 
@@ -46,12 +46,13 @@ def status_share(t: Tables) -> DataFrame:
 def delivered_overview(t: Tables) -> DataFrame:
     """Sales of delivered orders in one row."""
     orders = F.count_distinct("order_id")
+    merchandise = exact_sum(F.col("price_cents"))
     return delivered_sales(t).agg(
         orders.alias("delivered_orders"),
-        F.sum("price").alias("merchandise_gmv"),
-        F.sum("freight_value").alias("freight_revenue"),
-        F.sum("item_total_value").alias("gross_order_value"),
-        mean2(F.sum("price"), orders).alias("merchandise_aov"),
+        money(merchandise).alias("merchandise_gmv"),
+        money(exact_sum(F.col("freight_cents"))).alias("freight_revenue"),
+        money(exact_sum(F.col("total_cents"))).alias("gross_order_value"),
+        mean_money2(merchandise, orders).alias("merchandise_aov"),
     )
 
 
@@ -62,7 +63,7 @@ def monthly_sales(t: Tables, within: Column | None = None) -> DataFrame:
         sales = sales.filter(within)
     return sales.groupBy(F.trunc(PURCHASED, "MM").alias("month")).agg(
         F.count_distinct("order_id").alias("orders"),
-        F.sum("price").alias("merchandise_gmv"),
+        money(exact_sum(F.col("price_cents"))).alias("merchandise_gmv"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import delivery
-from marketlens.functions.exact import mean2, pct2
+from marketlens.functions.exact import exact_sum, mean2, money, pct2
 from marketlens.operators.grains import delivered_sales
 from marketlens.plans import business, experience, fulfillment, operations
 from marketlens.schema import PURCHASED, Tables
@@ -27,7 +27,7 @@ def executive_kpis(t: Tables) -> DataFrame:
         delivered_sales(t)
         .agg(
             F.count_distinct("order_id").alias("delivered_orders"),
-            F.sum("price").alias("merchandise_gmv"),
+            money(exact_sum(F.col("price_cents"))).alias("merchandise_gmv"),
         )
         .select(
             total.scalar().alias("total_orders"),

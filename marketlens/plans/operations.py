@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.delivery import delivered, delivered_with_evidence, micros_between
-from marketlens.functions.exact import exact_sum, mean2
+from marketlens.functions.exact import exact_sum, mean2, money
 from marketlens.functions.measures import average_days, late_rate
 from marketlens.operators.grains import category_orders, seller_orders
 from marketlens.schema import DELIVERED, PURCHASED, Tables
@@ -31,7 +31,7 @@ def _risk_measures() -> list[Column]:
     """Aggregates over one row per group and order."""
     return [
         F.count(F.lit(1)).alias("n_orders"),
-        F.sum("price").alias("merchandise_gmv"),
+        money(exact_sum(F.col("price_cents"))).alias("merchandise_gmv"),
         F.count_if("is_late").alias("n_late"),
         F.count("is_late").alias("n_flagged"),
         exact_sum(F.col("_span")).alias("us_actual"),
@@ -48,8 +48,8 @@ def top_sellers(t: Tables, top: int = TOP) -> DataFrame:
         .agg(
             F.count_distinct("order_id").alias("orders"),
             F.sum("items").alias("items_sold"),
-            F.sum("price").alias("merchandise_gmv"),
-            F.sum("freight_value").alias("freight_value"),
+            money(exact_sum(F.col("price_cents"))).alias("merchandise_gmv"),
+            money(exact_sum(F.col("freight_cents"))).alias("freight_value"),
         )
         .withColumn("gmv_per_order", mean2(F.col("merchandise_gmv"), F.col("orders")))
         .orderBy(F.desc_nulls_first("merchandise_gmv"), "seller_id")
@@ -90,7 +90,7 @@ def top_categories(t: Tables, top: int = TOP) -> DataFrame:
         .agg(
             F.count_distinct("order_id").alias("orders"),
             F.sum("items").alias("items_sold"),
-            F.sum("price").alias("merchandise_gmv"),
+            money(exact_sum(F.col("price_cents"))).alias("merchandise_gmv"),
             F.sum("priced_items").alias("_priced"),
         )
         .select(
