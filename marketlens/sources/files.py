@@ -1,8 +1,8 @@
 """CSV and parquet readers and writers.
 
 Text files are read without type inference, which would scan them an extra time. Only tables
-with free text may hold line breaks inside quotes; all others stay splittable, so a large
-file is read by many tasks.
+with free text may hold line breaks inside quotes. Spark reads such a file in one task, so
+files longer than one split take the way of ``records``; all other tables are split anyway.
 """
 
 from __future__ import annotations
@@ -15,14 +15,23 @@ from pyspark.sql import types as T
 
 from marketlens.functions.text import cast_known, missing_to_null
 from marketlens.schema import COLUMN_TYPES, LOAD_ORDER, RAW_TABLES, RawTables, Tables
+from marketlens.sources.records import largest_file, read_split_csv
 
 MULTILINE_TABLES = frozenset({"reviews"})
+ONE_TASK_BYTES = 128 * 1024 * 1024
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv_table(spark: SparkSession, table: str, path: str) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession, table: str, path: str, one_task_bytes: int = ONE_TASK_BYTES
+) -> DataFrame:
     """One table as text columns, with missing-value texts as NULL."""
-    df = spark.read.csv(path, multiLine=table in MULTILINE_TABLES, **CSV_OPTIONS)
+    if table not in MULTILINE_TABLES:
+        df = spark.read.csv(path, **CSV_OPTIONS)
+    elif largest_file(spark, path) <= one_task_bytes:
+        df = spark.read.csv(path, multiLine=True, **CSV_OPTIONS)
+    else:
+        df = read_split_csv(spark, path, CSV_OPTIONS)
     return missing_to_null(df)
 
 

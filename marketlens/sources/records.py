@@ -1,0 +1,91 @@
+"""CSV records with line breaks inside quotes, read from files of any size by many tasks.
+
+A line begins a record when the number of quotes before it in its file is even. Quotes are
+counted per split first; a small table with one row per split then tells each split whether
+it begins inside quotes and how many records begin before it. Only records of several lines
+are brought together. Files must quote every field that holds a quote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+SPLIT = ("_file", "_block")
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file, without reading any."""
+    sizes = spark.read.format("binaryFile").load(path)
+    return sizes.agg(F.max("length").alias("bytes")).first()["bytes"] or 0
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place in the split and the state of the quotes, as if it began outside quotes."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes"),
+    )
+    # a split is at most spark.sql.files.maxPartitionBytes long
+    in_split = Window.partitionBy(*SPLIT).orderBy("_line")
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = (F.sum("_quotes").over(so_far) - F.col("_quotes")) % 2
+    return (
+        lines.withColumn("_inside", inside)
+        .withColumn("_begins_0", F.count_if(F.col("_inside") == 0).over(so_far))
+        .withColumn("_begins_1", F.count_if(F.col("_inside") == 1).over(so_far))
+        .withColumn("_first", (F.col("_block") == 0) & (F.row_number().over(in_split) == 1))
+    )
+
+
+def _split_states(lines: DataFrame) -> DataFrame:
+    """Per split: whether it begins inside quotes, and the records that begin before it."""
+    splits = lines.groupBy(*SPLIT).agg(
+        F.sum("_quotes").alias("_quotes"),
+        F.count_if(F.col("_inside") == 0).alias("_n0"),
+        F.count_if(F.col("_inside") == 1).alias("_n1"),
+    )
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        splits.withColumn("_open", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
+        .withColumn("_n", F.when(F.col("_open") == 0, F.col("_n0")).otherwise(F.col("_n1")))
+        .withColumn("_records_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select(*SPLIT, "_open", "_records_before")
+    )
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """One text column ``record`` per CSV record, without the header line of each file."""
+    lines = _lines(spark, path)
+    placed = (
+        lines.join(_split_states(lines), list(SPLIT))
+        .withColumn("_begins", F.col("_inside") == F.col("_open"))
+        .withColumn(
+            "_record",
+            F.col("_records_before")
+            + F.when(F.col("_open") == 0, F.col("_begins_0")).otherwise(F.col("_begins_1")),
+        )
+        .filter(~F.col("_first"))
+    )
+    complete = F.col("_begins") & (F.col("_quotes") % 2 == 0)
+    single = placed.filter(complete).select(F.col("value").alias("record"))
+    ordered = F.array_sort(F.collect_list(F.struct("_block", "_line", "value")))
+    joined = (
+        placed.filter(~complete)
+        .groupBy("_file", "_record")
+        .agg(F.array_join(F.transform(ordered, lambda line: line["value"]), "\n").alias("record"))
+        .select("record")
+    )
+    return single.unionByName(joined).select(F.regexp_replace("record", "\r$", "").alias("record"))
+
+
+def read_split_csv(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """The columns of a CSV table as text."""
+    names = spark.read.csv(path, **options).columns
+    schema = ", ".join(f"`{name}` STRING" for name in names)
+    parse_options = {key: value for key, value in options.items() if key != "header"}
+    records = read_records(spark, path).filter(F.col("record") != "")
+    return records.select(F.from_csv("record", schema, parse_options).alias("row")).select("row.*")

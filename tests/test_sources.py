@@ -1,5 +1,7 @@
 """Files, published tables and views."""
 
+import random
+
 import pytest
 from build import item, order, rows, tables
 
@@ -35,6 +37,31 @@ def test_quoted_text_with_line_breaks_stays_one_record(spark, tmp_path):
     assert list(got["r3"])[2:] == [3, None, None, None]
 
 
+@pytest.mark.parametrize("split_bytes", [40, 97, 1000])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_long_files_are_split_between_and_within_records(spark, tmp_path, split_bytes, line_end):
+    rng = random.Random(split_bytes)
+    for part in range(3):
+        lines = ["review_id,order_id,review_score,review_comment_message"]
+        for n in range(60):
+            words = [rng.choice(["a", "bb, c", 'q""q', "\n", "\n\n", ""]) for _ in range(rng.randrange(6))]
+            text = "".join(words)
+            quoted = f'"{text}"' if set(text) & set('\n,"') or rng.random() < 0.3 else text
+            lines.append(f"r{part}-{n},o{n},{n % 5},{quoted}")
+        with open(tmp_path / f"part-{part}.csv", "w", encoding="utf-8", newline="") as out:
+            out.write(line_end.join(lines) + (line_end if part else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    expected = sorted(map(repr, rows(files.read_csv_table(spark, "reviews", str(tmp_path)))))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{split_bytes}b")
+        df = files.read_csv_table(spark, "reviews", str(tmp_path), one_task_bytes=0)
+        got = sorted(map(repr, rows(df)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 180 and got == expected
+    assert df.columns == ["review_id", "order_id", "review_score", "review_comment_message"]
+
+
 def test_delivered_files_may_have_other_names(spark, tmp_path):
     for table in RAW_TABLES:
         write(tmp_path / f"x_{table}.csv", "order_id,other\n1,a\n")
