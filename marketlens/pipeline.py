@@ -1,0 +1,58 @@
+"""From delivered files to marts: profile, clean, validate, publish."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import SparkSession
+
+from marketlens.operators.clean import clean_tables
+from marketlens.operators.quality import validate
+from marketlens.plans import marts
+from marketlens.schema import RawTables, Tables
+from marketlens.session import scratch_folder
+from marketlens.sources import files
+
+
+def prepare(spark: SparkSession, raw: RawTables) -> Tables:
+    """Clean and validate; raises before anything is exported.
+
+    The cleaned tables are written once to the shared scratch folder: the checks then read key
+    columns instead of parsing all text again, and a lost executor costs no second cleaning.
+    """
+    staged = scratch_folder(spark, "cleaned")
+    files.write_processed(clean_tables(raw), staged)
+    tables = files.read_processed(spark, staged)
+    validate(tables)
+    return tables
+
+
+def run(
+    spark: SparkSession,
+    raw_folder: str,
+    out_folder: str,
+    *,
+    file_names: Mapping[str, str] | None = None,
+    fmt: str = "parquet",
+    database: str | None = None,
+    buckets: int | None = None,
+    mode: str = "overwrite",
+) -> dict[str, int]:
+    """Process delivered files and return the published rows per table.
+
+    Below ``out_folder`` come ``processed`` (cleaned tables in ``fmt``) and ``marts``; the tables
+    are published to the catalog ``database`` or, without one, to ``published``. The marts are
+    registered as views over the published tables.
+    """
+    tables = prepare(spark, files.read_raw(spark, raw_folder, file_names))
+    files.write_processed(tables, f"{out_folder}/processed", fmt)
+    if database is None:
+        folder = f"{out_folder}/published"
+        written = files.publish(tables, folder=folder, mode=mode)
+        published = files.read_processed(spark, folder)
+    else:
+        written = files.publish(tables, database=database, mode=mode, buckets=buckets)
+        published = files.read_published(spark, database)
+    marts.register_views(published)
+    marts.write_marts(published, f"{out_folder}/marts")
+    return written

@@ -45,8 +45,10 @@ def write_csv_table(df: DataFrame, path: str) -> None:
     """One table as CSV with a header and without an index.
 
     Empty text is written quoted, NULL as nothing, so the two stay apart for other readers.
+    Timestamps are written in the layout the cleaning step reads.
     """
-    df.write.mode("overwrite").csv(path, nullValue="", emptyValue='""', **CSV_OPTIONS)
+    texts = {f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
+    df.withColumns(texts).write.mode("overwrite").csv(path, nullValue="", emptyValue='""', **CSV_OPTIONS)
 
 
 def write_processed(tables: Tables, folder: str, fmt: str = "parquet") -> None:

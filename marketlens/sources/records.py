@@ -62,7 +62,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = _lines(spark, path)
     placed = (
         lines.join(_split_states(lines), list(SPLIT))
-        .withColumn("_begins", F.col("_inside") == F.col("_open"))
+        .withColumn("_begins", (F.col("_inside") + F.col("_open")) % 2 == 0)
         .withColumn(
             "_record",
             F.col("_records_before")

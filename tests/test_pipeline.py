@@ -1,0 +1,57 @@
+"""The whole way from delivered text files to marts."""
+
+import pytest
+from build import rows
+
+from marketlens import __main__ as command_line
+from marketlens import pipeline
+from marketlens.operators.quality import DataQualityError
+from marketlens.plans import marts
+from marketlens.plans.profiles import PROFILES
+from marketlens.sources import files, testdata
+
+
+@pytest.fixture(scope="module")
+def raw_folder(spark, small_dir, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("raw")
+    raw = testdata.raw_tables(spark, small_dir)
+    for name, df in raw.as_dict().items():
+        files.write_csv_table(df, f"{folder}/{name}.csv")
+    return str(folder)
+
+
+def test_delivered_files_become_the_same_marts(spark, small_dir, raw_folder, tmp_path):
+    written = pipeline.run(spark, raw_folder, str(tmp_path), fmt="csv")
+    expected = testdata.processed_tables(spark, small_dir)
+    assert written == {name: df.count() for name, df in expected.as_dict().items()}
+    for name in ("vw_executive_kpis", "vw_monthly_business", "vw_delivery_customer_experience"):
+        df = marts.MARTS[name](expected)
+        for got in (spark.table(name), spark.read.parquet(f"{tmp_path}/marts/{name}")):
+            assert sorted(map(repr, rows(got.select(*df.columns)))) == sorted(map(repr, rows(df)))
+    assert files.read_processed(spark, f"{tmp_path}/processed", "csv").orders.count() == written["orders"]
+
+
+def test_broken_files_are_not_exported(spark, raw_folder, tmp_path):
+    raw = files.read_raw(spark, raw_folder)
+    doubled = raw.replacing(sellers=raw.sellers.union(raw.sellers))
+    with pytest.raises(DataQualityError, match="sellers.seller_id is unique"):
+        pipeline.prepare(spark, doubled)
+    files.write_csv_table(raw.order_items.limit(0), f"{tmp_path}/empty.csv")
+    assert rows(files.read_csv_table(spark, "order_items", f"{tmp_path}/empty.csv")) == []
+
+
+def test_profiles_run_on_delivered_text(spark, raw_folder):
+    raw = files.read_raw(spark, raw_folder)
+    for name, profile in PROFILES.items():
+        assert profile(raw).columns, name
+    assert {r["table_name"] for r in PROFILES["profile_tables"](raw).collect()} == set(raw.as_dict())
+
+
+def test_command_line(spark, raw_folder, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(command_line, "build_session", lambda master: spark)
+    command_line.main(["run", raw_folder, str(tmp_path)])
+    assert "order_items" in capsys.readouterr().out
+    command_line.main(["query", f"{tmp_path}/published", "vw_order_status"])
+    assert "delivered" in capsys.readouterr().out
+    command_line.main(["profile", raw_folder, "profile_shape", "--file", "orders=orders.csv"])
+    assert "order_purchase_timestamp" in capsys.readouterr().out
