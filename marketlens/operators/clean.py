@@ -1,4 +1,7 @@
-"""Cleaning: typing, derived columns and categories, one lazy function per table."""
+"""Cleaning: typing, derived columns and categories, one lazy function per table.
+
+Missing values are NULL already: the readers of text files see to that.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import delivery
 from marketlens.functions.exact import MICROS_PER_DAY, MICROS_PER_HOUR
-from marketlens.functions.text import cast_known, missing_to_null, parse_timestamps
+from marketlens.functions.text import cast_known, parse_timestamps
 from marketlens.operators.lookup import lookup_join
 from marketlens.schema import (
     APPROVED,
@@ -27,7 +30,7 @@ UNKNOWN_CATEGORY = "unknown"
 
 def clean_orders(raw: DataFrame) -> DataFrame:
     """Type the lifecycle timestamps, add status flags, durations and the late flag."""
-    typed = parse_timestamps(missing_to_null(raw), ORDER_TIMESTAMPS)
+    typed = parse_timestamps(raw, ORDER_TIMESTAMPS)
     return typed.withColumns(
         {
             "is_delivered": delivery.has_status(delivery.STATUS_DELIVERED),
@@ -42,7 +45,7 @@ def clean_orders(raw: DataFrame) -> DataFrame:
 
 def clean_order_items(raw: DataFrame) -> DataFrame:
     """Type the shipping limit and the money columns, add the total value of the item."""
-    typed = cast_known(parse_timestamps(missing_to_null(raw), ITEM_TIMESTAMPS), COLUMN_TYPES["order_items"])
+    typed = cast_known(parse_timestamps(raw, ITEM_TIMESTAMPS), COLUMN_TYPES["order_items"])
     return typed.withColumn("item_total_value", F.col("price") + F.col("freight_value"))
 
 
@@ -75,21 +78,21 @@ def fill_category(products: DataFrame) -> DataFrame:
 
 
 def clean_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
-    typed = cast_known(missing_to_null(raw), COLUMN_TYPES["products"])
-    return fill_category(translate_category(rename_products(typed), missing_to_null(translation)))
+    typed = cast_known(raw, COLUMN_TYPES["products"])
+    return fill_category(translate_category(rename_products(typed), translation))
 
 
 def clean_reviews(raw: DataFrame) -> DataFrame:
     """Type the review timestamps and the score."""
-    return cast_known(parse_timestamps(missing_to_null(raw), REVIEW_TIMESTAMPS), COLUMN_TYPES["reviews"])
+    return cast_known(parse_timestamps(raw, REVIEW_TIMESTAMPS), COLUMN_TYPES["reviews"])
 
 
 def clean_tables(raw: RawTables) -> Tables:
     return Tables(
         orders=lambda: clean_orders(raw.orders),
-        customers=lambda: missing_to_null(raw.customers),
+        customers=lambda: raw.customers,
         order_items=lambda: clean_order_items(raw.order_items),
         products=lambda: clean_products(raw.products, raw.category_translation),
-        sellers=lambda: missing_to_null(raw.sellers),
+        sellers=lambda: raw.sellers,
         reviews=lambda: clean_reviews(raw.reviews),
     )

@@ -50,76 +50,50 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _later(start: Column, key: Column, factor: int, span_seconds: int) -> Column:
-    """A time up to span_seconds after start, fixed by the key."""
-    return F.timestamp_add("SECOND", (key * F.lit(factor)) % F.lit(span_seconds), start)
+# Every column may use those above it; ``key`` is the order key.
+ORDER_COLUMNS = (
+    "o_orderkey AS order_id",
+    "o_orderkey AS customer_id",
+    f"CASE WHEN key % 1009 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN '{delivery.STATUS_DELIVERED}' "
+    f"WHEN o_orderstatus = 'O' THEN 'shipped' ELSE '{delivery.STATUS_CANCELED}' END AS order_status",
+    f"timestampadd(SECOND, key * 7919 % 86400, day) AS {PURCHASED}",
+    f"CASE WHEN key % 97 <> 0 THEN timestampadd(SECOND, key * 104729 % 172800, {PURCHASED}) END AS {APPROVED}",
+    f"CASE WHEN o_orderstatus <> 'P' AND key % 89 <> 0 THEN "
+    f"timestampadd(SECOND, key * 15485863 % 432000, coalesce({APPROVED}, {PURCHASED})) END AS {CARRIER}",
+    f"CASE WHEN o_orderstatus = 'F' AND key % 50 <> 7 THEN timestampadd(SECOND, key * 32452843 % 1900800, "
+    f"coalesce({CARRIER}, {APPROVED}, {PURCHASED})) END AS {DELIVERED}",
+    f"CASE WHEN key % 113 <> 0 THEN timestampadd(DAY, 10 + key % 20, day) END AS {ESTIMATED}",
+)
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _read(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    status = (
-        F.when(key % 1009 == 0, F.lit(None).cast("string"))
-        .when(F.col("o_orderstatus") == "F", F.lit(delivery.STATUS_DELIVERED))
-        .when(F.col("o_orderstatus") == "O", F.lit("shipped"))
-        .otherwise(F.lit(delivery.STATUS_CANCELED))
-    )
-    day = F.timestamp_add("DAY", F.lit(SHIFT_DAYS), F.col("o_orderdate"))
-    purchased = _later(day, key, 7919, 86400)
-    approved = F.when(key % 97 != 0, _later(F.col(PURCHASED), key, 104729, 172800))
-    carrier = F.when(
-        (F.col("o_orderstatus") != "P") & (key % 89 != 0),
-        _later(F.coalesce(APPROVED, PURCHASED), key, 15485863, 432000),
-    )
-    delivered = F.when(
-        (F.col("o_orderstatus") == "F") & (key % 50 != 7),
-        _later(F.coalesce(CARRIER, APPROVED, PURCHASED), key, 32452843, 1900800),
-    )
-    estimated = F.when(key % 113 != 0, F.timestamp_add("DAY", 10 + key % 20, day))
-    return (
-        source.withColumn("order_status", status)
-        .withColumn(PURCHASED, purchased)
-        .withColumn(APPROVED, approved)
-        .withColumn(CARRIER, carrier)
-        .withColumn(DELIVERED, delivered)
-        .withColumn(ESTIMATED, estimated)
-        .select(
-            key.alias("order_id"),
-            key.alias("customer_id"),
-            "order_status",
-            *ORDER_TIMESTAMPS,
-        )
-    )
+    orders = _read(spark, sf_dir, "orders")
+    day = f"timestampadd(DAY, {SHIFT_DAYS}, o_orderdate) AS day"
+    return orders.selectExpr("*", "o_orderkey AS key", day).selectExpr(*ORDER_COLUMNS)
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One customer record per order; a person is a customer key with one of eight tails."""
-    records = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    states = (
-        _read(spark, sf_dir, "customer")
-        .select("c_custkey", "c_nationkey")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    )
-    return records.join(states, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("customer_id"),
-        F.concat_ws("-", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 8).cast("string")).alias(
-            "customer_unique_id"
-        ),
-        F.col("n_name").alias("customer_state"),
+    records = _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS customer_id",
+        "o_custkey AS c_custkey",
+        "concat(o_custkey, '-', o_orderkey % 8) AS customer_unique_id",
     )
+    nation = _read(spark, sf_dir, "nation").selectExpr("n_nationkey AS c_nationkey", "n_name AS customer_state")
+    states = _read(spark, sf_dir, "customer").join(nation, "c_nationkey")
+    return records.join(states, "c_custkey").select("customer_id", "customer_unique_id", "customer_state")
 
 
 def raw_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers repeat within an order of the test data, so the item key is not unique."""
-    return _read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.timestamp_add("DAY", F.lit(SHIFT_DAYS), F.col("l_shipdate")).alias("shipping_limit_date"),
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast(MONEY).alias("freight_value"),
+    return _read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        f"timestampadd(DAY, {SHIFT_DAYS}, l_shipdate) AS shipping_limit_date",
+        f"CAST(l_extendedprice AS {MONEY.simpleString()}) AS price",
+        f"CAST(l_quantity AS {MONEY.simpleString()}) AS freight_value",
     )
 
 
