@@ -57,7 +57,9 @@ def category_orders(t: Tables, broadcast_bytes: int = BROADCAST_BYTES) -> DataFr
         categorised = broadcast_join(items, products, "product_id", "inner")
     else:
         per_product = items.groupBy("order_id", "product_id").agg(*lines)
-        categorised = spread_join(per_product, products, "product_id", "inner", piece_on=["order_id"])
+        categorised = spread_join(
+            per_product, products, "product_id", "inner", piece_on=["order_id"], count_in=items
+        )
         lines = [F.sum(name).alias(name) for name in ("items", "price_cents", "priced_items")]
     return categorised.groupBy("order_id", "product_category").agg(*lines)
 

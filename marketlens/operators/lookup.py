@@ -35,16 +35,24 @@ def hot_keys(fact: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def spread_join(
-    fact: DataFrame, dim: DataFrame, key: str, how: str, piece_on: list[str], null_safe: bool = False
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    how: str,
+    piece_on: list[str],
+    null_safe: bool = False,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which every hot key of the fact side is cut into pieces.
 
     ``piece_on`` are fact columns that tell apart the rows of one key. The piece is a hash of
     them, so a recomputed task puts a row where its first attempt put it. Only dimension rows
-    of hot keys are repeated, fewer than 2 * parts rows in all for a unique key.
+    of hot keys are repeated, fewer than 2 * parts rows in all for a unique key. If the facts
+    are the result of an aggregation, ``count_in`` may name its input: counting keys there needs
+    one column and no second aggregation, and no key has more rows after it than before.
     """
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(fact, key, parts))
+    hot = F.broadcast(hot_keys(fact if count_in is None else count_in, key, parts))
 
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     cut_fact = (
