@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import delivery
 from marketlens.functions.exact import MICROS_PER_DAY, MICROS_PER_HOUR
 from marketlens.functions.text import cast_known, parse_timestamps
-from marketlens.operators.lookup import lookup_join
+from marketlens.operators.lookup import BROADCAST_BYTES, lookup_join
 from marketlens.schema import (
     APPROVED,
     COLUMN_TYPES,
@@ -59,7 +59,9 @@ def rename_products(raw: DataFrame) -> DataFrame:
     )
 
 
-def translate_category(products: DataFrame, translation: DataFrame) -> DataFrame:
+def translate_category(
+    products: DataFrame, translation: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Add ``product_category``, the translated name; NULL where there is none.
 
     A missing category matches a missing key of the translation.
@@ -69,7 +71,13 @@ def translate_category(products: DataFrame, translation: DataFrame) -> DataFrame
         F.col("product_category_name_english").alias("product_category"),
     )
     return lookup_join(
-        products, names, "product_category_name", "left", piece_on=["product_id"], null_safe=True
+        products,
+        names,
+        "product_category_name",
+        "left",
+        piece_on=["product_id"],
+        null_safe=True,
+        limit=broadcast_bytes,
     )
 
 

@@ -6,6 +6,8 @@ by whole-number division, half away from zero, so both engines give the same dou
 
 from __future__ import annotations
 
+from marketlens.plans.marts import MARTS
+
 DAY_US = 86_400_000_000
 
 MODEL = {
@@ -649,6 +651,10 @@ def oracle_queries() -> dict[str, str]:
             {dbl("freight_value")} AS freight_value, {dbl("item_total_value")} AS item_total_value FROM i""",
     )
     q["sink_publish"] = loaded_rows()
-    views = [name for name in q if name.startswith("vw_") and not name.endswith(("_min_200", "_min_185", "_min_700", "_months"))]
+    views = [name for name in q if name in MARTS]
+    q["q04_3_top_categories_spread"] = q["q04_3_top_categories"]
+    q["vw_category_performance_spread"] = q["vw_category_performance"]
+    q["clean_translate_category_spread"] = q["clean_translate_category"]
+    q["src_raw_csv_text_split"] = q["src_raw_csv_text"]
     q["sink_view"] = _union([f"SELECT '{v}' AS view_name, count(*) AS view_rows FROM ({q[v]})" for v in views])
     return q

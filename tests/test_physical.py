@@ -9,7 +9,7 @@ from marketlens.sources import testdata
 from marketlens.plans import marts, operations
 
 ANALYSES = [n for n in registry.queries() if n.startswith(("q0", "vw_"))]
-EAGER = {"src_raw_csv", "src_raw_csv_text", "src_processed", "src_tristate_flags", "sink_processed", "sink_publish", "sink_view"}
+EAGER = {n for n in registry.queries() if n.startswith(("src_", "sink_"))}
 
 
 def plan_of(df):
