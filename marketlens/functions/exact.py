@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.schema import MONEY
 
-MICROS_PER_HOUR = 3_600_000_000
+MICROS_PER_SECOND = 1_000_000
 MICROS_PER_DAY = 86_400_000_000
 
 

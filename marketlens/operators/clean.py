@@ -5,11 +5,11 @@ Missing values are NULL already: the readers of text files see to that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import delivery
-from marketlens.functions.exact import MICROS_PER_DAY, MICROS_PER_HOUR
+from marketlens.functions.exact import MICROS_PER_SECOND
 from marketlens.functions.text import cast_known, parse_timestamps
 from marketlens.operators.lookup import BROADCAST_BYTES, lookup_join
 from marketlens.schema import (
@@ -28,6 +28,11 @@ from marketlens.schema import (
 UNKNOWN_CATEGORY = "unknown"
 
 
+def seconds_between(start: str, end: str) -> Column:
+    """Seconds as a double, with their fraction."""
+    return delivery.micros_between(start, end) / MICROS_PER_SECOND
+
+
 def clean_orders(raw: DataFrame) -> DataFrame:
     """Type the lifecycle timestamps, add status flags, durations and the late flag."""
     typed = parse_timestamps(raw, ORDER_TIMESTAMPS)
@@ -35,8 +40,8 @@ def clean_orders(raw: DataFrame) -> DataFrame:
         {
             "is_delivered": delivery.has_status(delivery.STATUS_DELIVERED),
             "is_canceled": delivery.has_status(delivery.STATUS_CANCELED),
-            "approval_hours": delivery.micros_between(PURCHASED, APPROVED) / F.lit(MICROS_PER_HOUR),
-            "delivery_days": delivery.micros_between(PURCHASED, DELIVERED) / F.lit(MICROS_PER_DAY),
+            "approval_hours": seconds_between(PURCHASED, APPROVED) / 3600,
+            "delivery_days": seconds_between(PURCHASED, DELIVERED) / 86400,
             "delay_days": delivery.delay_days(),
             "is_late": delivery.late_flag(delivery.delay_days()),
         }

@@ -409,7 +409,7 @@ ORDER_COLUMNS = (
     "order_delivered_carrier_date, order_delivered_customer_date, order_estimated_delivery_date"
 )
 DURATIONS = (
-    "approval_us / 3600000000 AS approval_hours, actual_us / 86400000000 AS delivery_days, delay_days, is_late"
+    "approval_us / 1000000 / 3600 AS approval_hours, actual_us / 1000000 / 86400 AS delivery_days, delay_days, is_late"
 )
 UNREADABLE = "order_id % 41 = 0 OR order_id % 43 = 0 OR order_id % 47 = 0"
 PARSED_CARRIER = (
@@ -611,9 +611,9 @@ def oracle_queries() -> dict[str, str]:
     q["clean_is_delivered"] = with_model("o", "SELECT order_id, order_status, is_delivered FROM o")
     q["clean_is_canceled"] = with_model("o", "SELECT order_id, order_status, is_canceled FROM o")
     q["clean_approval_hours"] = with_model(
-        "o", "SELECT order_id, approval_us / 3600000000 AS approval_hours FROM o"
+        "o", "SELECT order_id, approval_us / 1000000 / 3600 AS approval_hours FROM o"
     )
-    q["clean_delivery_days"] = with_model("o", "SELECT order_id, actual_us / 86400000000 AS delivery_days FROM o")
+    q["clean_delivery_days"] = with_model("o", "SELECT order_id, actual_us / 1000000 / 86400 AS delivery_days FROM o")
     q["clean_delay_days"] = with_model("o", "SELECT order_id, delay_days FROM o")
     q["clean_is_late"] = with_model("o", "SELECT order_id, delay_days, is_late FROM o")
     q["clean_item_total"] = with_model(

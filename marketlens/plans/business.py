@@ -68,11 +68,11 @@ def monthly_sales(t: Tables, within: Column | None = None) -> DataFrame:
 
 
 def with_growth(monthly: DataFrame) -> DataFrame:
-    """Growth against the previous month that has sales.
+    """Growth against the previous month that has sales; an unknown month stands last.
 
     The window runs over one row per calendar month, never over orders.
     """
-    by_month = Window.orderBy("month")
+    by_month = Window.orderBy(F.asc_nulls_last("month"))
     return monthly.withColumns(
         {
             "order_mom_pct": growth2(F.col("orders"), F.lag("orders").over(by_month)),
@@ -86,7 +86,7 @@ def monthly(t: Tables) -> DataFrame:
     return (
         monthly_sales(t)
         .withColumn("aov", mean2(F.col("merchandise_gmv"), F.col("orders")))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 

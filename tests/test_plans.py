@@ -50,6 +50,18 @@ def test_mart_cuts_before_and_analysis_after_growth(spark):
     assert analysis[dt.date(2017, 2, 1)]["order_mom_pct"] == Decimal("100.00")
 
 
+def test_unknown_month_stands_last(spark):
+    t = tables(
+        spark,
+        orders=[order("a", "2017-01-10 00:00:00"), order("b", None), order("c", None), order("d", "2017-02-10 00:00:00")],
+        items=[item(o, "1.00") for o in "abcd"],
+    )
+    got = rows(marts.monthly_business(t, start=None, end=None).select("month", "order_mom_pct"))
+    expected = {dt.date(2017, 1, 1): None, dt.date(2017, 2, 1): Decimal("0.00"), None: Decimal("100.00")}
+    assert dict(got) == expected
+    assert values(business.monthly(t), "month") == [dt.date(2017, 1, 1), dt.date(2017, 2, 1), None]
+
+
 def test_orders_without_items_do_not_count_as_sales(spark):
     t = monthly_tables(spark)
     (overview,) = row_dicts(business.delivered_overview(t))
