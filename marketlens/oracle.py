@@ -146,8 +146,10 @@ BAND_NAME = (
     "CASE {0} WHEN 1 THEN '7+ days early' WHEN 2 THEN '1-6 days early' WHEN 3 THEN 'On estimated date' "
     "WHEN 4 THEN '1-3 days late' WHEN 5 THEN '4-7 days late' WHEN 6 THEN '7+ days late' {1} END"
 )
-# Test orders have one or two reviews, so twelfths hold every average exactly.
-AVG_SCORE = half_up("100 * sum(s * 12 // n)", "12 * count(s * 12 // n)")
+# The average score of an order is taken to eighteen decimals, as a whole number.
+E18 = "CAST(1000000000000000000 AS HUGEINT)"
+ORDER_SCORE = f"(2 * s * {E18} + n) // nullif(2 * n, 0)"
+AVG_SCORE = half_up(f"100 * sum({ORDER_SCORE})", f"{E18} * count({ORDER_SCORE})")
 LOW_RATE = ratio("100 * count(*) FILTER (WHERE s <= 2 * n)", "count(*)")
 RATED = f"count(*) AS reviewed_orders, {AVG_SCORE} AS avg_review_score, {LOW_RATE} AS low_rating_rate_pct"
 
