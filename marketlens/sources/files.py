@@ -19,6 +19,7 @@ from marketlens.sources.records import largest_file, read_split_csv
 
 MULTILINE_TABLES = frozenset({"reviews"})
 ONE_TASK_BYTES = 128 * 1024 * 1024
+BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
@@ -72,6 +73,13 @@ def read_processed(spark: SparkSession, folder: str, fmt: str = "parquet") -> Ta
     )
 
 
+def buckets_balance(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether no bucket of the key would hold more than four times the average."""
+    sizes = df.groupBy(F.pmod(F.hash(key), F.lit(buckets))).agg(F.count(F.lit(1)).alias("rows"))
+    row = sizes.agg(F.max("rows").alias("largest"), F.sum("rows").alias("total")).first()
+    return row["total"] is not None and row["largest"] * buckets <= 4 * row["total"]
+
+
 def publish(
     tables: Tables,
     *,
@@ -84,21 +92,26 @@ def publish(
 
     Tables go to a catalog database or, as parquet, to a folder. Overwriting makes a repeated
     run harmless; ``mode="append"`` adds rows. With ``buckets`` (catalog only) the three tables
-    keyed by order are stored in buckets of the order id, and their joins need no shuffle.
+    keyed by order are stored in buckets of the order id, and their joins need no shuffle. A
+    bucket is read by one task, so a table with a heavy bucket is stored without buckets.
     """
     if (database is None) == (folder is None):
         raise ValueError("publish to either a database or a folder")
     written = {}
     for name in LOAD_ORDER:
+        df = getattr(tables, name)
+        bucketed = bool(buckets and database and name in BY_ORDER and buckets_balance(df, "order_id", buckets))
+        if bucketed:
+            # one bucket per task, so that the number of files does not multiply with the tasks
+            df = df.hint("rebalance", buckets, "order_id")
         rows = Observation(f"publish {name}")
-        df = getattr(tables, name).observe(rows, F.count(F.lit(1)).alias("rows"))
-        if database is None:
-            df.write.mode(mode).parquet(f"{folder}/{name}")
-        else:
-            writer = df.write.mode(mode).format("parquet")
-            if buckets and name in ("orders", "reviews", "order_items"):
-                writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
+        writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("parquet")
+        if bucketed:
+            writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
+        if database:
             writer.saveAsTable(f"{database}.{name}")
+        else:
+            writer.save(f"{folder}/{name}")
         written[name] = rows.get["rows"]
     return written
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from build import item, order, rows, tables
+from pyspark.sql import functions as F
 
 from marketlens.operators import clean
 from marketlens.plans import marts
@@ -112,22 +113,38 @@ def test_publish_overwrites_or_appends_in_load_order(spark, tmp_path, sample):
         files.publish(sample)
 
 
-def test_bucketed_tables_join_without_shuffling_facts(spark, sample):
-    spark.sql("CREATE DATABASE IF NOT EXISTS market")
-    files.publish(sample, database="market", buckets=4)
-    published = files.read_published(spark, "market")
+def shuffles(spark, df):
+    """Exchanges of a plan in which nothing is broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        mart = marts.MARTS["vw_seller_performance"](published)
-        plan = mart._jdf.queryExecution().executedPlan().toString()
-        got = sorted(map(repr, rows(mart)))
+        plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert "SortMergeJoin" in plan
-    assert len(exchanges) == 1 and "hashpartitioning(seller_id" in exchanges[0]
-    assert got == sorted(map(repr, rows(marts.MARTS["vw_seller_performance"](sample))))
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_bucketed_tables_join_without_shuffling_facts(spark, sample):
+    spark.sql("CREATE DATABASE IF NOT EXISTS market")
+    written = files.publish(sample, database="market", buckets=4)
+    published = files.read_published(spark, "market")
+    assert {name: df.count() for name, df in published.as_dict().items()} == written
+    mart = marts.MARTS["vw_seller_performance"]
+    (exchange,) = shuffles(spark, mart(published))
+    assert "hashpartitioning(seller_id" in exchange
+    assert sorted(map(repr, rows(mart(published)))) == sorted(map(repr, rows(mart(sample))))
+
+
+def test_tables_with_a_heavy_bucket_are_not_bucketed(spark, sample):
+    hot = sample.replacing(order_items=sample.order_items.withColumn("order_id", F.expr("if(price > 0, 1L, order_id)")))
+    assert files.buckets_balance(sample.order_items, "order_id", 8)
+    assert not files.buckets_balance(hot.order_items, "order_id", 8)
+    spark.sql("CREATE DATABASE IF NOT EXISTS heavy")
+    written = files.publish(hot, database="heavy", buckets=8)
+    described = {n: {r[0] for r in spark.sql(f"DESCRIBE EXTENDED heavy.{n}").collect()} for n in ("orders", "order_items")}
+    assert "Num Buckets" in described["orders"] and "Num Buckets" not in described["order_items"]
+    assert written["order_items"] == sample.order_items.count()
 
 
 def test_views_are_replaced_and_readable_by_name(spark, sample):
