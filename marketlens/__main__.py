@@ -7,7 +7,8 @@ import argparse
 from marketlens import pipeline
 from marketlens.plans.analyses import ANALYSES
 from marketlens.plans.marts import MARTS
-from marketlens.plans.profiles import PROFILES
+from marketlens.plans.profiles import PROFILES, TABLE_PROFILES
+from marketlens.schema import RAW_TABLES
 from marketlens.session import build_session
 from marketlens.sources import files
 
@@ -35,7 +36,11 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
     query.add_argument("name", choices=[*ANALYSES, *MARTS])
     for command in (run, profile):
         command.add_argument(
-            "--file", action="append", default=[], metavar="TABLE=NAME", help="file name of a delivered table"
+            "--file",
+            action="append",
+            default=[],
+            metavar="TABLE=NAME",
+            help="file name of a delivered table; further tables are profiled too",
         )
     return parser.parse_args(argv)
 
@@ -56,10 +61,19 @@ def main(argv: list[str] | None = None) -> None:
         )
         files.load_report(spark, written).show(truncate=False)
     elif args.command == "profile":
-        raw = files.read_raw(spark, args.raw_folder, names)
+        raw = files.read_raw(spark, args.raw_folder, {t: n for t, n in names.items() if t in RAW_TABLES})
+        others = {
+            table: files.read_csv_table(spark, table, f"{args.raw_folder}/{name}")
+            for table, name in names.items()
+            if table not in RAW_TABLES
+        }
         for report in args.report or PROFILES:
             print(report)
-            PROFILES[report](raw).show(SHOWN_ROWS, truncate=False)
+            if report in TABLE_PROFILES:
+                rows = TABLE_PROFILES[report](raw.as_dict() | others)
+            else:
+                rows = PROFILES[report](raw)
+            rows.show(SHOWN_ROWS, truncate=False)
     else:
         tables = files.read_processed(spark, args.folder)
         (ANALYSES | MARTS)[args.name](tables).show(SHOWN_ROWS, truncate=False)

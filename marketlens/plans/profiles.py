@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
 from marketlens.operators import quality
 from marketlens.schema import RawTables
 
+# Reports that take any tables by name, also some beyond the model.
+TABLE_PROFILES: dict[str, Callable[[Mapping[str, DataFrame]], DataFrame]] = {
+    "profile_shape": quality.profile_shape,
+    "profile_missing": quality.profile_missing,
+    "profile_tables": quality.profile_tables,
+    "key_uniqueness": quality.key_uniqueness,
+    "entity_counts": quality.entity_counts,
+    "orphan_counts": quality.orphan_counts,
+}
+
+
+def _of_tables(report: Callable[[Mapping[str, DataFrame]], DataFrame]) -> Callable[[RawTables], DataFrame]:
+    return lambda raw: report(raw.as_dict())
+
+
 PROFILES: dict[str, Callable[[RawTables], DataFrame]] = {
-    "profile_shape": lambda raw: quality.profile_shape(raw.as_dict()),
-    "profile_missing": lambda raw: quality.profile_missing(raw.as_dict()),
-    "profile_tables": lambda raw: quality.profile_tables(raw.as_dict()),
-    "key_uniqueness": lambda raw: quality.key_uniqueness(raw.as_dict()),
-    "entity_counts": lambda raw: quality.entity_counts(raw.as_dict()),
-    "orphan_counts": lambda raw: quality.orphan_counts(raw.as_dict()),
+    **{name: _of_tables(report) for name, report in TABLE_PROFILES.items()},
     "null_counts_orders": lambda raw: quality.null_counts(raw.orders),
     "null_counts_by_status": lambda raw: quality.null_counts_by_status(raw.orders),
     "orders_without_items": lambda raw: quality.orders_without_items(raw.orders, raw.order_items),

@@ -1,8 +1,8 @@
 """CSV and parquet readers and writers.
 
-Text files are read without type inference, which would scan them an extra time. Only tables
-with free text may hold line breaks inside quotes. Spark reads such a file in one task, so
-files longer than one split take the way of ``records``; all other tables are split anyway.
+Text files are read without type inference, which would scan them an extra time. Tables known
+to hold no free text are split anywhere. In others a quoted field may hold line breaks; Spark
+reads such a file in one task, so files longer than one split take the way of ``records``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from marketlens.functions.text import cast_known, missing_to_null
 from marketlens.schema import COLUMN_TYPES, LOAD_ORDER, RAW_TABLES, RawTables, Tables
 from marketlens.sources.records import largest_file, read_split_csv
 
-MULTILINE_TABLES = frozenset({"reviews"})
+SINGLE_LINE_TABLES = frozenset(RAW_TABLES) - {"reviews"}
 ONE_TASK_BYTES = 128 * 1024 * 1024
 BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -27,7 +27,7 @@ def read_csv_table(
     spark: SparkSession, table: str, path: str, one_task_bytes: int = ONE_TASK_BYTES
 ) -> DataFrame:
     """One table as text columns, with missing-value texts as NULL."""
-    if table not in MULTILINE_TABLES:
+    if table in SINGLE_LINE_TABLES:
         df = spark.read.csv(path, **CSV_OPTIONS)
     elif largest_file(spark, path) <= one_task_bytes:
         df = spark.read.csv(path, multiLine=True, **CSV_OPTIONS)

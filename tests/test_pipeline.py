@@ -55,3 +55,5 @@ def test_command_line(spark, raw_folder, tmp_path, capsys, monkeypatch):
     assert "delivered" in capsys.readouterr().out
     command_line.main(["profile", raw_folder, "profile_shape", "--file", "orders=orders.csv"])
     assert "order_purchase_timestamp" in capsys.readouterr().out
+    command_line.main(["profile", raw_folder, "profile_tables", "--file", "more=sellers.csv"])
+    assert "|more " in capsys.readouterr().out
