@@ -76,13 +76,7 @@ def translate_category(
         F.col("product_category_name_english").alias("product_category"),
     )
     return lookup_join(
-        products,
-        names,
-        "product_category_name",
-        "left",
-        piece_on=["product_id"],
-        null_safe=True,
-        limit=broadcast_bytes,
+        products, names, "product_category_name", "left", null_safe=True, limit=broadcast_bytes
     )
 
 

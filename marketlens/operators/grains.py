@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.delivery import delivered, delivered_with_evidence
 from marketlens.functions.exact import cents_sum
 from marketlens.functions.measures import order_measures, resum
-from marketlens.operators.lookup import BROADCAST_BYTES, broadcast_join, fits_broadcast, spread_join
+from marketlens.operators.lookup import BROADCAST_BYTES, lookup_join
 from marketlens.schema import Tables
 
 
@@ -41,27 +41,18 @@ def seller_orders(order_items: DataFrame) -> DataFrame:
 
 
 def category_orders(t: Tables, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per order and product category, with the items, their prices and their sum.
-
-    Small product tables are broadcast to the items. Beyond that the items are first combined
-    per order and product, which folds copies, and a best-selling product is cut into pieces.
-    """
+    """One row per order and product category, with the items, their prices and their sum."""
+    items = t.order_items.select("order_id", "product_id", "price").filter(F.col("product_id").isNotNull())
     products = t.products.select("product_id", "product_category")
-    items = t.order_items.filter(F.col("product_id").isNotNull())
-    lines = [
-        F.count(F.lit(1)).alias("items"),
-        cents_sum(F.col("price")).alias("price_cents"),
-        F.count("price").alias("priced_items"),
-    ]
-    if fits_broadcast(products, broadcast_bytes):
-        categorised = broadcast_join(items, products, "product_id", "inner")
-    else:
-        per_product = items.groupBy("order_id", "product_id").agg(*lines)
-        categorised = spread_join(
-            per_product, products, "product_id", "inner", piece_on=["order_id"], count_in=items
+    return (
+        lookup_join(items, products, "product_id", "inner", limit=broadcast_bytes)
+        .groupBy("order_id", "product_category")
+        .agg(
+            F.count(F.lit(1)).alias("items"),
+            cents_sum(F.col("price")).alias("price_cents"),
+            F.count("price").alias("priced_items"),
         )
-        lines = [F.sum(name).alias(name) for name in ("items", "price_cents", "priced_items")]
-    return categorised.groupBy("order_id", "product_category").agg(*lines)
+    )
 
 
 def state_measures(t: Tables, *spans: str) -> DataFrame:

@@ -20,54 +20,31 @@ def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(fact: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys holding more than one partition's fair share of the rows, with the pieces to cut them into.
+    """Keys that hold more than one partition's fair share of the rows.
 
-    Each such key has more than 1/parts of all rows, so there are fewer than ``parts`` of them.
+    Each has more than 1/parts of all rows, so there are fewer than ``parts`` of them.
     """
     total = fact.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        fact.groupBy(F.col(key).alias("_hot_key"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_pieces", F.ceil(F.col("_rows") * parts / total.scalar()).cast("int"))
-        .filter(F.col("_pieces") > 1)
-        .select("_hot_key", "_pieces")
-    )
+    counts = fact.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") * parts > total.scalar()).select("_hot_key")
 
 
-def spread_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    how: str,
-    piece_on: list[str],
-    null_safe: bool = False,
-    count_in: DataFrame | None = None,
-) -> DataFrame:
-    """Shuffle join in which every hot key of the fact side is cut into pieces.
+def split_join(fact: DataFrame, dim: DataFrame, key: str, how: str, null_safe: bool = False) -> DataFrame:
+    """Join to a dimension of any size, with one row per key, that no hot key can hold up.
 
-    ``piece_on`` are fact columns that tell apart the rows of one key. The piece is a hash of
-    them, so a recomputed task puts a row where its first attempt put it. Only dimension rows
-    of hot keys are repeated, fewer than 2 * parts rows in all for a unique key. If the facts
-    are the result of an aggregation, ``count_in`` may name its input: counting keys there needs
-    one column and no second aggregation, and no key has more rows after it than before.
+    Facts of hot keys stay where they are and meet the few dimension rows of those keys by
+    broadcast; all other keys have at most a partition's share of facts and are shuffled.
+    Without hot keys adaptive execution drops the first branch before it reads anything.
     """
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(fact if count_in is None else count_in, key, parts))
+    hot = F.broadcast(hot_keys(fact, key, parts))
+    dim = dim.withColumnRenamed(key, "_dim_key")
+    same, is_hot = _same(key, null_safe), F.col(key).eqNullSafe(F.col("_hot_key"))
 
-    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    cut_fact = (
-        fact.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(*piece_on), pieces).cast("int"))
-        .drop("_hot_key", "_pieces")
-    )
-    cut_dim = (
-        dim.withColumnRenamed(key, "_dim_key")
-        .join(hot, F.col("_dim_key").eqNullSafe(F.col("_hot_key")), "left")
-        .withColumn("_dim_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("_hot_key", "_pieces")
-    )
-    same = _same(key, null_safe) & (F.col("_piece") == F.col("_dim_piece"))
-    return cut_fact.join(cut_dim, same, how).drop("_dim_key", "_piece", "_dim_piece")
+    hot_dim = F.broadcast(dim.join(hot, F.col("_dim_key").eqNullSafe(F.col("_hot_key")), "left_semi"))
+    by_broadcast = fact.join(hot, is_hot, "left_semi").join(hot_dim, same, how)
+    by_shuffle = fact.join(hot, is_hot, "left_anti").join(dim, same, how)
+    return by_broadcast.unionByName(by_shuffle).drop("_dim_key")
 
 
 def broadcast_join(
@@ -83,17 +60,16 @@ def lookup_join(
     dim: DataFrame,
     key: str,
     how: str,
-    piece_on: list[str],
     null_safe: bool = False,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join facts to a dimension: broadcast if it measures small, else spread.
+    """Join facts to a dimension: broadcast if it measures small, else split by hot keys.
 
     ``null_safe`` lets a missing key match a missing key.
     """
     if fits_broadcast(dim, limit):
         return broadcast_join(fact, dim, key, how, null_safe)
-    return spread_join(fact, dim, key, how, piece_on, null_safe)
+    return split_join(fact, dim, key, how, null_safe)
 
 
 def _same(key: str, null_safe: bool) -> Column:

@@ -654,9 +654,9 @@ def oracle_queries() -> dict[str, str]:
     )
     q["sink_publish"] = loaded_rows()
     views = [name for name in q if name in MARTS]
-    q["q04_3_top_categories_spread"] = q["q04_3_top_categories"]
-    q["vw_category_performance_spread"] = q["vw_category_performance"]
-    q["clean_translate_category_spread"] = q["clean_translate_category"]
+    q["q04_3_top_categories_split"] = q["q04_3_top_categories"]
+    q["vw_category_performance_split"] = q["vw_category_performance"]
+    q["clean_translate_category_split"] = q["clean_translate_category"]
     q["src_raw_csv_text_split"] = q["src_raw_csv_text"]
     q["sink_view"] = _union([f"SELECT '{v}' AS view_name, count(*) AS view_rows FROM ({q[v]})" for v in views])
     return q
