@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from marketlens import pipeline
+from marketlens import workflow
 from marketlens.plans.analyses import ANALYSES
 from marketlens.plans.marts import MARTS
 from marketlens.plans.profiles import PROFILES, TABLE_PROFILES
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(args.master)
     names = dict(pair.split("=", 1) for pair in getattr(args, "file", []))
     if args.command == "run":
-        written = pipeline.run(
+        written = workflow.run(
             spark,
             args.raw_folder,
             args.out_folder,

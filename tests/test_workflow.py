@@ -4,7 +4,7 @@ import pytest
 from build import rows
 
 from marketlens import __main__ as command_line
-from marketlens import pipeline
+from marketlens import workflow
 from marketlens.operators.quality import DataQualityError
 from marketlens.plans import marts
 from marketlens.plans.profiles import PROFILES
@@ -21,7 +21,7 @@ def raw_folder(spark, small_dir, tmp_path_factory):
 
 
 def test_delivered_files_become_the_same_marts(spark, small_dir, raw_folder, tmp_path):
-    written = pipeline.run(spark, raw_folder, str(tmp_path), fmt="csv")
+    written = workflow.run(spark, raw_folder, str(tmp_path), fmt="csv")
     expected = testdata.processed_tables(spark, small_dir)
     assert written == {name: df.count() for name, df in expected.as_dict().items()}
     for name in ("vw_executive_kpis", "vw_monthly_business", "vw_delivery_customer_experience"):
@@ -35,7 +35,7 @@ def test_broken_files_are_not_exported(spark, raw_folder, tmp_path):
     raw = files.read_raw(spark, raw_folder)
     doubled = raw.replacing(sellers=raw.sellers.union(raw.sellers))
     with pytest.raises(DataQualityError, match="sellers.seller_id is unique"):
-        pipeline.prepare(spark, doubled)
+        workflow.prepare(spark, doubled)
     files.write_csv_table(raw.order_items.limit(0), f"{tmp_path}/empty.csv")
     assert rows(files.read_csv_table(spark, "order_items", f"{tmp_path}/empty.csv")) == []
 
