@@ -263,7 +263,7 @@ def unique_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
             .agg((F.count(F.lit(1)) - 1).alias("_extra"))
             .agg(_or_zero(F.sum("_extra")).alias("violations"))
             .select(
-                F.concat(F.lit(f"{table}.{key} is unique")).alias("rule"),
+                F.lit(f"{table}.{key} is unique").alias("rule"),
                 "violations",
                 (F.col("violations") == 0).alias("passed"),
             )
