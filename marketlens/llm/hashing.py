@@ -177,12 +177,9 @@ def set_keys(sets: Sets) -> np.ndarray:
     return mixed(total + sets.sizes.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
-def parity(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """128 parity bits of each set as two longs: two sets differ in as many tokens as bits, or more."""
-    bit = sets.tokens >> np.uint64(40)
-    flag = np.uint64(1) << (bit & np.uint64(63))
-    high = (bit & np.uint64(64)) > 0
-    none = np.uint64(0)
-    return tuple(
-        reduced(np.bitwise_xor, np.where(high == side, flag, none), sets.starts).view(np.int64) for side in (False, True)
-    )
+def parity(sets: Sets, words: int = 1) -> np.ndarray:
+    """64 * words parity bits of each set, a row of words each: two sets differ in as many tokens as bits, or more."""
+    bit = (sets.tokens >> np.uint64(40)) % np.uint64(64 * words)
+    out = np.zeros((len(sets.starts) - 1, words), np.uint64)
+    np.bitwise_xor.at(out.reshape(-1), sets.owner * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out

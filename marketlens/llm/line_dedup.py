@@ -79,7 +79,6 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
                 spare = size - set_join.least_overlap(size, threshold)
                 at = np.flatnonzero((position <= spare[owner]) & fresh[owner] & (ranks.value[slots_of(sets.tokens)] > 0))
                 unit = owner[at]
-                low, high = hashing.parity(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sets.tokens[at].view(np.int64)),
@@ -87,7 +86,7 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
                         pa.array(keys[unit]),
                         pa.array(size[unit], pa.int32()),
                         pa.array(position[at], pa.int32()),
-                        pa.array((low ^ high)[unit]),
+                        pa.array(hashing.parity(sets)[unit, 0].view(np.int64)),
                     ],
                     ["signature", "place", "key", "size", "position", "parity"],
                 )

@@ -33,6 +33,8 @@ SLOTS = 1 << 18
 #: A token is frequent if its counter exceeds the mean by this share of the documents, and 64.
 FREQUENT = 1 / 256
 CLASSES = 32
+#: Parity bits of a set, in words of 64, by which candidates are sifted before their tokens are compared.
+PARITY_WORDS = 8
 SMALL = 64
 
 
@@ -48,25 +50,31 @@ def ngram_sets(texts: pa.Array, words: int, frequent: np.ndarray) -> Iterator[tu
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and key (null if empty) of every document; and rows of counters of its tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """doc_id, size, key (null if empty) and parity bits of every document; and rows of counters of its tokens."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
+    )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, none = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool)
         for batch in batches:
-            sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sizes, keys, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, _, sets in ngram_sets(batch.column(1), words, none):
                 sizes.append(sets.sizes)
                 keys.append(hashing.set_keys(sets))
+                bits += [row.tobytes() for row in hashing.parity(sets, PARITY_WORDS)]
                 counts += np.bincount(slots_of(sets.tokens), minlength=SLOTS)
             size, n = np.concatenate(sizes), batch.num_rows
             key = pa.array(np.concatenate(keys), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), key, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            columns = [batch.column(0), pa.array(size, pa.int32()), key, pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = sliced(counts)
         n = parts.num_rows
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *parts.columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in schema.types[:4]), *parts.columns], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, size int, key long, slice int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        profile, "doc_id long, size int, key long, parity binary, slice int, counts binary"
+    )
 
 
 def combinations(tokens: np.ndarray, missing: int) -> np.ndarray:
@@ -116,7 +124,6 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
                     unit.append(np.full(len(pairs), i))
                     place.append(np.zeros(len(pairs), np.int64))
                 signature, unit, place = np.concatenate(signature), np.concatenate(unit), np.concatenate(place)
-                low, high = hashing.parity(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signature.view(np.int64)),
@@ -124,7 +131,7 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
                         pa.array(keys[unit]),
                         pa.array(size[unit], pa.int32()),
                         pa.array(place, pa.int32()),
-                        pa.array((low ^ high)[unit]),
+                        pa.array(hashing.parity(sets)[unit, 0].view(np.int64)),
                     ],
                     ["signature", "place", "key", "size", "position", "parity"],
                 )
@@ -135,7 +142,8 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
 def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of the documents, (key, root) of the sets that are linked)."""
     both = written(profiles(docs, words), "ngram-profiles")
-    documents = both.where("slice is null").select("doc_id", "size", "key")
+    documents = both.where("slice is null").select("doc_id", "size", "key", "parity")
+    sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"))
     total = documents.count()
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     frequent = counts > counts.mean() + max(64, FREQUENT * total)
@@ -143,6 +151,7 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     pairs = found.where("frequent is null").select("a", "b")
 
     def check(candidates: DataFrame) -> DataFrame:
+        candidates = written(set_join.close_pairs(candidates, sizes, threshold), "ngram-candidates")
         keys = candidates.select(F.explode(F.array("a", "b")).alias("key"))
         wanted = set_join.key_filter(keys, "key")
         none = np.zeros(SLOTS, bool)
@@ -153,10 +162,9 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     roots = components(links)
     # sets with a frequent signature were compared with one set only: now with those of other groups
     bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
-    sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"))
     grouped = bearers.join(roots, "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root"))
     mixed = grouped.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = written(grouped.join(mixed.select("signature"), "signature", "left_semi").join(sizes, "key"), "ngram-bearers")
+    rest = written(grouped.join(mixed.select("signature"), "signature", "left_semi").join(sizes.select("key", "size"), "key"), "ngram-bearers")
     more = set_join.open_pairs(rest, threshold, F.col("a.root") < F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
     more = written(more, "ngram-candidates")
     if not more.isEmpty():

@@ -182,6 +182,26 @@ def places(keys: np.ndarray, bits: int) -> np.ndarray:
     return hashing.mixed(keys.view(np.uint64)) & np.uint64(bits - 1)
 
 
+def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets may reach the threshold by their sizes and parity bits.
+
+    ``bits``: one row of key, size and parity (binary) for each set.
+    """
+    num, den = threshold.numerator, threshold.denominator
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(m), -1) for i in (4, 5))
+            apart = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+            good = apart <= m + n - 2 * -(-(m + n) * num // (num + den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    one, two = (bits.select(F.col("key").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b")
+    return joined.mapInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, compared token by token.
 
@@ -213,11 +233,16 @@ def token_sets(docs: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[has
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(marks.value).astype(bool)
+        seen: set[int] = set()
         for batch in batches:
             for sets in sets_of(batch):
                 keys = hashing.set_keys(sets)
                 at = np.flatnonzero(known[places(keys, bits)])
                 at = at[np.unique(keys[at], return_index=True)[1]]
+                at = at[[key not in seen for key in keys[at].tolist()]] if len(at) else at
+                seen.update(keys[at].tolist())
+                if len(seen) > 1_000_000:
+                    seen.clear()
                 if len(at):
                     tokens = [np.sort(sets.tokens[sets.starts[i] : sets.starts[i + 1]]).tobytes() for i in at]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(tokens, pa.binary())], ["key", "tokens"])
