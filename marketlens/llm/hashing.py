@@ -177,9 +177,30 @@ def set_keys(sets: Sets) -> np.ndarray:
     return mixed(total + sets.sizes.astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
-def parity(sets: Sets, words: int = 1) -> np.ndarray:
-    """64 * words parity bits of each set, a row of words each: two sets differ in as many tokens as bits, or more."""
-    bit = (sets.tokens >> np.uint64(40)) % np.uint64(64 * words)
-    out = np.zeros((len(sets.starts) - 1, words), np.uint64)
-    np.bitwise_xor.at(out.reshape(-1), sets.owner * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def parity(sets: Sets, words: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(words, starts): 64 parity bits per word and set; two sets differ in as many tokens as bits, or more.
+
+    With a power of two of words, the bits of a set can be folded to those of fewer words.
+    """
+    words = np.broadcast_to(words, len(sets.starts) - 1).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(words)])
+    owner = sets.owner
+    bit = (sets.tokens >> np.uint64(40)) % (words[owner].astype(np.uint64) << np.uint64(6))
+    out = np.zeros(starts[-1], np.uint64)
+    np.bitwise_xor.at(out, starts[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out, starts
+
+
+def sized_parity(sets: Sets, least: int = 8) -> list[bytes]:
+    """Parity bits of each set, about as many as it has tokens: a power of two of words, ``least`` or more."""
+    words = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(sets.sizes, 1) / 64)).astype(np.int64).clip(0))
+    out, starts = parity(sets, words)
+    return [out[starts[i] : starts[i + 1]].tobytes() for i in range(len(words))]
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Differing parity bits of two sets; the longer ones are folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())

@@ -86,7 +86,7 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
                         pa.array(keys[unit]),
                         pa.array(size[unit], pa.int32()),
                         pa.array(position[at], pa.int32()),
-                        pa.array(hashing.parity(sets)[unit, 0].view(np.int64)),
+                        pa.array(hashing.parity(sets)[0].view(np.int64)[unit]),
                     ],
                     ["signature", "place", "key", "size", "position", "parity"],
                 )

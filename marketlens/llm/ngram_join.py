@@ -33,8 +33,6 @@ SLOTS = 1 << 18
 #: A token is frequent if its counter exceeds the mean by this share of the documents, and 64.
 FREQUENT = 1 / 256
 CLASSES = 32
-#: Parity bits of a set, in words of 64, by which candidates are sifted before their tokens are compared.
-PARITY_WORDS = 8
 SMALL = 64
 
 
@@ -62,7 +60,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             for _, _, sets in ngram_sets(batch.column(1), words, none):
                 sizes.append(sets.sizes)
                 keys.append(hashing.set_keys(sets))
-                bits += [row.tobytes() for row in hashing.parity(sets, PARITY_WORDS)]
+                bits += hashing.sized_parity(sets)
                 counts += np.bincount(slots_of(sets.tokens), minlength=SLOTS)
             size, n = np.concatenate(sizes), batch.num_rows
             key = pa.array(np.concatenate(keys), mask=size == 0)
@@ -131,7 +129,7 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
                         pa.array(keys[unit]),
                         pa.array(size[unit], pa.int32()),
                         pa.array(place, pa.int32()),
-                        pa.array(hashing.parity(sets)[unit, 0].view(np.int64)),
+                        pa.array(hashing.parity(sets)[0].view(np.int64)[unit]),
                     ],
                     ["signature", "place", "key", "size", "position", "parity"],
                 )

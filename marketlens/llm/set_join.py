@@ -192,8 +192,14 @@ def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataF
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(m), -1) for i in (4, 5))
-            apart = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+            u, v = (batch.column(i).to_pylist() for i in (4, 5))
+            apart = np.empty(len(m), np.int64)
+            usual = np.array([len(x) == len(y) == 64 for x, y in zip(u, v, strict=True)], bool)
+            at = np.flatnonzero(usual)
+            x, y = (np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), -1) for w in (u, v))
+            apart[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) if len(at) else 0
+            for i in np.flatnonzero(~usual):
+                apart[i] = hashing.differing_bits(u[i], v[i])
             good = apart <= m + n - 2 * -(-(m + n) * num // (num + den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
