@@ -191,7 +191,7 @@ def parity(sets: Sets, words: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndar
     return out, starts
 
 
-def sized_parity(sets: Sets, least: int = 8) -> list[bytes]:
+def sized_parity(sets: Sets, least: int) -> list[bytes]:
     """Parity bits of each set, about as many as it has tokens: a power of two of words, ``least`` or more."""
     words = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(sets.sizes, 1) / 64)).astype(np.int64).clip(0))
     out, starts = parity(sets, words)

@@ -22,6 +22,8 @@ from marketlens.llm.storage import added_up, sliced, written
 
 #: Counters for the rarity of words.
 SLOTS = 1 << 22
+#: Least words of 64 parity bits that are kept of a line.
+PARITY_WORDS = 2
 #: Stands for a null doc_id, which comes last.
 LAST = (1 << 63) - 1
 
@@ -38,8 +40,10 @@ def line_sets(texts: pa.Array, rank: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def profiles(docs: DataFrame, min_words: int) -> DataFrame:
-    """place, line, key and size of every line of at least min_words distinct words; and rows of word counters."""
-    schema = pa.schema([("place", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """place, line, key, size and parity bits of every line of at least min_words distinct words; and rows of word counters."""
+    schema = pa.schema(
+        [("place", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
+    )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, none = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.uint8)
@@ -50,11 +54,13 @@ def profiles(docs: DataFrame, min_words: int) -> DataFrame:
                 kept = np.flatnonzero(sets.sizes >= min_words)
                 n = len(kept)
                 columns = [pa.array(place[row[kept]]), pa.array(number[kept], pa.int32()), pa.array(hashing.set_keys(sets)[kept]), pa.array(sets.sizes[kept], pa.int32())]
+                bits = hashing.sized_parity(sets, PARITY_WORDS)
+                columns.append(pa.array([bits[i] for i in kept], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = sliced(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts.num_rows, t) for t in schema.types[:4]), *parts.columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts.num_rows, t) for t in schema.types[:5]), *parts.columns], schema=schema)
 
-    return docs.select("place", "text").mapInArrow(profile, "place long, line int, key long, size int, slice int, counts binary")
+    return docs.select("place", "text").mapInArrow(profile, "place long, line int, key long, size int, parity binary, slice int, counts binary")
 
 
 def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndarray) -> DataFrame:
@@ -97,12 +103,13 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
 def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataFrame:
     """place and line of every line that goes; ``docs`` has place and text."""
     both = written(profiles(docs, min_words), "line-profiles")
-    lines = both.where("slice is null").select("place", "line", "key", "size")
+    lines = both.where("slice is null").select("place", "line", "key", "size", "parity")
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     # rarity in steps of a sixteenth of a power of two, 0 for words that occur once
     rank = np.minimum(255, np.rint(16 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     first = written(
-        lines.groupBy("key").agg(F.min(F.struct("place", "line")).alias("first"), F.any_value("size").alias("size")), "line-sets"
+        lines.groupBy("key").agg(F.min(F.struct("place", "line")).alias("first"), F.any_value("size").alias("size"), F.first("parity").alias("parity")),
+        "line-sets",
     )
     found = written(set_join.candidates(postings(docs, threshold, min_words, rank), threshold).distinct(), "line-candidates")
     pairs = found.where("frequent is null").select("a", "b")
@@ -123,9 +130,10 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
     rest = bearers.join(first, "key").join(gone.withColumn("gone", F.lit(True)), "key", "left")
     open_ = rest.where("gone is null").select("signature").distinct()
     rest = written(rest.join(open_, "signature", "left_semi"), "line-bearers")
-    more = set_join.open_pairs(rest, threshold, F.col("b.gone").isNull() & (F.col("a.first") < F.col("b.first")))
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "line-candidates")
-    if not more.isEmpty():
+    if not rest.isEmpty():
+        wide = rest.drop("size").join(set_join.folded_bits(first, PARITY_WORDS), "key")
+        more = set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("b.gone").isNull() & (F.col("a.first") < F.col("b.first")))
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "line-candidates")
         gone = gone.union(later(more))
     firsts = first.join(gone, "key", "left_anti").select("key", F.col("first.place").alias("p"), F.col("first.line").alias("l"))
     kept = (F.col("p") == F.col("place")) & (F.col("l") == F.col("line"))

@@ -30,9 +30,9 @@ from marketlens.llm.storage import added_up, sliced, written
 
 #: Counters for the frequency of tokens.
 SLOTS = 1 << 18
-#: A token is frequent if its counter exceeds the mean by this share of the documents, and 64.
-FREQUENT = 1 / 256
 CLASSES = 32
+#: Least words of 64 parity bits that are kept of a set.
+PARITY_WORDS = 8
 SMALL = 64
 
 
@@ -60,7 +60,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             for _, _, sets in ngram_sets(batch.column(1), words, none):
                 sizes.append(sets.sizes)
                 keys.append(hashing.set_keys(sets))
-                bits += hashing.sized_parity(sets)
+                bits += hashing.sized_parity(sets, PARITY_WORDS)
                 counts += np.bincount(slots_of(sets.tokens), minlength=SLOTS)
             size, n = np.concatenate(sizes), batch.num_rows
             key = pa.array(np.concatenate(keys), mask=size == 0)
@@ -137,14 +137,21 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
     return docs.select("text").mapInArrow(sign, set_join.POSTINGS)
 
 
+def open_bearers(bearers: DataFrame, roots: DataFrame) -> DataFrame:
+    """signature, key and root of the sets whose signature occurs in several groups."""
+    grouped = bearers.join(roots, "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root"))
+    spread = grouped.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return written(grouped.join(spread.select("signature"), "signature", "left_semi"), "ngram-bearers")
+
+
 def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of the documents, (key, root) of the sets that are linked)."""
     both = written(profiles(docs, words), "ngram-profiles")
     documents = both.where("slice is null").select("doc_id", "size", "key", "parity")
     sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"))
-    total = documents.count()
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
-    frequent = counts > counts.mean() + max(64, FREQUENT * total)
+    # rare tokens alone would scatter the counters around the mean by its root
+    frequent = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + 64
     found = written(set_join.candidates(postings(docs, words, threshold, frequent), threshold).distinct(), "ngram-candidates")
     pairs = found.where("frequent is null").select("a", "b")
 
@@ -160,13 +167,15 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     roots = components(links)
     # sets with a frequent signature were compared with one set only: now with those of other groups
     bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
-    grouped = bearers.join(roots, "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root"))
-    mixed = grouped.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = written(grouped.join(mixed.select("signature"), "signature", "left_semi").join(sizes.select("key", "size"), "key"), "ngram-bearers")
-    more = set_join.open_pairs(rest, threshold, F.col("a.root") < F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "ngram-candidates")
-    if not more.isEmpty():
-        roots = components(links.union(check(more)))
+    rest = open_bearers(bearers, roots)
+    if not rest.isEmpty():
+        links = links.union(check(set_join.leader_pairs(rest)))
+        roots = components(links)
+        rest = open_bearers(rest.select("signature", "key"), roots)
+        wide = rest.join(set_join.folded_bits(sizes, PARITY_WORDS), "key")
+        more = written(set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("a.root") < F.col("b.root")), "ngram-candidates")
+        if not more.isEmpty():
+            roots = components(links.union(check(more)))
     return documents, roots
 
 

@@ -137,16 +137,44 @@ def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInArrow(find, "a long, b long, frequent long")
 
 
-def open_pairs(bearers: DataFrame, threshold: Fraction, unsettled) -> DataFrame:
+def folded_bits(sets: DataFrame, words: int) -> DataFrame:
+    """key, size and the parity bits (binary), folded into an array of ``words`` longs."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, words), axis=0).tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], ["key", "size", "bits"])
+
+    return sets.select("key", "size", "parity").mapInArrow(fold, "key long, size int, bits array<long>")
+
+
+def leader_pairs(bearers: DataFrame, leaders: int = 8) -> DataFrame:
+    """Pairs of a set with some sets of one of its frequent signatures that are in other groups.
+
+    Not all pairs, but few and mostly good: they join most of a group of near copies before
+    ``open_pairs`` compares what is left. ``bearers``: signature, key, root.
+    """
+    own = bearers.groupBy("key").agg(F.min("signature").alias("signature"), F.first("root").alias("root"))
+    picks = [F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(i))) for i in range(leaders)]
+    chosen = own.groupBy("signature").agg(F.array_distinct(F.array(*picks)).alias("lead"))
+    met = own.join(chosen, "signature").select("key", "root", F.explode("lead").alias("lead")).where("root <> lead.root")
+    return met.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+
+
+def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled) -> DataFrame:
     """Pairs of sets with a frequent signature in common for which ``unsettled(a, b)`` holds.
 
-    ``bearers``: signature, key, size and what the condition needs. A plain join on the signature:
-    Spark splits a signature that holds many rows.
+    ``bearers``: signature, the columns of ``folded_bits`` and what the condition needs. A plain join
+    on the signature, which Spark may split, with all filters inside it.
     """
     a, b = bearers.alias("a"), bearers.alias("b")
     num, den = threshold.numerator, threshold.denominator
     size = F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
-    met = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.key") != F.col("b.key")) & size & unsettled
+    total = F.col("a.size") + F.col("b.size")
+    apart = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(words)), F.lit(0))
+    # the least overlap is the total times num / (num + den), rounded up
+    near = apart <= total - 2 * F.expr(f"(({num} * (a.size + b.size) + {num + den - 1}) div {num + den})")
+    met = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.key") != F.col("b.key")) & size & unsettled & near
     return a.join(b, met).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
