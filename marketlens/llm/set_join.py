@@ -224,7 +224,7 @@ def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataF
             apart = np.empty(len(m), np.int64)
             usual = np.array([len(x) == len(y) == 64 for x, y in zip(u, v, strict=True)], bool)
             at = np.flatnonzero(usual)
-            x, y = (np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), -1) for w in (u, v))
+            x, y = (np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), 8) for w in (u, v))
             apart[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) if len(at) else 0
             for i in np.flatnonzero(~usual):
                 apart[i] = hashing.differing_bits(u[i], v[i])
