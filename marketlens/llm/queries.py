@@ -4,30 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import line_dedup, ngram_join
+from marketlens.llm import decontamination, language_id, line_dedup, mixing, ngram_join, token_counts, token_files, topk, url_filter
+from marketlens.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when all sources are mixed by weights 1, 2, 3."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that are similar to an earlier line of any document."""
     return line_dedup.remove_similar_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every 50th vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, with the best window."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token ids of all documents into files and reads every document back."""
+    folder = scratch_folder(spark, "token-files")
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return token_files.read_token_files(manifest)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of 4-word shingles and group of every document."""
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op2_line_dedup": op2_line_dedup,
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_source_mixing,
+        op2_line_dedup,
+        op3_token_counts,
+        op4_url_filter,
+        op5_exact_topk,
+        op6_language_id,
+        op7_benchmark_decontamination,
+        op8_token_files,
+        op9_ngram_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {}
