@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.storage import broadcast_if_small, written
+
 DIMENSIONS = 1024
 #: Symbols: 0 is a gap between words, 1 to 26 are a to z, other letters share the rest by code point.
 SYMBOLS = 64
@@ -137,3 +139,13 @@ def identify_languages(docs: DataFrame, seed: int = 7) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text", "lang")
     langs, vectors = prototypes(rows.where("not held_out and doc_id is not null and lang is not null and text is not null"), seed)
     return predict(rows, langs, vectors, seed)
+
+
+def keep_known(docs: DataFrame, min_score: float, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and a score of at least ``min_score``."""
+    row = F.xxhash64("doc_id", "text")
+    rows = docs.select(row.alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    learn = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null and lang is not null and text is not null")
+    guesses = predict(rows, *prototypes(learn, seed), seed)
+    gone = guesses.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(broadcast_if_small(written(gone, "other-languages")), row == F.col("gone"), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import hashing, set_join
 from marketlens.llm.components import components
-from marketlens.llm.storage import added_up, sliced, written
+from marketlens.llm.storage import added_up, broadcast_if_small, sliced, written
 
 #: Counters for the frequency of tokens.
 SLOTS = 1 << 18
@@ -196,3 +196,16 @@ def link_documents(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
     return documents.join(component, "key", "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """The rows of ``docs`` without those linked with a smaller doc_id; of repeated rows one stays."""
+    linked = link_documents(docs, words, threshold)
+    gone = written(linked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone")).distinct(), "ngram-copies")
+    kept = docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    again = written(linked.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "ngram-repeated")
+    if again.isEmpty():
+        return kept
+    again = broadcast_if_small(again)
+    repeated = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").union(repeated)

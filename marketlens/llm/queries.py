@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontamination, language_id, line_dedup, mixing, ngram_join, token_counts, token_files, topk, url_filter
+from marketlens.llm import decontamination, html_extract, language_id, line_dedup, mixing, ngram_join, token_counts, token_files, topk, url_filter
 from marketlens.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
         op7_benchmark_decontamination,
         op8_token_files,
         op9_ngram_jaccard_join,
+        op10_html_extraction,
     )
 }
 
