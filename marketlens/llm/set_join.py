@@ -28,6 +28,8 @@ from marketlens.llm import hashing
 POSTINGS = "signature long, place long, key long, size int, position int, parity long"
 #: Sets of one signature whose pairs are compared at once.
 RUN = 128
+#: Sets of one signature that a task holds at most, and of which it tells copies from others.
+HELD, LEADERS = 8192, 32
 #: Rows that a task gathers before it looks for pairs.
 GATHERED = 200_000
 
@@ -63,6 +65,33 @@ def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> Iterator[
             yield a["key"][good], b["key"][good]
 
 
+def pairs_of_run(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Possible pairs of one run of up to HELD rows, and which rows may be copies of one row and were not compared."""
+    n = len(rows["key"])
+    group = np.full(n, -1)
+    pairs = []
+
+    def against(i: int, others: np.ndarray) -> np.ndarray:
+        one = {k: np.full(len(others), v[i]) for k, v in rows.items()}
+        return others[possible(one, {k: v[others] for k, v in rows.items()}, threshold)]
+
+    for _ in range(LEADERS):
+        free = np.flatnonzero(group < 0)
+        if not len(free):
+            break
+        copies = against(free[0], free[1:])
+        group[free[0]] = free[0]
+        group[copies] = free[0]
+        pairs.append((np.full(len(copies), rows["key"][free[0]]), rows["key"][copies]))
+    group = np.where(group < 0, np.arange(n), group)
+    for i in range(n - 1):
+        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        near = against(i, others)
+        if len(near):
+            pairs.append((np.full(len(near), rows["key"][i]), rows["key"][near]))
+    return pairs, np.bincount(group, minlength=n)[group] > 2
+
+
 def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs (a, b, frequent signature or null): keys of sets that may be similar enough, each pair at least once.
 
@@ -115,11 +144,11 @@ def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
                     yield out(*pairs)
                 for i in np.flatnonzero(sizes > RUN):
                     run = {k: v[begins[i] : begins[i] + sizes[i]] for k, v in done.items()}
-                    leader = {k: v[:1] for k, v in run.items()}
-                    yield from against_leader(run)
-                    leader = None
+                    pairs, copies = pairs_of_run(run, threshold)
+                    yield out(*(np.concatenate([p[side] for p in pairs] or [run["key"][:0]]) for side in (0, 1)))
+                    yield out(run["key"][copies], run["key"][copies], run["signature"][copies])
             rest = {k: v[cut:] for k, v in rows.items()}
-            if len(rest["key"]) > RUN:
+            if len(rest["key"]) > HELD:
                 leader = {k: v[:1] for k, v in rest.items()}
                 yield from against_leader(rest)
                 rest = {k: v[:0] for k, v in rest.items()}
