@@ -23,7 +23,7 @@ from marketlens.llm import pretokens
 #: Entries of the broadcast table: under 2 MB.
 TABLE = 1 << 15
 #: Entries of a task's summary and cache.
-SUMMARY, CACHE = 1 << 13, 1 << 18
+SUMMARY, CACHE = 1 << 13, 1 << 19
 
 
 def frequent_pretokens(texts: DataFrame, model: str, entries: int) -> list[str]:

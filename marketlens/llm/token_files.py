@@ -38,7 +38,7 @@ FOOTER, FOOTER_BYTES = "<IBI", 9
 ENTRY = np.dtype([("compressed", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
 MANIFEST = "shard int, path string, documents long, tokens long"
 #: Pre-tokens that a task keeps encoded.
-CACHE = 1 << 18
+CACHE = 1 << 19
 
 
 class Writer:
