@@ -95,7 +95,7 @@ def lexical(urls: DataFrame) -> DataFrame:
         (length - F.length(F.translate(url, "-_", ""))).alias("hyphens"),
         url.contains("#").cast("double").alias("fragment"),
         url.startswith("https").cast("double").alias("secure"),
-        F.coalesce(F.length(F.element_at(segments, -1)), F.lit(0)).cast("double").alias("segment_length"),
+        F.coalesce(F.length(F.try_element_at(segments, F.lit(-1))), F.lit(0)).cast("double").alias("segment_length"),
         F.element_at(labels, -1).alias("suffix"),
         F.coalesce(F.get(segments, F.lit(0)), F.lit("")).alias("folder"),
     )
