@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
+
 from marketlens import workflow
 from marketlens.plans.analyses import ANALYSES
 from marketlens.plans.marts import MARTS
@@ -12,8 +14,6 @@ from marketlens.schema import RAW_TABLES
 from marketlens.session import build_session
 from marketlens.sources import files
 
-SHOWN_ROWS = 100
-
 
 def parse_args(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="marketlens")
@@ -34,6 +34,9 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
     query = commands.add_parser("query", help="show an analysis or mart over published tables")
     query.add_argument("folder", help="folder of the published tables")
     query.add_argument("name", choices=[*ANALYSES, *MARTS])
+    for command in (profile, query):
+        command.add_argument("--rows", type=int, default=100, help="rows that are printed of each result")
+        command.add_argument("--out", help="folder for whole results as Parquet; nothing is printed then")
     for command in (run, profile):
         command.add_argument(
             "--file",
@@ -45,6 +48,14 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def deliver(rows: DataFrame, name: str, args: argparse.Namespace) -> None:
+    """Write a whole result, or print its first rows."""
+    if args.out:
+        rows.write.mode("overwrite").parquet(f"{args.out}/{name}")
+    else:
+        rows.show(args.rows, truncate=False)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parse_args(argv)
     spark = build_session(args.master)
@@ -63,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "profile":
         raw = files.read_raw(spark, args.raw_folder, {t: n for t, n in names.items() if t in RAW_TABLES})
         others = {
-            table: files.read_csv_table(spark, table, f"{args.raw_folder}/{name}")
+            table: files.read_csv_table(spark, f"{args.raw_folder}/{name}")
             for table, name in names.items()
             if table not in RAW_TABLES
         }
@@ -73,10 +84,10 @@ def main(argv: list[str] | None = None) -> None:
                 rows = TABLE_PROFILES[report](raw.as_dict() | others)
             else:
                 rows = PROFILES[report](raw)
-            rows.show(SHOWN_ROWS, truncate=False)
+            deliver(rows, report, args)
     else:
         tables = files.read_processed(spark, args.folder)
-        (ANALYSES | MARTS)[args.name](tables).show(SHOWN_ROWS, truncate=False)
+        deliver((ANALYSES | MARTS)[args.name](tables), args.name, args)
 
 
 if __name__ == "__main__":

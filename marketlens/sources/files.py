@@ -1,8 +1,8 @@
 """CSV and parquet readers and writers.
 
-Text files are read without type inference, which would scan them an extra time. Tables known
-to hold no free text are split anywhere. In others a quoted field may hold line breaks; Spark
-reads such a file in one task, so files longer than one split take the way of ``records``.
+Text files are read without type inference, which would scan them an extra time. Any table may
+have quoted fields with line breaks, so every file is read as a stream by one task, by one reader
+whatever its size; a table delivered as many files is read by as many tasks.
 """
 
 from __future__ import annotations
@@ -15,31 +15,20 @@ from pyspark.sql import types as T
 
 from marketlens.functions.text import cast_known, missing_to_null
 from marketlens.schema import COLUMN_TYPES, LOAD_ORDER, RAW_TABLES, RawTables, Tables
-from marketlens.sources.records import largest_file, read_split_csv
 
-SINGLE_LINE_TABLES = frozenset(RAW_TABLES) - {"reviews"}
-ONE_TASK_BYTES = 128 * 1024 * 1024
 BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv_table(
-    spark: SparkSession, table: str, path: str, one_task_bytes: int = ONE_TASK_BYTES
-) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     """One table as text columns, with missing-value texts as NULL."""
-    if table in SINGLE_LINE_TABLES:
-        df = spark.read.csv(path, **CSV_OPTIONS)
-    elif largest_file(spark, path) <= one_task_bytes:
-        df = spark.read.csv(path, multiLine=True, **CSV_OPTIONS)
-    else:
-        df = read_split_csv(spark, path, CSV_OPTIONS)
-    return missing_to_null(df)
+    return missing_to_null(spark.read.csv(path, multiLine=True, **CSV_OPTIONS))
 
 
 def read_raw(spark: SparkSession, folder: str, file_names: Mapping[str, str] | None = None) -> RawTables:
     """The seven delivered tables. ``file_names`` maps a table to its file or folder name."""
     names = {table: f"{table}.csv" for table in RAW_TABLES} | dict(file_names or {})
-    return RawTables(**{table: read_csv_table(spark, table, f"{folder}/{names[table]}") for table in RAW_TABLES})
+    return RawTables(**{table: read_csv_table(spark, f"{folder}/{names[table]}") for table in RAW_TABLES})
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:
@@ -67,7 +56,7 @@ def read_processed(spark: SparkSession, folder: str, fmt: str = "parquet") -> Ta
         return Tables(**{name: spark.read.format(fmt).load(f"{folder}/{name}") for name in LOAD_ORDER})
     return Tables(
         **{
-            name: cast_known(read_csv_table(spark, name, f"{folder}/{name}.csv"), COLUMN_TYPES[name])
+            name: cast_known(read_csv_table(spark, f"{folder}/{name}.csv"), COLUMN_TYPES[name])
             for name in LOAD_ORDER
         }
     )

@@ -44,6 +44,8 @@ def run(
     are published to the catalog ``database`` or, without one, to ``published``. The marts are
     registered as views over the published tables.
     """
+    if buckets and database is None:
+        raise ValueError("buckets need a database: files in a folder are not bucketed")
     tables = prepare(spark, files.read_raw(spark, raw_folder, file_names))
     files.write_processed(tables, f"{out_folder}/processed", fmt)
     if database is None:

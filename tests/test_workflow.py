@@ -37,7 +37,7 @@ def test_broken_files_are_not_exported(spark, raw_folder, tmp_path):
     with pytest.raises(DataQualityError, match="sellers.seller_id is unique"):
         workflow.prepare(spark, doubled)
     files.write_csv_table(raw.order_items.limit(0), f"{tmp_path}/empty.csv")
-    assert rows(files.read_csv_table(spark, "order_items", f"{tmp_path}/empty.csv")) == []
+    assert rows(files.read_csv_table(spark, f"{tmp_path}/empty.csv")) == []
 
 
 def test_profiles_run_on_delivered_text(spark, raw_folder):
