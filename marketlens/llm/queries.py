@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import decontamination, html_extract, language_id, line_dedup, mixing, ngram_join, token_counts, token_files, topk, url_filter
+from marketlens.llm.oracles import ORACLES  # noqa: F401
 from marketlens.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,5 +86,3 @@ QUERIES: dict[str, Query] = {
         op10_html_extraction,
     )
 }
-
-ORACLES: dict[str, str] = {}
