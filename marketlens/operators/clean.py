@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import delivery
 from marketlens.functions.exact import MICROS_PER_SECOND
 from marketlens.functions.text import cast_known, parse_timestamps
-from marketlens.operators.lookup import BROADCAST_BYTES, lookup_join
+from marketlens.operators.lookup import lookup_join
 from marketlens.schema import (
     APPROVED,
     COLUMN_TYPES,
@@ -64,9 +64,7 @@ def rename_products(raw: DataFrame) -> DataFrame:
     )
 
 
-def translate_category(
-    products: DataFrame, translation: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def translate_category(products: DataFrame, translation: DataFrame, shuffled: bool = False) -> DataFrame:
     """Add ``product_category``, the translated name; NULL where there is none.
 
     A missing category matches a missing key of the translation.
@@ -75,9 +73,7 @@ def translate_category(
         "product_category_name",
         F.col("product_category_name_english").alias("product_category"),
     )
-    return lookup_join(
-        products, names, "product_category_name", "left", null_safe=True, limit=broadcast_bytes
-    )
+    return lookup_join(products, names, "product_category_name", "left", null_safe=True, shuffled=shuffled)
 
 
 def fill_category(products: DataFrame) -> DataFrame:

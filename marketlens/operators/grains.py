@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.delivery import delivered, delivered_with_evidence
 from marketlens.functions.exact import cents_sum
 from marketlens.functions.measures import order_measures, resum
-from marketlens.operators.lookup import BROADCAST_BYTES, lookup_join
+from marketlens.operators.lookup import lookup_join
 from marketlens.schema import Tables
 
 
@@ -40,12 +40,12 @@ def seller_orders(order_items: DataFrame) -> DataFrame:
     )
 
 
-def category_orders(t: Tables, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def category_orders(t: Tables, shuffled: bool = False) -> DataFrame:
     """One row per order and product category, with the items, their prices and their sum."""
     items = t.order_items.select("order_id", "product_id", "price").filter(F.col("product_id").isNotNull())
     products = t.products.select("product_id", "product_category")
     return (
-        lookup_join(items, products, "product_id", "inner", limit=broadcast_bytes)
+        lookup_join(items, products, "product_id", "inner", shuffled=shuffled)
         .groupBy("order_id", "product_category")
         .agg(
             F.count(F.lit(1)).alias("items"),

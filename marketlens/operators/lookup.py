@@ -2,76 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-ROW_OVERHEAD_BYTES = 32
-
-
-def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure the rows and text lengths of a narrow dimension with one small aggregate."""
-    width = sum(
-        (F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in dim.columns),
-        F.lit(ROW_OVERHEAD_BYTES),
-    )
-    measured = dim.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"]
-    return (measured or 0) <= limit
-
-
-def hot_keys(fact: DataFrame, key: str, parts: int) -> DataFrame:
-    """Keys that hold more than one partition's fair share of the rows.
-
-    Each has more than 1/parts of all rows, so there are fewer than ``parts`` of them.
-    """
-    total = fact.agg(F.count(F.lit(1)).alias("total"))
-    counts = fact.groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") * parts > total.scalar()).select("_hot_key")
-
-
-def split_join(fact: DataFrame, dim: DataFrame, key: str, how: str, null_safe: bool = False) -> DataFrame:
-    """Join to a dimension of any size, with one row per key, that no hot key can hold up.
-
-    Facts of hot keys stay where they are and meet the few dimension rows of those keys by
-    broadcast; all other keys have at most a partition's share of facts and are shuffled.
-    Without hot keys adaptive execution drops the first branch before it reads anything.
-    """
-    parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(fact, key, parts))
-    dim = dim.withColumnRenamed(key, "_dim_key")
-    same, is_hot = _same(key, null_safe), F.col(key).eqNullSafe(F.col("_hot_key"))
-
-    hot_dim = F.broadcast(dim.join(hot, F.col("_dim_key").eqNullSafe(F.col("_hot_key")), "left_semi"))
-    by_broadcast = fact.join(hot, is_hot, "left_semi").join(hot_dim, same, how)
-    by_shuffle = fact.join(hot, is_hot, "left_anti").join(dim, same, how)
-    return by_broadcast.unionByName(by_shuffle).drop("_dim_key")
-
-
-def broadcast_join(
-    fact: DataFrame, dim: DataFrame, key: str, how: str, null_safe: bool = False
-) -> DataFrame:
-    """Join a dimension whose size has been checked with ``fits_broadcast``."""
-    small = F.broadcast(dim.withColumnRenamed(key, "_dim_key"))
-    return fact.join(small, _same(key, null_safe), how).drop("_dim_key")
-
 
 def lookup_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    how: str,
-    null_safe: bool = False,
-    limit: int = BROADCAST_BYTES,
+    fact: DataFrame, dim: DataFrame, key: str, how: str, null_safe: bool = False, shuffled: bool = False
 ) -> DataFrame:
-    """Join facts to a dimension: broadcast if it measures small, else split by hot keys.
+    """Join facts to a dimension with one row per key, in one lazy join.
 
-    ``null_safe`` lets a missing key match a missing key.
+    Adaptive execution knows the real sizes when it runs: it broadcasts a dimension that proves
+    small, and splits the partition of a hot key among tasks otherwise. ``shuffled`` rules the
+    broadcast out. ``null_safe`` lets a missing key match a missing key.
     """
-    if fits_broadcast(dim, limit):
-        return broadcast_join(fact, dim, key, how, null_safe)
-    return split_join(fact, dim, key, how, null_safe)
-
-
-def _same(key: str, null_safe: bool) -> Column:
+    dim = dim.withColumnRenamed(key, "_dim_key")
     left, right = F.col(key), F.col("_dim_key")
-    return left.eqNullSafe(right) if null_safe else left == right
+    same = left.eqNullSafe(right) if null_safe else left == right
+    return fact.join(dim.hint("merge") if shuffled else dim, same, how).drop("_dim_key")

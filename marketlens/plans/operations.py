@@ -9,7 +9,6 @@ from marketlens.functions.delivery import delivered, delivered_with_evidence, mi
 from marketlens.functions.exact import exact_sum, mean2, money
 from marketlens.functions.measures import average_days, late_rate
 from marketlens.operators.grains import category_orders, seller_orders
-from marketlens.operators.lookup import BROADCAST_BYTES
 from marketlens.schema import DELIVERED, PURCHASED, Tables
 
 # Length of the top lists and smallest groups whose risk is reported.
@@ -83,10 +82,10 @@ def seller_risk(t: Tables, min_orders: int = MIN_SELLER_ORDERS) -> DataFrame:
     return seller_performance(t, min_orders).orderBy(F.desc("late_orders"), "seller_id")
 
 
-def top_categories(t: Tables, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def top_categories(t: Tables, top: int = TOP, shuffled: bool = False) -> DataFrame:
     """The categories with the highest merchandise value of delivered orders."""
     return (
-        category_orders(t, broadcast_bytes)
+        category_orders(t, shuffled)
         .join(_delivered_ids(t), "order_id", "left_semi")
         .groupBy("product_category")
         .agg(
@@ -108,12 +107,10 @@ def top_categories(t: Tables, top: int = TOP, broadcast_bytes: int = BROADCAST_B
     )
 
 
-def category_performance(
-    t: Tables, min_orders: int = MIN_CATEGORY_ORDERS, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def category_performance(t: Tables, min_orders: int = MIN_CATEGORY_ORDERS, shuffled: bool = False) -> DataFrame:
     """Value, volume and lateness of the categories with enough orders, in no order."""
     return (
-        category_orders(t, broadcast_bytes)
+        category_orders(t, shuffled)
         .join(_delivery_facts(t), "order_id")
         .groupBy("product_category")
         .agg(*_risk_measures())

@@ -7,9 +7,10 @@ whatever its size; a table delivered as many files is read by as many tasks.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +70,37 @@ def buckets_balance(df: DataFrame, key: str, buckets: int) -> bool:
     return row["total"] is not None and row["largest"] * buckets <= 4 * row["total"]
 
 
+def stored_buckets(spark: SparkSession, table: str) -> int | None:
+    """Buckets of a catalog table, or None."""
+    described = {row["col_name"]: row["data_type"] for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    return int(described["Num Buckets"]) if "Num Buckets" in described else None
+
+
+def replace_folder(spark: SparkSession, new: str, old: str) -> None:
+    """Put a finished folder in the place of another one of the same file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(old), True)
+    if not fs.rename(path(new), path(old)):
+        raise OSError(f"cannot rename {new} to {old}")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(folder))
+
+
+def check_same_columns(name: str, batch: DataFrame, stored: DataFrame) -> None:
+    """Raise unless the batch can be added to the stored rows."""
+    if sorted(batch.dtypes) != sorted(stored.dtypes):
+        raise ValueError(f"{name}: cannot append {sorted(batch.dtypes)} to {sorted(stored.dtypes)}")
+
+
 def publish(
     tables: Tables,
     *,
@@ -77,31 +109,69 @@ def publish(
     mode: str = "overwrite",
     buckets: int | None = None,
 ) -> dict[str, int]:
-    """Publish the six tables, parents before children, and return the rows written per table.
+    """Publish the six tables, parents before children, and return the stored rows of each batch.
 
     Tables go to a catalog database or, as parquet, to a folder. Overwriting makes a repeated
-    run harmless; ``mode="append"`` adds rows. With ``buckets`` (catalog only) the three tables
-    keyed by order are stored in buckets of the order id, and their joins need no shuffle. A
-    bucket is read by one task, so a table with a heavy bucket is stored without buckets.
+    run harmless; ``mode="append"`` adds rows. All six batches are checked, then written beside the
+    published tables; only when all are complete do they take their place, or are added. A batch that
+    cannot be computed or stored so leaves every table with its old rows.
+
+    With ``buckets`` (catalog only) the three tables keyed by order are stored in buckets of the
+    order id, and their joins need no shuffle. A bucket is read by one task, so a new table with a
+    heavy bucket is stored without buckets; appending keeps the buckets a table has. Both give a warning.
     """
     if (database is None) == (folder is None):
         raise ValueError("publish to either a database or a folder")
-    written = {}
-    for name in LOAD_ORDER:
-        df = getattr(tables, name)
-        bucketed = bool(buckets and database and name in BY_ORDER and buckets_balance(df, "order_id", buckets))
-        if bucketed:
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode}")
+    batches = tables.as_dict()
+    spark = batches["orders"].sparkSession
+
+    def place(name: str) -> str:
+        return f"{database}.{name}" if database else f"{folder}/{name}"
+
+    def open_table(path: str) -> DataFrame:
+        return spark.table(path) if database else spark.read.parquet(path)
+
+    added = set()
+    if mode == "append":
+        exists = spark.catalog.tableExists if database else (lambda path: folder_exists(spark, path))
+        added = {name for name in batches if exists(place(name))}
+    layout: dict[str, int | None] = dict.fromkeys(batches)
+    for name, df in batches.items():
+        wanted = buckets if database and name in BY_ORDER else None
+        if name in added:
+            check_same_columns(name, df, open_table(place(name)))
+            layout[name] = stored_buckets(spark, place(name)) if database else None
+        elif wanted and buckets_balance(df, "order_id", wanted):
+            layout[name] = wanted
+        if wanted != layout[name]:
+            warnings.warn(f"{name} is stored with {layout[name] or 'no'} buckets instead of {wanted or 'none'}", stacklevel=2)
+
+    for name, df in batches.items():
+        count = layout[name]
+        if count:
             # one bucket per task, so that the number of files does not multiply with the tasks
-            df = df.hint("rebalance", buckets, "order_id")
-        rows = Observation(f"publish {name}")
-        writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("parquet")
-        if bucketed:
-            writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
-        if database:
-            writer.saveAsTable(f"{database}.{name}")
+            df = df.hint("rebalance", count, "order_id")
+        writer = df.write.mode("overwrite").format("parquet")
+        if count:
+            writer = writer.bucketBy(count, "order_id").sortBy("order_id")
+        writer.saveAsTable(f"{place(name)}__new") if database else writer.save(f"{place(name)}__new")
+    written = {name: open_table(f"{place(name)}__new").count() for name in batches}
+
+    for name in batches:
+        old, new = place(name), f"{place(name)}__new"
+        if name in added:
+            batch = open_table(new).select(*open_table(old).columns)
+            batch.write.insertInto(old) if database else batch.write.mode("append").parquet(old)
+            spark.sql(f"DROP TABLE {new}") if database else remove_folder(spark, new)
+        elif database:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
+            spark.sql(f"ALTER TABLE {new} RENAME TO {old}")
         else:
-            writer.save(f"{folder}/{name}")
-        written[name] = rows.get["rows"]
+            replace_folder(spark, new, old)
+            # listings of the old files may be cached
+            spark.catalog.refreshByPath(old)
     return written
 
 

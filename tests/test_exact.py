@@ -89,34 +89,19 @@ def skewed(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("null_safe", [False, True])
-def test_split_join_equals_plain_join(spark, how, null_safe):
+def test_lookup_join_equals_plain_join(spark, how, null_safe):
     facts, dim = skewed(spark)
     other = dim.withColumnRenamed("k", "dk")
     same = F.col("k").eqNullSafe(F.col("dk")) if null_safe else F.col("k") == F.col("dk")
     expected = sorted(rows(facts.join(other, same, how).select("id", "k", "name")), key=repr)
-    for limit in (0, lookup.BROADCAST_BYTES):
-        joined = lookup.lookup_join(facts, dim, "k", how, null_safe, limit)
+    for shuffled in (False, True):
+        joined = lookup.lookup_join(facts, dim, "k", how, null_safe, shuffled)
         assert joined.columns == ["id", "k", "name"]
         assert sorted(rows(joined), key=repr) == expected
 
 
-def test_hot_keys_hold_more_than_a_partition(spark):
-    facts, _ = skewed(spark)
-    assert sorted(rows(lookup.hot_keys(facts, "k", 4)), key=repr) == [(1,), (None,)]
-    assert sorted(rows(lookup.hot_keys(facts, "k", 2)), key=repr) == []
-    assert rows(lookup.hot_keys(spark.range(100).withColumnRenamed("id", "k"), "k", 100)) == []
-    assert rows(lookup.hot_keys(facts.limit(0), "k", 4)) == []
-
-
-def test_hot_facts_are_not_shuffled(spark):
+def test_a_lookup_reads_its_facts_once_and_forces_no_broadcast(spark):
     facts, dim = skewed(spark)
-    plan = lookup.split_join(facts, dim, "k", "inner")._jdf.queryExecution().executedPlan().toString()
-    hot, _ = plan.split("LeftAnti")
-    assert "LeftSemi" in hot and "SortMergeJoin" not in hot.split("LeftSemi")[0]
-
-
-def test_size_check_measures_text(spark):
-    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
-    assert lookup.fits_broadcast(wide, 200_000)
-    assert not lookup.fits_broadcast(wide, 50_000)
-    assert lookup.fits_broadcast(wide.limit(0), 0)
+    plan = lookup.lookup_join(facts, dim, "k", "inner", shuffled=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "strategy=broadcast" not in lookup.lookup_join(facts, dim, "k", "inner")._jdf.queryExecution().logical().toString()

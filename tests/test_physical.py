@@ -9,7 +9,7 @@ from marketlens.sources import testdata
 from marketlens.plans import marts, operations
 
 ANALYSES = [n for n in registry.queries() if n.startswith(("q0", "vw_"))]
-EAGER = {n for n in registry.queries() if n.startswith(("src_", "sink_"))}
+EAGER = {n for n in registry.queries() if n.startswith(("src_", "sink_"))} | set(registry.corpus_queries()[0])
 
 
 def plan_of(df):
@@ -67,3 +67,19 @@ def test_facts_are_combined_before_every_shuffle(spark, small_dir):
 def test_top_list_needs_no_full_sort(spark, small_dir):
     plan = plan_of(operations.top_sellers(testdata.processed_tables(spark, small_dir)))
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in EAGER])
+def test_building_a_query_runs_no_job(spark, small_dir, name):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build {name}", name)
+    try:
+        registry.queries()[name](spark, small_dir)
+        assert list(jobs.getJobIdsForGroup(f"build {name}")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["vw_category_performance", "vw_category_performance_split"])
+def test_items_are_scanned_once_for_categories(spark, small_dir, name):
+    assert plan_of(registry.queries()[name](spark, small_dir)).count("l_partkey:bigint") == 1

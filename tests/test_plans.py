@@ -120,9 +120,9 @@ def test_order_counts_once_per_category(spark):
     assert risk == {"toys": Decimal("3.00"), "books": Decimal("8.00")}
 
 
-def test_split_and_broadcast_categories_agree(sample):
+def test_shuffled_and_broadcast_categories_agree(sample):
     small = rows(grains.category_orders(sample).orderBy("order_id", "product_category"))
-    large = rows(grains.category_orders(sample, broadcast_bytes=0).orderBy("order_id", "product_category"))
+    large = rows(grains.category_orders(sample, shuffled=True).orderBy("order_id", "product_category"))
     assert small == large
 
 

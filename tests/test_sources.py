@@ -1,5 +1,7 @@
 """Files, published tables and views."""
 
+import contextlib
+
 import pytest
 from build import item, order, rows, tables
 from pyspark.sql import functions as F
@@ -138,6 +140,49 @@ def test_tables_with_a_heavy_bucket_are_not_bucketed(spark, sample):
     assert written["order_items"] == sample.order_items.count()
 
 
+def contents(spark, database):
+    return {n: spark.table(f"{database}.{n}").count() for n in LOAD_ORDER}
+
+
+@pytest.mark.parametrize("heavy_first", [False, True])
+def test_appending_keeps_the_buckets_of_the_table(spark, sample, heavy_first):
+    heavy = sample.replacing(order_items=sample.order_items.withColumn("order_id", F.expr("if(price > 0, 1L, order_id)")))
+    first, second = (heavy, sample) if heavy_first else (sample, heavy)
+    database = f"mixed_{int(heavy_first)}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    written = files.publish(first, database=database, buckets=8)
+    with pytest.warns(UserWarning, match="order_items") if heavy_first else contextlib.nullcontext():
+        files.publish(second, database=database, mode="append", buckets=8)
+    assert contents(spark, database) == {n: 2 * rows for n, rows in written.items()}
+    assert files.stored_buckets(spark, f"{database}.order_items") == (None if heavy_first else 8)
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "append"])
+@pytest.mark.parametrize("to_folder", [False, True])
+def test_a_failed_publish_changes_nothing_and_can_be_repeated(spark, sample, tmp_path, mode, to_folder):
+    database = f"safe_{mode}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    target = {"folder": str(tmp_path / "out")} if to_folder else {"database": database, "buckets": 4}
+
+    def stored():
+        back = files.read_processed(spark, target["folder"]) if to_folder else files.read_published(spark, database)
+        return {name: df.count() for name, df in back.as_dict().items()}
+
+    written = files.publish(sample, **target)
+    broken = F.when(F.col("price") > 0, F.raise_error(F.lit("broken batch"))).otherwise(F.col("price"))
+    bad = sample.replacing(order_items=sample.order_items.withColumn("price", broken.cast("decimal(12,2)")))
+    with pytest.raises(Exception, match="broken batch"):
+        files.publish(bad, mode=mode, **target)
+    assert stored() == written
+    strange = sample.replacing(order_items=sample.order_items.withColumn("price", F.lit("x")))
+    if mode == "append":
+        with pytest.raises(ValueError, match="order_items"):
+            files.publish(strange, mode=mode, **target)
+    assert stored() == written
+    files.publish(sample, mode=mode, **target)
+    assert stored() == {n: (2 if mode == "append" else 1) * rows for n, rows in written.items()}
+
+
 def test_views_are_replaced_and_readable_by_name(spark, sample):
     assert marts.register_views(sample) == list(marts.MARTS)
     assert marts.register_views(sample) == list(marts.MARTS)
