@@ -53,3 +53,13 @@ def cast_known(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
         if name in df.columns and df.schema[name].dataType != dtype
     }
     return df.withColumns(casts) if casts else df
+
+
+def lost(value: Column, source: T.DataType, target: T.DataType) -> Column:
+    """Whether a value that is present does not survive as ``target``: unreadable, out of range or rounded."""
+    if isinstance(target, T.TimestampNTZType):
+        typed = parse_timestamp(value) if isinstance(source, T.StringType) else value.try_cast(target)
+        return value.isNotNull() & typed.isNull()
+    exact = T.DecimalType(38, 10)
+    kept = value.try_cast(target)
+    return value.isNotNull() & (kept.isNull() | ~kept.cast(exact).eqNullSafe(value.try_cast(exact)))

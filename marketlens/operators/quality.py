@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marketlens.functions.text import lost
 from marketlens.schema import (
     APPROVED,
     CARRIER,
+    COLUMN_TYPES,
     DELIVERED,
     ENFORCED_FOREIGN_KEYS,
     FOREIGN_KEYS,
     ITEM_KEY,
     PRIMARY_KEYS,
+    STRICT_COLUMNS,
     Tables,
 )
 
 
 class DataQualityError(Exception):
-    """A key or reference rule is broken."""
+    """A key, reference or type rule is broken."""
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
@@ -254,6 +259,78 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
     )
 
 
+def _as_whole_text(name: str, dtype: T.DataType) -> Column:
+    """A value as text that does not depend on how an engine prints numbers and times."""
+    value = F.col(name)
+    if isinstance(dtype, T.BooleanType):
+        value = value.cast("int")
+    elif isinstance(dtype, T.TimestampNTZType):
+        value = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    elif isinstance(dtype, T.DoubleType):
+        value = F.floor(value * 1000)
+    elif isinstance(dtype, T.DecimalType):
+        value = (value * 10**dtype.scale).cast("decimal(38,0)")
+    return value.cast("string")
+
+
+def table_contents(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per column the rows, the known values and a digest: the sum of 32 bits of each value's MD5.
+
+    The digest depends on all values of the column, whatever their order. One pass per table,
+    combined on the map side.
+    """
+    reports = []
+    for table, df in tables.items():
+        texts = {f.name: _as_whole_text(f.name, f.dataType) for f in df.schema.fields}
+        bits = {name: F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") for name, text in texts.items()}
+        totals = [F.count(F.lit(1)).alias("_rows")]
+        for i, name in enumerate(texts):
+            totals += [F.count(F.col(name)).alias(f"_known_{i}"), _or_zero(F.sum(bits[name])).alias(f"_digest_{i}")]
+        columns = [
+            F.struct(F.lit(name).alias("column_name"), F.col(f"_known_{i}").alias("known"), F.col(f"_digest_{i}").alias("digest"))
+            for i, name in enumerate(texts)
+        ]
+        one = df.agg(*totals).select(F.lit(table).alias("table_name"), F.col("_rows").alias("row_count"), F.explode(F.array(*columns)).alias("c"))
+        reports.append(one.select("table_name", "row_count", "c.*"))
+    return _stack(reports)
+
+
+def cast_losses(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """Per typed column of the delivered tables the values that are present, and how many are no such value.
+
+    A value is lost if it cannot be read as the declared type, or only by rounding; timestamps must
+    have the accepted layout. One pass per table.
+    """
+    reports = []
+    for table, df in raw.items():
+        given = {f.name: f.dataType for f in df.schema.fields}
+        columns = [name for name in COLUMN_TYPES[table] if name in given]
+        if not columns:
+            continue
+        totals = []
+        for i, name in enumerate(columns):
+            is_lost = lost(F.col(name), given[name], COLUMN_TYPES[table][name])
+            totals += [F.count(F.col(name)).alias(f"_present_{i}"), F.count_if(is_lost).alias(f"_lost_{i}")]
+        rows = [
+            F.struct(F.lit(name).alias("column_name"), F.col(f"_present_{i}").alias("present"), F.col(f"_lost_{i}").alias("lost"))
+            for i, name in enumerate(columns)
+        ]
+        one = df.agg(*totals).select(F.lit(table).alias("table_name"), F.explode(F.array(*rows)).alias("c"))
+        reports.append(one.select("table_name", "c.*"))
+    return _stack(reports)
+
+
+def check_cast_losses(report: DataFrame) -> None:
+    """Raise ``DataQualityError`` if a text that should be a number is none, or has too many digits or decimals.
+
+    Unreadable timestamps are tolerated; the report counts them.
+    """
+    strict = [F.col("table_name").eqNullSafe(t) & F.col("column_name").isin(*c) for t, c in STRICT_COLUMNS.items()]
+    broken = report.filter((F.col("lost") > 0) & reduce(or_, strict)).orderBy("table_name", "column_name").collect()
+    if broken:
+        raise DataQualityError("; ".join(f"{r['table_name']}.{r['column_name']}: {r['lost']} of {r['present']} texts unreadable" for r in broken))
+
+
 def unique_key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per primary key the rows that repeat an earlier key; NULLs repeat each other."""
     return _stack(

@@ -417,22 +417,62 @@ UNREADABLE = "order_id % 41 = 0 OR order_id % 43 = 0 OR order_id % 47 = 0"
 PARSED_CARRIER = (
     f"CASE WHEN {UNREADABLE} THEN NULL ELSE order_delivered_carrier_date END AS order_delivered_carrier_date"
 )
-PROCESSED_ROWS = (
-    ("customers", "cu"),
-    ("products", "pr"),
-    ("sellers", "se"),
-    ("orders", "o"),
-    ("reviews", "r"),
-    ("order_items", "i"),
+PROCESSED_PRODUCTS = (
+    "SELECT product_id, product_category_name, product_name_lenght AS product_name_length, "
+    "product_description_lenght AS product_description_length, product_weight_g, product_category FROM pr"
 )
 
 
-def loaded_rows() -> str:
+def digests(table: str, select: str) -> str:
+    """Rows, known values and digest of each column; numbers and times as whole numbers."""
+    text = """CASE WHEN typeof(COLUMNS(*)) = 'DOUBLE' THEN CAST(CAST(floor(1000 * TRY_CAST(CAST(COLUMNS(*) AS VARCHAR) AS DOUBLE)) AS HUGEINT) AS VARCHAR)
+        WHEN typeof(COLUMNS(*)) LIKE 'DECIMAL%' THEN CAST(CAST(100 * TRY_CAST(CAST(COLUMNS(*) AS VARCHAR) AS DECIMAL(20,2)) AS HUGEINT) AS VARCHAR)
+        WHEN typeof(COLUMNS(*)) LIKE 'TIMESTAMP%' THEN CAST(epoch_us(TRY_CAST(CAST(COLUMNS(*) AS VARCHAR) AS TIMESTAMP)) AS VARCHAR)
+        WHEN typeof(COLUMNS(*)) = 'BOOLEAN' THEN CASE CAST(COLUMNS(*) AS VARCHAR) WHEN 'true' THEN '1' WHEN 'false' THEN '0' END
+        ELSE CAST(COLUMNS(*) AS VARCHAR) END"""
+    return f"""SELECT '{table}' AS table_name, count(*) AS row_count, column_name, count(val) AS known,
+            CAST(coalesce(sum(CAST('0x' || substr(md5(val), 1, 8) AS BIGINT)), 0) AS BIGINT) AS digest
+        FROM (FROM (SELECT {text} FROM ({select})) UNPIVOT INCLUDE NULLS (val FOR column_name IN (COLUMNS(*))))
+        GROUP BY column_name"""
+
+
+def stored_contents(orders: str, items: str, reviews: str, more: tuple[tuple[str, str], ...] = ()) -> str:
+    tables = (
+        ("customers", "FROM cu"),
+        ("products", PROCESSED_PRODUCTS),
+        ("sellers", "FROM se"),
+        ("orders", orders),
+        ("reviews", reviews),
+        ("order_items", items),
+        *more,
+    )
+    return with_model("cu pr se o r i", _union([digests(t, select) for t, select in tables]))
+
+
+def losses() -> str:
+    """Planted losses per typed column of the delivered texts."""
+    dates = ("order_purchase_timestamp", "order_approved_at", "order_delivered_customer_date", "order_estimated_delivery_date")
+    carrier = "order_delivered_carrier_date"
+    given = f"order_id % 41 = 0 OR ({carrier} IS NOT NULL AND (order_id % 43 = 0 OR order_id % 47 <> 0))"
+    cut = f"order_id % 41 = 0 OR ({carrier} IS NOT NULL AND order_id % 43 = 0)"
+    bad_price = "order_id % 59 = 0 OR order_id % 61 = 0 OR order_id % 67 = 0"
+    checks = [
+        *(("orders", "raw_o", d, f"{d} IS NOT NULL", "FALSE") for d in dates),
+        ("orders", "raw_o", carrier, given, cut),
+        ("order_items", "i", "order_item_id", "order_item_id IS NOT NULL", "FALSE"),
+        ("order_items", "i", "shipping_limit_date", "order_id % 53 = 0 OR shipping_limit_date IS NOT NULL", "order_id % 53 = 0"),
+        ("order_items", "i", "price", f"{bad_price} OR price IS NOT NULL", bad_price),
+        ("order_items", "i", "freight_value", "freight_value IS NOT NULL", "FALSE"),
+        *(("products", "raw_pr", c, f"{c} IS NOT NULL", "FALSE") for c in ("product_name_lenght", "product_description_lenght")),
+        ("reviews", "r", "review_score", "review_id % 71 = 0 OR review_score IS NOT NULL", "review_id % 71 = 0"),
+        *(("reviews", "r", c, f"{c} IS NOT NULL", "FALSE") for c in ("review_creation_date", "review_answer_timestamp")),
+    ]
     parts = [
-        f"SELECT {step} AS load_step, '{t}' AS table_name, count(*) AS rows_loaded FROM {cte}"
-        for step, (t, cte) in enumerate(PROCESSED_ROWS, 1)
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) FILTER (WHERE {present}) AS present, "
+        f"count(*) FILTER (WHERE {gone}) AS lost FROM {cte}"
+        for table, cte, column, present, gone in checks
     ]
-    return with_model("cu pr se o r i", _union(parts))
+    return with_model("raw_o i raw_pr r", _union(parts))
 
 
 def oracle_queries() -> dict[str, str]:
@@ -634,29 +674,28 @@ def oracle_queries() -> dict[str, str]:
     q["clean_fill_category"] = with_model("pr", "SELECT product_id, product_category_name, product_category FROM pr")
 
     # sources and sinks
-    q["src_raw_csv"] = with_model(
-        "o",
-        f"""SELECT order_id, customer_id, order_status, order_purchase_timestamp, order_approved_at,
+    read_items = """SELECT * REPLACE (CASE WHEN order_id % 53 <> 0 THEN shipping_limit_date END AS shipping_limit_date) FROM i"""
+    read_reviews = """SELECT * REPLACE (date_trunc('second', review_creation_date) AS review_creation_date,
+        date_trunc('second', review_answer_timestamp) AS review_answer_timestamp) FROM r"""
+    read_orders = f"""SELECT order_id, customer_id, order_status, order_purchase_timestamp, order_approved_at,
             {PARSED_CARRIER}, order_delivered_customer_date, order_estimated_delivery_date,
-            is_delivered, is_canceled, {DURATIONS} FROM o""",
-    )
+            is_delivered, is_canceled, {DURATIONS} FROM o"""
+    q["src_raw_csv"] = stored_contents(read_orders, read_items, read_reviews, (("category_translation", "FROM tr"),))
     q["src_raw_csv_text"] = with_model(
         "r",
         """SELECT review_id, order_id, review_score, review_comment_message,
            date_trunc('second', review_creation_date) AS review_creation_date FROM r""",
     )
-    q["src_processed"] = with_model("o", f"SELECT {ORDER_COLUMNS}, is_delivered, is_canceled, {DURATIONS} FROM o")
-    q["src_tristate_flags"] = with_model("o", "SELECT order_id, is_delivered, is_canceled, is_late FROM o")
-    q["sink_processed"] = with_model(
-        "i",
-        f"""SELECT order_id, order_item_id, product_id, seller_id, shipping_limit_date, {dbl("price")} AS price,
-            {dbl("freight_value")} AS freight_value, {dbl("item_total_value")} AS item_total_value FROM i""",
+    q["src_processed"] = stored_contents(
+        f"SELECT {ORDER_COLUMNS}, is_delivered, is_canceled, {DURATIONS} FROM o", "FROM i", "FROM r"
     )
-    q["sink_publish"] = loaded_rows()
+    q["src_tristate_flags"] = with_model("o", "SELECT order_id, is_delivered, is_canceled, is_late FROM o")
+    q["sink_processed"] = q["sink_publish"] = q["src_processed"]
+    q["cast_losses"] = losses()
     views = [name for name in q if name in MARTS]
     q["q04_3_top_categories_split"] = q["q04_3_top_categories"]
     q["vw_category_performance_split"] = q["vw_category_performance"]
     q["clean_translate_category_split"] = q["clean_translate_category"]
     q["src_raw_csv_text_split"] = q["src_raw_csv_text"]
-    q["sink_view"] = _union([f"SELECT '{v}' AS view_name, count(*) AS view_rows FROM ({q[v]})" for v in views])
+    q["sink_view"] = _union([digests(v, q[v]) for v in views])
     return q

@@ -85,6 +85,12 @@ COLUMN_TYPES: dict[str, dict[str, T.DataType]] = {
     },
 }
 
+# Columns of which no delivered value may be lost; unreadable timestamps are only counted.
+STRICT_COLUMNS = {
+    "order_items": ("order_item_id", "price", "freight_value"),
+    "reviews": ("review_score",),
+}
+
 
 class Tables:
     """The six cleaned tables every analysis and mart reads, as attributes.

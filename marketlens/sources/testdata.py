@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import delivery
+from marketlens.functions.text import missing_to_null
 from marketlens.operators.clean import UNKNOWN_CATEGORY, clean_order_items, clean_orders
 from marketlens.schema import (
     APPROVED,
@@ -185,6 +186,20 @@ def delivered_texts(raw: RawTables) -> RawTables:
     )
 
 
+def damaged_texts(raw: RawTables) -> RawTables:
+    """The same with prices and scores that are no such numbers."""
+    texts = delivered_texts(raw)
+    order, review = F.col("order_id"), F.col("review_id")
+    price = F.col("price").cast("string")
+    price = F.when(order % 59 == 0, F.lit("12,50")).when(order % 61 == 0, F.lit("1.239")).when(order % 67 == 0, F.lit("99999999999.00")).otherwise(price)
+    score = F.when(review % 71 == 0, F.lit("five")).otherwise(F.col("review_score").cast("string"))
+    damaged = texts.replacing(
+        order_items=lambda: texts.order_items.withColumn("price", price),
+        reviews=lambda: texts.reviews.withColumn("review_score", score),
+    )
+    return RawTables(**{name: missing_to_null(df) for name, df in damaged.as_dict().items()})
+
+
 def processed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.col("product_category_name")
     return raw_products(spark, sf_dir).select(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 from marketlens.operators.clean import clean_tables
-from marketlens.operators.quality import validate
+from marketlens.operators.quality import cast_losses, check_cast_losses, validate
 from marketlens.plans import marts
 from marketlens.schema import RawTables, Tables
 from marketlens.session import scratch_folder
@@ -20,6 +20,7 @@ def prepare(spark: SparkSession, raw: RawTables) -> Tables:
     The cleaned tables are written once to the shared scratch folder: the checks then read key
     columns instead of parsing all text again, and a lost executor costs no second cleaning.
     """
+    check_cast_losses(cast_losses(raw.as_dict()))
     staged = scratch_folder(spark, "cleaned")
     files.write_processed(clean_tables(raw), staged)
     tables = files.read_processed(spark, staged)

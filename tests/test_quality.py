@@ -130,3 +130,20 @@ def test_customers_of_orders_are_profiled_but_not_enforced(spark):
     validate(t)
     orphans = {r["child_table"] + "." + r["key_column"]: r["orphans"] for r in row_dicts(quality.orphan_counts(t.as_dict()))}
     assert orphans["orders.customer_id"] == 1
+
+
+def test_unreadable_money_and_scores_are_reported_and_stop_the_run(spark):
+    texts = [("o1", "1", "10.50", "1.00"), ("o2", "1", "12,50", "1"), ("o3", "x", "1.239", None), ("o4", "1", "99999999999.00", "2.5")]
+    items = spark.createDataFrame(texts, "order_id string, order_item_id string, price string, freight_value string")
+    reviews = spark.createDataFrame([("r1", "5", "junk"), ("r2", "five", "2018-01-01 00:00:00")], "review_id string, review_score string, review_creation_date string")
+    report = quality.cast_losses({"order_items": items, "reviews": reviews})
+    assert sorted(map(tuple, report.collect())) == [
+        ("order_items", "freight_value", 3, 0),
+        ("order_items", "order_item_id", 4, 1),
+        ("order_items", "price", 4, 3),
+        ("reviews", "review_creation_date", 2, 1),
+        ("reviews", "review_score", 2, 1),
+    ]
+    with pytest.raises(quality.DataQualityError, match="order_items.price: 3 of 4"):
+        quality.check_cast_losses(report)
+    quality.check_cast_losses(report.where("column_name = 'review_creation_date'"))
