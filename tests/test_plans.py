@@ -257,3 +257,31 @@ def test_processed_tables_equal_the_cleaned_raw_tables(spark, small_dir, sample)
         assert set(cleaned[name].columns) == set(df.columns)
         assert df.exceptAll(cleaned[name].select(*df.columns)).isEmpty()
         assert df.count() == cleaned[name].count()
+
+
+def ranked_sample(spark):
+    """Four groups: B and A tie with one late order of one, C has none late, D has no promised date."""
+    lateness = {"a": "2017-01-08 00:00:00", "b": "2017-01-08 00:00:00", "c": "2017-01-20 00:00:00", "d": None}
+    return tables(
+        spark,
+        orders=[order(k, delivered="2017-01-10 00:00:00", estimated=promised) for k, promised in lateness.items()],
+        customers=[(f"c-{k}", f"u-{k}", k.upper()) for k in lateness],
+        items=[item(k, "5.00", product=f"p-{k}", seller=f"s-{k}") for k in reversed(lateness)],
+        products=[(f"p-{k}", f"cat-{k}") for k in lateness],
+        sellers=[f"s-{k}" for k in lateness],
+    )
+
+
+@pytest.mark.parametrize(
+    "plan, column, expected",
+    [
+        (fulfillment.state_performance, "customer_state", ["A", "B", "C", "D"]),
+        # an unknown promise comes first, the longest after it, ties by state
+        (fulfillment.promise_by_state, "customer_state", ["D", "C", "A", "B"]),
+        (fulfillment.priority_by_state, "customer_state", ["A", "B", "C", "D"]),
+        (operations.seller_risk, "seller_id", ["s-a", "s-b", "s-c", "s-d"]),
+        (operations.category_risk, "product_category", ["cat-a", "cat-b", "cat-c", "cat-d"]),
+    ],
+)
+def test_ranked_lists_are_ordered_with_ties_and_unknown_measures(spark, plan, column, expected):
+    assert [r[column] for r in row_dicts(plan(ranked_sample(spark), min_orders=1))] == expected
