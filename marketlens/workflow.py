@@ -14,14 +14,14 @@ from marketlens.session import scratch_folder
 from marketlens.sources import files
 
 
-def prepare(spark: SparkSession, raw: RawTables) -> Tables:
+def prepare(spark: SparkSession, raw: RawTables, staged: str | None = None) -> Tables:
     """Clean and validate; raises before anything is exported.
 
-    The cleaned tables are written once to the shared scratch folder: the checks then read key
+    The cleaned tables are written once to ``staged``, by default a new shared scratch folder: the checks then read key
     columns instead of parsing all text again, and a lost executor costs no second cleaning.
     """
     check_cast_losses(cast_losses(raw.as_dict()))
-    staged = scratch_folder(spark, "cleaned")
+    staged = staged or scratch_folder(spark, "cleaned")
     files.write_processed(clean_tables(raw), staged)
     tables = files.read_processed(spark, staged)
     validate(tables)
@@ -47,7 +47,8 @@ def run(
     """
     if buckets and database is None:
         raise ValueError("buckets need a database: files in a folder are not bucketed")
-    tables = prepare(spark, files.read_raw(spark, raw_folder, file_names))
+    staged = scratch_folder(spark, "cleaned")
+    tables = prepare(spark, files.read_raw(spark, raw_folder, file_names), staged)
     files.write_processed(tables, f"{out_folder}/processed", fmt)
     if database is None:
         folder = f"{out_folder}/published"
@@ -58,4 +59,6 @@ def run(
         published = files.read_published(spark, database)
     marts.register_views(published)
     marts.write_marts(published, f"{out_folder}/marts")
+    # the copy in the scratch folder is kept only if the run failed
+    files.remove_folder(spark, staged)
     return written
