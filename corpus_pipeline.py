@@ -25,7 +25,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8) the one with the smallest doc_id."""
+    """Of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id, null last."""
     return ngram_join.keep_first(docs, words=5, threshold=Fraction(4, 5))
 
 

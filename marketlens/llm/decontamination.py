@@ -127,6 +127,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no item; rows with a null doc_id go if any of them does."""
-    leaks = written(find_leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias("leaking")).distinct(), "leaking")
-    return docs.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    """The rows of ``docs`` whose own text holds no item; rows are told by doc_id and text, null and repeated ids included."""
+    row = F.xxhash64("doc_id", "text")
+    leaks = find_leaks(docs.select(row.alias("doc_id"), "text"), benchmark, **parameters)
+    leaks = written(leaks.select(F.col("doc_id").alias("leaking")).distinct(), "leaking")
+    return docs.join(broadcast_if_small(leaks), row == F.col("leaking"), "left_anti")

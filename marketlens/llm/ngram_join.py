@@ -21,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import hashing, set_join
@@ -48,9 +48,9 @@ def ngram_sets(texts: pa.Array, words: int, frequent: np.ndarray) -> Iterator[tu
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size, key (null if empty) and parity bits of every document; and rows of counters of its tokens."""
+    """doc_id, text_hash, size, key (null if empty) and parity bits of every document; and rows of counters of its tokens."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
+        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
     )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +64,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 counts += np.bincount(slots_of(sets.tokens), minlength=SLOTS)
             size, n = np.concatenate(sizes), batch.num_rows
             key = pa.array(np.concatenate(keys), mask=size == 0)
-            columns = [batch.column(0), pa.array(size, pa.int32()), key, pa.array(bits, pa.binary())]
+            columns = [batch.column(0), batch.column(2), pa.array(size, pa.int32()), key, pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = sliced(counts)
         n = parts.num_rows
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in schema.types[:4]), *parts.columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in schema.types[:5]), *parts.columns], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        profile, "doc_id long, size int, key long, parity binary, slice int, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(
+        profile, "doc_id long, text_hash long, size int, key long, parity binary, slice int, counts binary"
     )
 
 
@@ -147,7 +147,7 @@ def open_bearers(bearers: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of the documents, (key, root) of the sets that are linked)."""
     both = written(profiles(docs, words), "ngram-profiles")
-    documents = both.where("slice is null").select("doc_id", "size", "key", "parity")
+    documents = both.where("slice is null").select("doc_id", "text_hash", "size", "key", "parity")
     sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"))
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     # rare tokens alone would scatter the counters around the mean by its root
@@ -199,13 +199,27 @@ def link_documents(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
 
 
 def keep_first(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """The rows of ``docs`` without those linked with a smaller doc_id; of repeated rows one stays."""
-    linked = link_documents(docs, words, threshold)
-    gone = written(linked.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone")).distinct(), "ngram-copies")
-    kept = docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    again = written(linked.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "ngram-repeated")
-    if again.isEmpty():
-        return kept
-    again = broadcast_if_small(again)
-    repeated = kept.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("again"), "left_anti").union(repeated)
+    """Of each group of linked rows of ``docs`` the first by doc_id, null last, and by a hash of the text; of repeated rows one.
+
+    Rows are told by doc_id and text together: those that share a doc_id, or have none, stay or go
+    each by its own text. Null and empty texts link with nothing and stay.
+    """
+    documents, roots = similar_sets(docs, words, threshold)
+    rows = documents.where("key is not null").select("key", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash")
+    place = F.struct("none", "id", "text_hash")
+    sets = rows.groupBy("key").agg(F.min(place).alias("first"))
+    grouped = sets.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    stays = written(grouped.join(grouped.groupBy("root").agg(F.min("first").alias("stays")), "root").select("key", "stays"), "ngram-components")
+    own = written(rows.groupBy("key", "none", "id", "text_hash").count().join(stays, "key").select("id", "text_hash", "count", (place == F.col("stays")).alias("kept")), "ngram-rows")
+    keyed = docs.withColumn("text_hash of row", F.xxhash64("text"))
+
+    def listed(condition: str) -> tuple[DataFrame, Column]:
+        some = broadcast_if_small(written(own.where(condition).select("id", "text_hash"), "ngram-copies"))
+        return some, F.col("doc_id").cast("long").eqNullSafe(some["id"]) & (keyed["text_hash of row"] == some["text_hash"])
+
+    kept = keyed.join(*listed("not kept"), "left_anti")
+    again, same = listed("kept and count > 1")
+    if not again.isEmpty():
+        repeated = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_hash of row"])
+        kept = kept.join(again, same, "left_anti").union(repeated)
+    return kept.drop("text_hash of row")

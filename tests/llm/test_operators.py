@@ -311,3 +311,16 @@ def test_repeated_runs_against_brute_force():
 def test_every_query_runs(spark, small_dir):
     for name, query in queries.QUERIES.items():
         assert query(spark, small_dir).count() > 0, name
+
+
+def test_rows_without_id_are_kept_and_dropped_one_by_one(spark):
+    copy, leak = "a b c d e f g h", "one two three four five six seven"
+    rows = [(1, copy), (None, copy), (None, "quite another text of this table"), (None, "p q r s t u"), (None, "p q r s t u")]
+    rows += [(7, copy), (7, "same id but its very own text"), (8, "x1 x2 x3 x4 x5"), (8, "y1 y2 y3 y4 y5"), (8, "y1 y2 y3 y4 y5"), (None, None), (None, "")]
+    want = [rows[i] for i in (0, 2, 3, 6, 7, 8, 10, 11)]
+    kept = ngram_join.keep_first(table(spark, rows), 4, Fraction(85, 100))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    benchmark = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows += [(None, f"and {leak} eight"), (8, leak)]
+    clean = decontamination.clean_documents(table(spark, rows), benchmark)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(rows[:-2], key=str)
