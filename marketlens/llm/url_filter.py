@@ -1,7 +1,8 @@
 """URL filter: rules for hosts and paths, and gradient-boosted trees on lexical features for the rest.
 
 The rules label the URLs they fit. The trees learn from those, by length, depth, digits, entropy,
-parameters and statistics of the host's suffix, and judge the URLs that no rule fits.
+parameters and statistics of the host's suffix and the first folder over all pages, and judge the
+URLs that no rule fits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.storage import broadcast_if_small, written
 
 ALLOW, BLOCK = "allow", "block"
-#: Labelled URLs that the trees learn from at most: the first in a seeded order.
+#: Different labelled URLs that the trees are fitted to: the first in a seeded order.
 SAMPLE = 10_000
 
 
@@ -101,11 +102,13 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_statistics(urls: DataFrame, sample: DataFrame, key: str, total: int, blocked: int) -> DataFrame:
-    """``urls`` with the share and the smoothed rate of blocked URLs that their suffix or folder has in the sample."""
-    rate = blocked / max(total, 1)
-    stats = sample.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).select(
-        F.col(key), (F.col("n") / max(total, 1)).alias("share"), ((F.col("hits") + rate) / (F.col("n") + 1)).alias("rate")
+def with_statistics(urls: DataFrame, counts: DataFrame, key: str, total: int, rate: float) -> DataFrame:
+    """``urls`` with the share of all pages that have its suffix or folder, and the smoothed rate of blocked ones among those labelled.
+
+    ``counts``: suffix, folder, n, labelled and hits.
+    """
+    stats = counts.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "hits"))).select(
+        F.col(key), (F.col("n") / max(total, 1)).alias("share"), ((F.col("hits") + rate) / (F.col("labelled") + 1)).alias("rate")
     )
     joined = urls.join(broadcast_if_small(written(stats, "url-statistics")), key, "left")
     return joined.withColumns({f"{key}_share": F.coalesce("share", F.lit(0.0)), f"{key}_blocked": F.coalesce("rate", F.lit(rate))}).drop("share", "rate")
@@ -117,24 +120,33 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPL
     rule is null where none fits; score is the trees' probability that the URL is to be blocked.
     Null and empty URLs, and those without ``://``, have empty hosts and paths, fit no rule and are
     judged like others. If the rules label URLs of one kind only, that verdict goes to all others,
-    with score 0 or 1; if they label none, all are allowed. Repeated rows each get a row. The
-    training sample is the first ``sample`` labelled URLs by a seeded hash.
+    with score 0 or 1; if they label none, all are allowed. Repeated rows each get a row. Suffixes
+    and folders are counted over all rows; the trees are fitted to the first ``sample`` different
+    labelled URLs by a seeded hash, and if these are of one kind, to as many of the other.
     """
     host, path = host_and_path(F.col("url"))
     name, verdict = first_fit(rules)
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     urls = urls.select("*", name.alias("rule"), verdict.alias("ruled"))
     order = F.xxhash64("url", F.lit(seed))
-    labelled = urls.where("rule is not null").select("url", "host", "path", (F.col("ruled") == BLOCK).cast("double").alias("label"))
-    learn = written(lexical(labelled.orderBy(order, "url").limit(sample)), "url-sample")
-    total, blocked = learn.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    label = (F.col("ruled") == BLOCK).cast("double")
+    counts = lexical(urls).groupBy("suffix", "folder").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0.0)).alias("hits"))
+    counts = written(counts, "url-counts")
+    pages_in_all, total, blocked = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "labelled", "hits"))).first()
     if not total or blocked in (0, total):
         only = BLOCK if blocked else ALLOW
         scored = urls.select("*", F.lit(1.0 if blocked else 0.0).alias("score"), F.lit(only).alias("guess"))
     else:
+        rate = blocked / total
+
         def prepared(rows: DataFrame) -> DataFrame:
-            return with_statistics(with_statistics(rows, learn, "suffix", total, blocked), learn, "folder", total, blocked)
+            return with_statistics(with_statistics(rows, counts, "suffix", pages_in_all, rate), counts, "folder", pages_in_all, rate)
 
+        labelled = urls.where("rule is not null").select("url", "host", "path", label.alias("label")).distinct()
+        learn = written(lexical(labelled.orderBy(order, "url").limit(sample)), "url-sample")
+        kinds = [r["label"] for r in learn.select("label").distinct().collect()]
+        if len(kinds) == 1:
+            learn = learn.union(written(lexical(labelled.where(F.col("label") != kinds[0]).orderBy(order, "url").limit(sample)), "url-sample"))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         # a bounded sample in one ordered partition: the same trees in every run
         rows = assembler.transform(prepared(learn)).select("features", "label", "url").coalesce(1).sortWithinPartitions(order, "url")

@@ -324,3 +324,26 @@ def test_rows_without_id_are_kept_and_dropped_one_by_one(spark):
     rows += [(None, f"and {leak} eight"), (8, leak)]
     clean = decontamination.clean_documents(table(spark, rows), benchmark)
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(rows[:-2], key=str)
+
+
+def test_url_statistics_cover_all_rows(spark, monkeypatch):
+    urls = [f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(60)] + ["http://open.net/x/1"] * 20
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counted = []
+    plain = url_filter.with_statistics
+    monkeypatch.setattr(url_filter, "with_statistics", lambda *a: counted.append(plain(*a)) or counted[-1])
+    got = url_filter.judge(df, sample=4).collect()
+    assert len(got) == len(urls)
+    rows = {r["url"]: r for r in counted[-1].collect()}
+    assert rows["http://open.net/x/1"]["folder_share"] == 0.25 and rows["http://open.net/x/1"]["suffix_blocked"] == 0.5
+    assert rows["http://h1.com/de/1"]["folder_blocked"] == 30.5 / 31 and rows["http://h2.com/fr/2"]["folder_blocked"] == 0.5 / 31
+
+
+def test_url_sample_of_different_urls(spark):
+    """One URL on most rows does not fill the sample; a sample of one kind gets some of the other."""
+    for hot in ("http://a.com/de/1", "http://a.com/fr/1"):
+        urls = [hot] * 200 + [f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(60)] + ["http://n.net/de/5", "http://n.net/fr/6"]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        for size in (1, 40):
+            got = {r["host"] + r["path"]: r["verdict"] for r in url_filter.judge(df, sample=size).collect()}
+            assert len({got["n.net/de/5"], got["n.net/fr/6"]}) == 2 or size == 1
