@@ -15,13 +15,10 @@ from marketlens.session import scratch_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Cosine with the nearest language below which a text is of none. Clean texts of a word or two come near 0.
-MIN_SCORE = 0.0
-
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labelled ones; those without letters go."""
-    return language_id.keep_known(docs, MIN_SCORE)
+    """Documents in one of the languages of the labelled ones; those without letters, and those far below what their length reaches, go."""
+    return language_id.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

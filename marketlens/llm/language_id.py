@@ -24,6 +24,9 @@ SYMBOLS = 64
 UNKNOWN = "und"
 #: Documents whose vectors are made by one product of matrices.
 GROUP = 64
+#: Texts are of a language if their cosine is at least this share of the quantile that training documents of their length reach
+#: with their own language; lengths go by powers of two, and count where there are so many training documents.
+FLOOR_QUANTILE, FLOOR_SHARE, FLOOR_LEAST = 0.01, 0.5, 100
 
 
 def letter_table() -> np.ndarray:
@@ -93,7 +96,7 @@ def prototypes(texts: DataFrame, seed: int) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, langs: list[str], vectors: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of rows of (doc_id, held_out, text)."""
+    """doc_id, held_out, lang_pred and score of rows of (doc_id, held_out, text, lang); letters, and own: the cosine with lang, null if not learned."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, vectors))
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +105,9 @@ def predict(docs: DataFrame, langs: list[str], vectors: np.ndarray, seed: int) -
         for batch in batches:
             texts = batch.column(2).to_pylist()
             labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            place = {name: i for i, name in enumerate(names)}
+            stated = [place.get(lang) for lang in batch.column(3).to_pylist()]
+            letters_of, own = np.zeros(len(texts), np.int64), [None] * len(texts)
             for first in range(0, len(texts) if names else 0, GROUP):
                 counted = [grams_of(text, table) for text in texts[first : first + GROUP]]
                 some = [i for i, (g, _) in enumerate(counted) if len(g)]
@@ -119,9 +125,15 @@ def predict(docs: DataFrame, langs: list[str], vectors: np.ndarray, seed: int) -
                 for row, i in enumerate(some):
                     labels[first + i] = names[best[row]]
                     scores[first + i] = min(1.0, max(0.0, cosines[row, best[row]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+                    grams, n = counted[i]
+                    letters_of[first + i] = n[(grams >> 6) & 63 > 0].sum()
+                    if stated[first + i] is not None:
+                        own[first + i] = float(cosines[row, stated[first + i]])
+            columns = [batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores), pa.array(letters_of), pa.array(own, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "letters", "own"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(guess, "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, letters long, own double"
+    return docs.select("doc_id", "held_out", "text", "lang").mapInArrow(guess, schema)
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
@@ -138,14 +150,29 @@ def identify_languages(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text", "lang")
     langs, vectors = prototypes(rows.where("not held_out and doc_id is not null and lang is not null and text is not null"), seed)
-    return predict(rows, langs, vectors, seed)
+    return predict(rows, langs, vectors, seed).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and a score of at least ``min_score``."""
+def floors(scores: DataFrame) -> list[tuple[int, float]]:
+    """(power of two, least score) of texts of at least so many letters, from the training documents among ``scores``; in order.
+
+    Longer texts come nearer to their language: lengths with too few training documents have the
+    floor of the next shorter ones, and those before the first have none.
+    """
+    bucket = F.floor(F.log2("letters")).cast("int").alias("bucket")
+    own = scores.where("not held_out and own is not null and letters > 0").groupBy(bucket)
+    rows = own.agg(F.count("*").alias("n"), F.percentile_approx("own", FLOOR_QUANTILE, 10_000).alias("low")).where(F.col("n") >= FLOOR_LEAST).collect()
+    return sorted((r["bucket"], max(0.0, FLOOR_SHARE * r["low"])) for r in rows)
+
+
+def keep_known(docs: DataFrame, min_score: float = 0.0, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and a score of at least ``min_score`` and the floor of its length."""
     row = F.xxhash64("doc_id", "text")
-    rows = docs.select(row.alias("doc_id"), F.lit(False).alias("held_out"), "text")
-    learn = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null and lang is not null and text is not null")
-    guesses = predict(rows, *prototypes(learn, seed), seed)
-    gone = guesses.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("gone")).distinct()
+    teaches = ~held_out(F.col("doc_id")) & F.expr("doc_id is not null and lang is not null and text is not null")
+    rows = docs.select(row.alias("doc_id"), (~teaches).alias("held_out"), "text", "lang")
+    scores = written(predict(rows, *prototypes(docs.where(teaches), seed), seed), "language-scores")
+    floor = F.lit(min_score)
+    for bucket, least in floors(scores):  # at most a floor for each power of two
+        floor = F.when(F.col("letters") >= 2**bucket, F.greatest(F.lit(min_score), F.lit(least))).otherwise(floor)
+    gone = scores.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < floor)).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(broadcast_if_small(written(gone, "other-languages")), row == F.col("gone"), "left_anti")

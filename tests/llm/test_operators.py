@@ -347,3 +347,18 @@ def test_url_sample_of_different_urls(spark):
         for size in (1, 40):
             got = {r["host"] + r["path"]: r["verdict"] for r in url_filter.judge(df, sample=size).collect()}
             assert len({got["n.net/de/5"], got["n.net/fr/6"]}) == 2 or size == 1
+
+
+def test_texts_in_no_learned_language_go(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+
+    def text(letters, words):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(words))
+
+    greek, latin = "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz"
+    odd = [(-1, text(greek, 300), None), (-2, text(greek, 1000), "en"), (None, text(greek, 200), "de"), (-4, text(latin, 500), None), (-5, "und", None)]
+    kept = language_id.keep_known(docs.union(spark.createDataFrame(odd, docs.schema)), 0.0).collect()
+    assert {r["doc_id"] for r in kept if r["doc_id"] is None or r["doc_id"] < 0} == {-5}
+    gone = [r["text"] for r in set(docs.collect()) - set(kept) if any(c.isalpha() for c in r["text"] or "")]
+    assert len(gone) <= 1 and all(len(set(t.split())) < 0.1 * len(t.split()) for t in gone)  # endless repeats of a few words
