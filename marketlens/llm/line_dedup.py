@@ -3,7 +3,8 @@
 A line's set holds its distinct words. Words are ordered by rarity, told by counters of all lines
 in an array of fixed size; the first n - ceil(t * n) + 1 words of a set of n are its signatures
 (prefix filter). ``set_join`` compares the lines that share one by size, position and parity
-before their words are compared. A line goes if it is similar to an earlier line, by document id
+before their words are compared. Sets too small to be similar to any but their copies give no
+signatures: copies are found by grouping. A line goes if it is similar to an earlier line, by document id
 and line number; copies go but for the first.
 """
 
@@ -63,9 +64,15 @@ def profiles(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("place", "text").mapInArrow(profile, "place long, line int, key long, size int, parity binary, slice int, counts binary")
 
 
+def least_similar(threshold: Fraction) -> int:
+    """Words of the smallest set that may be similar to another than itself: with one word more, n of n + 1 are shared."""
+    return -(-threshold.numerator // (threshold.denominator - threshold.numerator)) if threshold < 1 else LAST
+
+
 def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndarray) -> DataFrame:
     """The signatures of every line; copies that a task meets give them once. Words that occur once match nothing."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank)
+    least = max(min_words, least_similar(threshold))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -74,7 +81,7 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
             for row, _, sets in line_sets(batch.column(1), ranks.value):
                 size, keys = sets.sizes, hashing.set_keys(sets)
                 fresh = np.zeros(len(keys), bool)
-                for i in np.flatnonzero(size >= min_words).tolist():
+                for i in np.flatnonzero(size >= least).tolist():
                     key = int(keys[i])
                     if key not in seen:
                         seen.add(key)
@@ -143,8 +150,8 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
 def remove_similar_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), min_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_removed and text (the lines that stay) of every row of ``docs`` (doc_id, text, anything else).
 
-    Lines end with a line feed. Lines of fewer than ``min_words`` distinct words stay: they say too
-    little to be copies. A null text stays null, with no lines. A null doc_id comes last; rows with
+    Lines end with a line feed. Lines of fewer than ``min_words`` distinct words stay; with 1, only
+    lines without words do. A null text stays null, with no lines. A null doc_id comes last; rows with
     the same doc_id count as one document, so that all of them lose, or keep, the same lines.
     """
     placed = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"))

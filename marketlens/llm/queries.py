@@ -25,8 +25,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that are similar to an earlier line of any document."""
-    return line_dedup.remove_similar_lines(table(spark, sf_dir, "documents"))
+    """Every document without the lines that are similar to an earlier line of any document, short lines included."""
+    return line_dedup.remove_similar_lines(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,3 +362,13 @@ def test_texts_in_no_learned_language_go(spark, small_dir):
     assert {r["doc_id"] for r in kept if r["doc_id"] is None or r["doc_id"] < 0} == {-5}
     gone = [r["text"] for r in set(docs.collect()) - set(kept) if any(c.isalpha() for c in r["text"] or "")]
     assert len(gone) <= 1 and all(len(set(t.split())) < 0.1 * len(t.split()) for t in gone)  # endless repeats of a few words
+
+
+def test_short_lines_are_deduplicated(spark, run_limits, tmp_path):
+    lines = ["share", "Menu Home", "a b c d", "a b c d e", "ha ha ha ha", "", " ", "a b c", "menu  home", "p q r s t", "p q r s", "Ha", "x y z w v u"]
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(4))) for i in range(20)] + [(30, None), (31, "")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
+    assert got == brute.without_similar_lines(rows, least=1)
+    assert brute.without_similar_lines([(0, "a b c d\na b c d e")], least=1)[0][2] == 1  # four of five words
