@@ -372,3 +372,15 @@ def test_short_lines_are_deduplicated(spark, run_limits, tmp_path):
     got = sorted(tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect())
     assert got == brute.without_similar_lines(rows, least=1)
     assert brute.without_similar_lines([(0, "a b c d\na b c d e")], least=1)[0][2] == 1  # four of five words
+
+
+def test_repeats_count_over_the_whole_host(spark):
+    """A run on few of many pages, with copies and marked pages among them, whatever the bytes of the host."""
+    common = "all rights of this site are reserved by its owner and publisher"
+    pages = [f"<div>{' '.join(f'u{i}x{k}' for k in range(12))}</div>{f'<p>{common}</p>' if i % 20 == 0 else ''}" for i in range(80)]
+    pages += [pages[1]] * 60 + [f"<article>{common}</article>"]
+    rows = [(i, "http://h.org/", h) for i, h in enumerate(pages)]
+    want = sorted(enumerate(html_extract.extracted(pages)))
+    assert want[0][1] == " ".join(f"u0x{k}" for k in range(12)) and want[-1][1] == common
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, shard_bytes=400).collect()) == want
