@@ -83,12 +83,27 @@ def prepared_items(benchmark: DataFrame, words: int) -> DataFrame:
     ).withColumn("repeats", F.size(F.array_distinct("item_shingles")) < F.size("item_shingles"))
 
 
+def short_leaks(docs: DataFrame, benchmark: DataFrame, words: int) -> DataFrame | None:
+    """The first place of every item of fewer than ``words`` words, each one whole shingle; null if there are none."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes(words_of(F.col("text"))).alias("item_words"))
+    items = items.where(F.size("item_words").between(1, words - 1)).groupBy("item_words").agg(F.min("item_id").alias("item_id"))
+    items = written(items.select("item_id", F.size("item_words").alias("n_words"), F.xxhash64("item_words").alias("run")), "short-items")
+    lengths = [r["n_words"] for r in items.select("n_words").distinct().collect()]
+    if not lengths:
+        return None
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(words_of(F.col("text"))).alias("words"))
+    cut = F.array(*(F.struct(F.lit(n).alias("n_words"), runs(F.col("words"), n).alias("runs")) for n in sorted(lengths)))
+    places = hashed.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.n_words", F.posexplode("c.runs").alias("first_word", "run"))
+    met = places.join(broadcast_if_small(items), ["n_words", "run"]).groupBy("doc_id", "item_id", "n_words").agg(F.min("first_word").alias("first_word"))
+    return met.select("doc_id", "item_id", "first_word", "n_words", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 22) -> DataFrame:
     """doc_id, item_id, first_word (from 0), n_words, distance and similarity: for each document and item the best window.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; both may have anything else. Words
-    are lower-case runs of letters and digits. Items of fewer than ``words`` words are not looked
-    for. Of equal texts the smallest item_id stands for all; a document shorter than an item is a
+    are lower-case runs of letters and digits. Items of fewer than ``words`` words are one
+    shingle, found as they are. Of equal texts the smallest item_id stands for all; a document shorter than an item is a
     window as it is. Null and empty texts match nothing; rows with equal doc_id give one row for
     each item; empty tables give none.
     """
@@ -123,7 +138,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
     share = F.coalesce(held_weight(F.col("held"), F.col("item_shingles")) / F.size("item_shingles"), F.lit(0.0))
     good = pairs.withColumn("similarity", share).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("first_word", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("distance"), -F.col("first_word")))
-    return good.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    found = good.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    short = short_leaks(docs, benchmark, words)
+    return found if short is None else found.union(short)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

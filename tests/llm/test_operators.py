@@ -384,3 +384,11 @@ def test_repeats_count_over_the_whole_host(spark):
     assert want[0][1] == " ".join(f"u0x{k}" for k in range(12)) and want[-1][1] == common
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, shard_bytes=400).collect()) == want
+
+
+def test_short_benchmark_items(spark):
+    items = [(1, "Two words"), (2, "two WORDS!"), (3, "alone"), (4, "this has four words"), (5, ""), (6, None), (7, "absent here")]
+    docs = [(1, "x two words, and two words"), (2, "alone"), (None, "this has four words"), (4, "two other words"), (5, None), (6, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_leaks(table(spark, docs), benchmark).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 1, 1, 2, 0, 1.0), (2, 3, 0, 1, 0, 1.0), (None, 4, 0, 4, 0, 1.0)], key=str)
