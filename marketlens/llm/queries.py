@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from marketlens.llm import decontamination, html_extract, language_id, line_dedup, mixing, ngram_join, token_counts, token_files, topk, url_filter
+from pyspark.sql import functions as F
+
+from marketlens.llm import (
+    conversation_repair,
+    decontamination,
+    html_extract,
+    language_id,
+    line_dedup,
+    manifest,
+    mixing,
+    ngram_join,
+    packing,
+    token_counts,
+    token_files,
+    topk,
+    url_filter,
+)
 from marketlens.llm.oracles import ORACLES  # noqa: F401
 from marketlens.session import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
+PACKED = "word_bpe_49k.json"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +88,30 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness digest of every document; where a third of the texts was tampered with, the check fails."""
+    docs = table(spark, sf_dir, "documents")
+    values = ["doc_id", "source", "lang", "n_chars"]
+    leaf, changed = (manifest.row_digest(*map(F.col, values), text) for text in (F.col("text"), F.translate("text", CAPITALS, CAPITALS.lower())))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, changed)
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"), tampered.alias("tampered"))
+    built = manifest.build(leaves, F.col("lang"), [F.col("doc_id")], F.col("leaf"), keep=["doc_id", "tampered"])
+    checked = manifest.verify(built.withColumn("tampered", F.coalesce("tampered", "leaf")), "tampered")
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("witness").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after a test damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    audits = conversation_repair.audit(conversation_repair.damaged(conversations), conversations)
+    return audits.select(F.col("conv").cast("long").alias("conv_id"), *audits.columns[1:])
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED), ids=False)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -84,5 +125,8 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_ngram_jaccard_join,
         op10_html_extraction,
+        op11_merkle_manifest,
+        op12_conversation_repair,
+        op13_packing,
     )
 }
