@@ -18,10 +18,12 @@ those and one document. The cuts are the best ones between two such settlements.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,46 +37,99 @@ WINDOW, STEP, HORIZON = 4096, 256, 1 << 18
 #: Costs in ids of padding: of a window, of a cut after a sentence, of any other cut inside a document.
 CHARGE, SENTENCE, INSIDE = 4, 2, 16
 #: Words and ids that a task keeps encoded.
-CACHED_WORDS, CACHED_IDS = 1 << 19, 1 << 22
+CACHED_WORDS, CACHED_IDS = 1 << 20, 1 << 23
+#: Words that are looked up at once, and pieces that are encoded as one text.
+LOOKED_UP, ENCODED = 1 << 14, 1 << 10
 MARKS = (".", "!", "?")
 CLOSING = "\"')]}»”’"
+#: The pieces of a lower-case word below U+0250, as the vocabulary's pattern cuts it (a fixed value but for the classes).
+PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{pretokens.LETTERS}]+|[{pretokens.NUMBERS}]|[^{pretokens.LETTERS}{pretokens.NUMBERS}]+"
+)
+#: Characters that are left to the library: other scripts, odd white space, a letter whose lower case has two parts.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
 
 
 class WordEncoder:
     """Token ids of texts by their words, for tokenizers that drop white space and never join words across it.
 
     Words are split at ASCII white space only; what other white space they hold is left to the library.
-    Letters are lowered first only where Python and the library are known to agree.
+    A word of usual characters is one piece or several; the ids of a piece end with one that ends a word,
+    so that many pieces are encoded as one text. Tables only speed this up; they are dropped when full.
     """
 
     def __init__(self, model: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_str(model), end_id
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        """Drop all words; the first is the end of a document."""
+        self.known: dict[tuple[str] | str | None, int] = {None: 0}
         self.ids, self.ends, self.sentence = array("I", [self.end_id]), array("q", [0, 1]), bytearray([0])
 
     def full(self) -> bool:
         return len(self.known) > CACHED_WORDS or len(self.ids) > CACHED_IDS
 
-    def words(self, text: str) -> list[int]:
-        """Numbers of the words of a text; 0 stands for the end of a document."""
-        if pretokens.UNUSUAL.search(text) is None and "<|" not in text and "\x85" not in text and "\xa0" not in text:
-            words = text.lower().split()
-        else:
-            words = [word for word in text.translate(BLANKS).split(" ") if word]
-        try:
-            return list(map(self.known.__getitem__, words))
-        except KeyError:
-            missing = [w for w in dict.fromkeys(words) if w not in self.known]
-            for word, ids in zip(missing, pretokens.encoded(self.tokenizer, missing), strict=True):
-                self.known[word] = len(self.sentence)
-                self.ids.extend(ids)
-                self.ends.append(len(self.ids))
-                self.sentence.append(word.rstrip(CLOSING).endswith(MARKS))
-            return list(map(self.known.__getitem__, words))
+    def words(self, text: str) -> list:
+        """The words of a text, as ``numbers`` takes them: those for the library in tuples."""
+        if UNUSUAL.search(text) is None and "<|" not in text:  # special tokens begin so
+            return text.lower().split()
+        return [(word,) for word in text.translate(BLANKS).split(" ") if word]
+
+    def numbers(self, words: list) -> np.ndarray:
+        """The number of each word; None is the end of a document."""
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(numbers < 0).tolist()
+        if at:
+            self.learn({words[i] for i in at})
+            numbers[at] = [self.known[words[i]] for i in at]
+        return numbers
+
+    def learn(self, words: set) -> None:
+        odd = [word for word in words if isinstance(word, tuple)]
+        texts = [word for (word,) in odd]
+        if odd:
+            ids = [np.array(x, np.uint32) for x in pretokens.encoded(self.tokenizer, texts)]
+            self.add(odd, texts, np.concatenate(ids), np.cumsum([len(x) for x in ids]))
+        whole = {word for word in words if isinstance(word, str) and word.isalpha()}
+        cut = [word for word in words if isinstance(word, str) and word not in whole]
+        parts = list(map(PIECES.findall, cut))
+        whole.update(piece for piece in chain.from_iterable(parts) if piece not in self.known)
+        self.learn_pieces(list(whole))
+        joined = [(word, own) for word, own in zip(cut, parts, strict=True) if len(own) > 1]
+        if joined:
+            pieces = np.array([self.known[piece] for _, own in joined for piece in own])
+            ids, sizes = self.ids_of(pieces)
+            upto = np.cumsum(sizes)[np.cumsum([len(own) for _, own in joined]) - 1]
+            self.add([word for word, _ in joined], [word for word, _ in joined], ids, upto)
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        for first in range(0, len(pieces), ENCODED):
+            some = pieces[first : first + ENCODED]
+            ids = np.array(pretokens.encoded(self.tokenizer, [" ".join(some)])[0], np.uint32)
+            upto = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(upto) != len(some):
+                each = [np.array(x, np.uint32) for x in pretokens.encoded(self.tokenizer, some)]
+                ids, upto = np.concatenate(each), np.cumsum([len(x) for x in each])
+            self.add(some, some, ids, upto)
+
+    def add(self, words: list, texts: list[str], ids: np.ndarray, upto: np.ndarray) -> None:
+        """Number the words; their ids follow one another, those of each up to its place in ``upto``."""
+        self.known.update(zip(words, range(len(self.sentence), len(self.sentence) + len(words)), strict=True))
+        self.ends.frombytes((upto + self.ends[-1]).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.sentence.extend(text.endswith(MARKS) or text.endswith(tuple(CLOSING)) and text.rstrip(CLOSING).endswith(MARKS) for text in texts)
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one after the other, and how many each has."""
+        ends = np.frombuffer(self.ends, np.int64)
+        sizes = (ends[1:] - ends[:-1])[numbers]
+        upto = np.cumsum(sizes)
+        source = np.repeat(ends[:-1][numbers] - (upto - sizes), sizes) + np.arange(upto[-1])
+        return np.frombuffer(self.ids, np.uint32)[source], sizes
 
 
 BLANKS = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
@@ -86,27 +141,34 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -
     Neighbouring places are at most ``window`` apart.
     """
     n = len(places)
-    by_power: list[list[int]] = [[] for _ in range(n)]
+    met_by, met = [], []
     for power in range(window.bit_length()):
         wanted = places - (1 << power)
-        at = np.searchsorted(places, wanted)
-        for j in np.flatnonzero(places[at] == wanted).tolist():
-            by_power[j].append(int(at[j]))
+        first = np.searchsorted(places, wanted)
+        same = np.flatnonzero(places[first] == wanted)
+        met_by.append(same)
+        met.append(first[same])
+    order = np.argsort(np.concatenate(met_by), kind="stable")
+    met_by, met = [*np.concatenate(met_by)[order].tolist(), n], np.concatenate(met)[order].tolist()
     at, extra = places.tolist(), (penalties + CHARGE).tolist()
-    cost, back = [0] * n, [0] * n
-    queue = deque([0])
+    # per place the least cost up to it, that plus its place, and the cut before
+    cost, rank, back = [0] * n, at[:1] * n, [0] * n
+    queue, h = deque([0]), 0
     for j in range(1, n):
         here = at[j]
         while at[queue[0]] < here - window:
             queue.popleft()
         i = queue[0]
-        least = cost[i] + at[i] + window - here
-        for k in by_power[j]:
-            if cost[k] < least:
-                least, i = cost[k], k
-        cost[j], back[j] = least + extra[j], i
-        rank = cost[j] + here
-        while queue and cost[queue[-1]] + at[queue[-1]] >= rank:
+        least = rank[i] + window - here
+        while met_by[h] == j:
+            if cost[met[h]] < least:
+                i = met[h]
+                least = cost[i]
+            h += 1
+        least += extra[j]
+        cost[j], back[j] = least, i
+        rank[j] = least = least + here
+        while queue and rank[queue[-1]] >= least:
             queue.pop()
         queue.append(j)
     cuts, j = [], n - 1
@@ -121,7 +183,8 @@ class Packer:
 
     def __init__(self, encoder: WordEncoder, window: int = WINDOW, horizon: int = HORIZON):
         self.encoder, self.window, self.horizon = encoder, window, horizon
-        self.words, self.doc_ids = array("q"), []
+        # texts as words to look up; numbers of words, how many; documents
+        self.texts, self.words, self.waiting, self.doc_ids = [], [], 0, []
         # of the open stream: its first place, ids, places where it may be cut with their penalties, ends and ids of its documents
         self.begin, self.ids = 0, np.zeros(0, np.uint32)
         self.places, self.penalties = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -130,18 +193,23 @@ class Packer:
 
     def add(self, doc_id: int | None, text: str) -> bool:
         """Add a document; true if it is time to settle."""
-        self.words.extend(self.encoder.words(text))
-        self.words.append(0)
+        self.texts += self.encoder.words(text)
+        self.texts.append(None)
         self.doc_ids.append(doc_id)
-        return len(self.words) >= self.horizon
+        if len(self.texts) >= LOOKED_UP:
+            self.look_up()
+        return self.waiting >= self.horizon
+
+    def look_up(self) -> None:
+        self.words.append(self.encoder.numbers(self.texts))
+        self.waiting += len(self.texts)
+        self.texts = []
 
     def gather(self) -> None:
         """The ids and cuts of the words added."""
-        words = np.frombuffer(self.words, np.int64)
-        ends = np.frombuffer(self.encoder.ends, np.int64)
-        sizes = (ends[1:] - ends[:-1])[words]
+        words = np.concatenate(self.words)
+        ids, sizes = self.encoder.ids_of(words)
         upto = np.cumsum(sizes)
-        source = np.repeat(ends[:-1][words] - (upto - sizes), sizes) + np.arange(upto[-1])
         begin = self.begin + len(self.ids)
         doc_end = words == 0
         may = doc_end | (np.frombuffer(self.encoder.sentence, np.uint8)[words] > 0)
@@ -157,16 +225,18 @@ class Packer:
             places, penalties = np.concatenate([places, inner]), np.concatenate([penalties, np.full(len(inner), INSIDE)])
             order = np.argsort(places, kind="stable")
             places, penalties = places[order], penalties[order]
-        self.ids = np.concatenate([self.ids, np.frombuffer(self.encoder.ids, np.uint32)[source]])
+        self.ids = np.concatenate([self.ids, ids])
         self.places, self.penalties = np.concatenate([self.places, places]), np.concatenate([self.penalties, penalties])
         self.doc_ends = np.concatenate([self.doc_ends, upto[doc_end] + begin])
         self.open_ids += self.doc_ids
-        self.words, self.doc_ids = array("q"), []
+        self.words, self.waiting, self.doc_ids = [], 0, []
         if self.encoder.full():
             self.encoder.forget()
 
     def settle(self, last: bool) -> dict[str, list]:
         """Pieces of all windows but the last two, or of all at the end of the stream."""
+        if self.texts:
+            self.look_up()
         if self.words:
             self.gather()
         end = self.begin + len(self.ids)
@@ -183,7 +253,7 @@ class Packer:
     def pieces(self, cuts: np.ndarray) -> dict[str, list]:
         """Pieces up to the last cut; what follows stays open."""
         if not len(cuts):
-            return {name: [] for name in PIECES}
+            return {name: [] for name in COLUMNS}
         begins = np.unique(np.concatenate([[self.begin], cuts, self.doc_ends[self.doc_ends < cuts[-1]]]))
         begins, ends = begins[:-1], begins[1:]
         doc = np.searchsorted(self.doc_ends, begins, "right")
@@ -213,7 +283,7 @@ class Packer:
         return found
 
 
-PIECES = {
+COLUMNS = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
     "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary(),
 }
@@ -237,7 +307,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         raise ValueError(f"the window must be a power of two of at least {2 * STEP}")
     with open(tokenizer_path, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    kinds = {name: kind for name, kind in PIECES.items() if ids or name != "ids"}
+    kinds = {name: kind for name, kind in COLUMNS.items() if ids or name != "ids"}
     schema = pa.schema(list(kinds.items()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
