@@ -25,7 +25,8 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
     run.add_argument("out_folder")
     run.add_argument("--database")
     run.add_argument("--buckets", type=int)
-    run.add_argument("--append", action="store_true")
+    run.add_argument("--append", action="store_true", help="add to the published tables; the same delivery adds nothing")
+    run.add_argument("--batch", help="id of the appended delivery instead of a digest of its contents")
 
     profile = commands.add_parser("profile", help="profile delivered files")
     profile.add_argument("raw_folder")
@@ -69,6 +70,7 @@ def main(argv: list[str] | None = None) -> None:
             database=args.database,
             buckets=args.buckets,
             mode="append" if args.append else "overwrite",
+            batch=args.batch,
         )
         files.load_report(spark, written).show(truncate=False)
     elif args.command == "profile":

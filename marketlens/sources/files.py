@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from marketlens.functions.text import cast_known, missing_to_null
 from marketlens.schema import COLUMN_TYPES, LOAD_ORDER, RAW_TABLES, RawTables, Tables
+from marketlens.sources import releases
+from marketlens.sources.releases import BATCH, Batch, Release
 
 BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -52,7 +54,13 @@ def write_processed(tables: Tables, folder: str, fmt: str = "parquet") -> None:
 
 
 def read_processed(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
-    """The six cleaned tables. CSV text is cast to the declared types; flags keep NULL apart from False."""
+    """The six cleaned tables. CSV text is cast to the declared types; flags keep NULL apart from False.
+
+    A folder of published tables gives the rows of its current release.
+    """
+    release = releases.read_pointer(spark, folder)
+    if release is not None:
+        return Tables(**{name: released(spark, release, name, folder=folder) for name in LOAD_ORDER})
     if fmt != "csv":
         return Tables(**{name: spark.read.format(fmt).load(f"{folder}/{name}") for name in LOAD_ORDER})
     return Tables(
@@ -76,25 +84,6 @@ def stored_buckets(spark: SparkSession, table: str) -> int | None:
     return int(described["Num Buckets"]) if "Num Buckets" in described else None
 
 
-def replace_folder(spark: SparkSession, new: str, old: str) -> None:
-    """Put a finished folder in the place of another one of the same file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(old), True)
-    if not fs.rename(path(new), path(old)):
-        raise OSError(f"cannot rename {new} to {old}")
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
-
-
-def folder_exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(folder))
-
-
 def check_same_columns(name: str, batch: DataFrame, stored: DataFrame) -> None:
     """Raise unless the batch can be added to the stored rows."""
     if sorted(batch.dtypes) != sorted(stored.dtypes):
@@ -108,13 +97,16 @@ def publish(
     folder: str | None = None,
     mode: str = "overwrite",
     buckets: int | None = None,
+    batch: str | None = None,
 ) -> dict[str, int]:
-    """Publish the six tables, parents before children, and return the stored rows of each batch.
+    """Publish the six tables as one release, parents before children, and return the rows added to each.
+
+    Tables go to a catalog database or, as parquet, to a folder. All six are checked and stored under
+    the id of their batch; then one file is replaced, and readers of all six see them (see ``releases``).
+    A failure at any time leaves every table as it was, or all of them new.
 
-    Tables go to a catalog database or, as parquet, to a folder. Overwriting makes a repeated
-    run harmless; ``mode="append"`` adds rows. All six batches are checked, then written beside the
-    published tables; only when all are complete do they take their place, or are added. A batch that
-    cannot be computed or stored so leaves every table with its old rows.
+    ``mode="append"`` adds the batch to the release. ``batch`` names it; a batch that the release holds
+    already adds nothing, so a repeated append is harmless. Without a name every append is a new batch.
 
     With ``buckets`` (catalog only) the three tables keyed by order are stored in buckets of the
     order id, and their joins need no shuffle. A bucket is read by one task, so a new table with a
@@ -126,57 +118,137 @@ def publish(
         raise ValueError(f"unknown mode {mode}")
     batches = tables.as_dict()
     spark = batches["orders"].sparkSession
+    home = database_folder(spark, database) if database else folder
+    current = releases.read_pointer(spark, home)
+    batch = releases.checked_id(batch or releases.new_id())
+    adding = mode == "append" and current is not None
+    if adding and batch in current.ids:
+        if database:
+            refresh_views(spark, database)
+        return dict.fromkeys(batches, 0)
+    if mode == "append" and current is None and any(plain_table_exists(spark, name, database, folder) for name in batches):
+        raise ValueError(f"{database or folder} holds tables without a release; overwrite them first")
+    for name, df in batches.items():
+        if BATCH in df.columns:
+            raise ValueError(f"{name}: {BATCH} is the name of the column of batches")
+        if adding:
+            check_same_columns(name, df, released(spark, current, name, database=database, folder=folder))
+    release = current if adding else Release(releases.new_id(), previous=current.generation if current else None)
+    layout = bucket_layout(batches, database, buckets, release if adding else None)
 
-    def place(name: str) -> str:
-        return f"{database}.{name}" if database else f"{folder}/{name}"
+    for name, df in batches.items():
+        store_batch(df, release, name, batch, database=database, folder=folder, buckets=layout[name])
+    release = release.with_batch(Batch(batch, {}))
+    written = {name: released(spark, release, name, database=database, folder=folder, only=batch).count() for name in batches}
+    release.batches[-1].rows.update(written)
+    releases.switch_pointer(spark, home, release)
+    if database:
+        refresh_views(spark, database)
+    remove_old_generations(spark, database=database, folder=folder)
+    return written
 
-    def open_table(path: str) -> DataFrame:
-        return spark.table(path) if database else spark.read.parquet(path)
 
-    added = set()
-    if mode == "append":
-        exists = spark.catalog.tableExists if database else (lambda path: folder_exists(spark, path))
-        added = {name for name in batches if exists(place(name))}
+def bucket_layout(batches: Mapping[str, DataFrame], database: str | None, buckets: int | None, stored: Release | None) -> dict[str, int | None]:
+    """Buckets of each table: those it has, or those wanted if no bucket is heavy."""
     layout: dict[str, int | None] = dict.fromkeys(batches)
     for name, df in batches.items():
         wanted = buckets if database and name in BY_ORDER else None
-        if name in added:
-            check_same_columns(name, df, open_table(place(name)))
-            layout[name] = stored_buckets(spark, place(name)) if database else None
+        if stored is not None:
+            layout[name] = stored_buckets(df.sparkSession, stored_table(stored, database, name)) if database else None
         elif wanted and buckets_balance(df, "order_id", wanted):
             layout[name] = wanted
         if wanted != layout[name]:
-            warnings.warn(f"{name} is stored with {layout[name] or 'no'} buckets instead of {wanted or 'none'}", stacklevel=2)
-
-    for name, df in batches.items():
-        count = layout[name]
-        if count:
-            # one bucket per task, so that the number of files does not multiply with the tasks
-            df = df.hint("rebalance", count, "order_id")
-        writer = df.write.mode("overwrite").format("parquet")
-        if count:
-            writer = writer.bucketBy(count, "order_id").sortBy("order_id")
-        writer.saveAsTable(f"{place(name)}__new") if database else writer.save(f"{place(name)}__new")
-    written = {name: open_table(f"{place(name)}__new").count() for name in batches}
-
-    for name in batches:
-        old, new = place(name), f"{place(name)}__new"
-        if name in added:
-            batch = open_table(new).select(*open_table(old).columns)
-            batch.write.insertInto(old) if database else batch.write.mode("append").parquet(old)
-            spark.sql(f"DROP TABLE {new}") if database else remove_folder(spark, new)
-        elif database:
-            spark.sql(f"DROP TABLE IF EXISTS {old}")
-            spark.sql(f"ALTER TABLE {new} RENAME TO {old}")
-        else:
-            replace_folder(spark, new, old)
-            # listings of the old files may be cached
-            spark.catalog.refreshByPath(old)
-    return written
+            warnings.warn(f"{name} is stored with {layout[name] or 'no'} buckets instead of {wanted or 'none'}", stacklevel=3)
+    return layout
+
+
+def store_batch(
+    df: DataFrame, release: Release, name: str, batch: str, *, database: str | None, folder: str | None, buckets: int | None
+) -> None:
+    """Store one table's rows of a batch; what an earlier attempt left of it is replaced."""
+    if buckets:
+        # one bucket per task, so that the number of files does not multiply with the tasks
+        df = df.hint("rebalance", buckets, "order_id")
+    if folder:
+        df.write.mode("overwrite").parquet(f"{folder}/{release.generation}/{name}/{BATCH}={batch}")
+        return
+    table = stored_table(release, database, name)
+    if df.sparkSession.catalog.tableExists(table):
+        columns = ", ".join(f"`{c}`" for c in df.sparkSession.table(table).columns if c != BATCH)
+        # only this batch's partition is replaced
+        df.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({BATCH} = '{batch}') SELECT {columns} FROM {{rows}}", rows=df)
+        return
+    writer = df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").format("parquet").partitionBy(BATCH)
+    if buckets:
+        writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
+    writer.saveAsTable(table)
+
+
+def stored_table(release: Release, database: str, name: str) -> str:
+    """The catalog table that holds the batches of a generation."""
+    return f"{database}.{name}__{release.generation}"
+
+
+def database_folder(spark: SparkSession, database: str) -> str:
+    return spark.catalog.getDatabase(database).locationUri
+
+
+def released(
+    spark: SparkSession, release: Release, name: str, *, database: str | None = None, folder: str | None = None, only: str | None = None
+) -> DataFrame:
+    """The rows of a table in a release, or of one of its batches; no other partition is read."""
+    ids = [only] if only else release.ids
+    if database:
+        rows = spark.table(stored_table(release, database, name)).where(F.col(BATCH).isin(ids))
+    else:
+        base = f"{folder}/{release.generation}/{name}"
+        rows = spark.read.option("basePath", base).parquet(*(f"{base}/{BATCH}={i}" for i in ids))
+    return rows.drop(BATCH)
 
 
 def read_published(spark: SparkSession, database: str) -> Tables:
-    return Tables(**{name: spark.table(f"{database}.{name}") for name in LOAD_ORDER})
+    """The six tables of the current release of a database."""
+    release = releases.read_pointer(spark, database_folder(spark, database))
+    if release is None:
+        raise ValueError(f"nothing is published in {database}")
+    return Tables(**{name: released(spark, release, name, database=database) for name in LOAD_ORDER})
+
+
+def plain_table_exists(spark: SparkSession, name: str, database: str | None, folder: str | None) -> bool:
+    """Whether a stored table, no view of a release, has the plain name."""
+    if folder:
+        return releases.folder_exists(spark, f"{folder}/{name}")
+    return spark.catalog.tableExists(f"{database}.{name}") and spark.catalog.getTable(f"{database}.{name}").tableType != "VIEW"
+
+
+def refresh_views(spark: SparkSession, database: str) -> None:
+    """Let the plain names of a database show its current release, for readers by SQL.
+
+    The views follow the pointer one by one; ``read_published`` follows it at once.
+    """
+    release = releases.read_pointer(spark, database_folder(spark, database))
+    listed = ", ".join(f"'{i}'" for i in release.ids)
+    for name in LOAD_ORDER:
+        if plain_table_exists(spark, name, database, None):
+            spark.sql(f"DROP TABLE {database}.{name}")
+        table = stored_table(release, database, name)
+        columns = ", ".join(f"`{c}`" for c in spark.table(table).columns if c != BATCH)
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT {columns} FROM {table} WHERE {BATCH} IN ({listed})")
+
+
+def remove_old_generations(spark: SparkSession, *, database: str | None, folder: str | None) -> None:
+    """Remove the generations that are neither current nor the one before."""
+    release = releases.read_pointer(spark, database_folder(spark, database) if database else folder)
+    kept = {release.generation, release.previous}
+    if folder:
+        for name in releases.folders_in(spark, folder):
+            if releases.is_id(name) and name not in kept:
+                releases.remove_folder(spark, f"{folder}/{name}")
+        return
+    for table in spark.catalog.listTables(database):
+        name, _, generation = table.name.rpartition("__")
+        if name in LOAD_ORDER and releases.is_id(generation) and generation not in kept:
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{table.name}")
 
 
 def load_report(spark: SparkSession, written: Mapping[str, int]) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
 from marketlens.operators.clean import clean_tables
-from marketlens.operators.quality import cast_losses, check_cast_losses, validate
+from marketlens.operators.quality import cast_losses, check_cast_losses, table_contents, validate
 from marketlens.plans import marts
 from marketlens.schema import RawTables, Tables
 from marketlens.session import scratch_folder
-from marketlens.sources import files
+from marketlens.sources import files, releases
 
 
 def prepare(spark: SparkSession, raw: RawTables, staged: str | None = None) -> Tables:
@@ -28,6 +29,12 @@ def prepare(spark: SparkSession, raw: RawTables, staged: str | None = None) -> T
     return tables
 
 
+def contents_id(tables: Tables) -> str:
+    """An id of the contents of all tables, whatever the order of their rows: the digest of a row per column."""
+    report = table_contents(tables.as_dict()).orderBy("table_name", "column_name").collect()
+    return hashlib.sha256(repr([tuple(row) for row in report]).encode()).hexdigest()
+
+
 def run(
     spark: SparkSession,
     raw_folder: str,
@@ -38,27 +45,31 @@ def run(
     database: str | None = None,
     buckets: int | None = None,
     mode: str = "overwrite",
+    batch: str | None = None,
 ) -> dict[str, int]:
-    """Process delivered files and return the published rows per table.
+    """Process delivered files and return the rows added to each published table.
 
     Below ``out_folder`` come ``processed`` (cleaned tables in ``fmt``) and ``marts``; the tables
     are published to the catalog ``database`` or, without one, to ``published``. The marts are
-    registered as views over the published tables.
+    registered as views over the published tables. Appending names the batch by its contents
+    unless ``batch`` does: the same delivery adds nothing when it is appended again.
     """
     if buckets and database is None:
         raise ValueError("buckets need a database: files in a folder are not bucketed")
     staged = scratch_folder(spark, "cleaned")
     tables = prepare(spark, files.read_raw(spark, raw_folder, file_names), staged)
     files.write_processed(tables, f"{out_folder}/processed", fmt)
+    if mode == "append" and batch is None:
+        batch = contents_id(tables)
     if database is None:
         folder = f"{out_folder}/published"
-        written = files.publish(tables, folder=folder, mode=mode)
+        written = files.publish(tables, folder=folder, mode=mode, batch=batch)
         published = files.read_processed(spark, folder)
     else:
-        written = files.publish(tables, database=database, mode=mode, buckets=buckets)
+        written = files.publish(tables, database=database, mode=mode, buckets=buckets, batch=batch)
         published = files.read_published(spark, database)
     marts.register_views(published)
     marts.write_marts(published, f"{out_folder}/marts")
     # the copy in the scratch folder is kept only if the run failed
-    files.remove_folder(spark, staged)
+    releases.remove_folder(spark, staged)
     return written

@@ -1,0 +1,31 @@
+"""What is registered, with and without the optional parts."""
+
+import sys
+
+import pytest
+
+import __spark_entry__ as registry
+
+
+def hidden(monkeypatch, *names):
+    """Let the import of some modules fail, as if they were deleted."""
+    for loaded in [m for m in sys.modules if m.split(".")[0] in names or any(m == n or m.startswith(f"{n}.") for n in names)]:
+        monkeypatch.delitem(sys.modules, loaded)
+    for name in names:
+        monkeypatch.setitem(sys.modules, name, None)
+
+
+@pytest.mark.parametrize("names", [("marketlens.llm",), ("marketlens.llm", "corpus_pipeline"), ("tokenizers", "marketlens.llm.queries")])
+def test_the_core_needs_no_training_data_operators(monkeypatch, names):
+    hidden(monkeypatch, *names)
+    assert registry.corpus_queries() == ({}, {})
+    found = registry.queries()
+    assert "vw_monthly_business" in found and not any(name.startswith("op") or name == "pipeline" for name in found)
+    assert set(registry.oracle_sql()) == set(found)
+
+
+def test_the_operators_do_not_need_the_pipeline(monkeypatch):
+    pytest.importorskip("marketlens.llm.queries")
+    hidden(monkeypatch, "corpus_pipeline")
+    found = registry.queries()
+    assert "op1_source_mixing" in found and "pipeline" not in found

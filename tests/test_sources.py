@@ -10,7 +10,7 @@ from marketlens.operators import clean
 from marketlens.plans import marts
 from marketlens.schema import LOAD_ORDER, RAW_TABLES
 from marketlens.session import scratch_folder
-from marketlens.sources import files, testdata
+from marketlens.sources import files, releases, testdata
 
 
 @pytest.fixture(scope="module")
@@ -99,9 +99,9 @@ def test_publish_overwrites_or_appends_in_load_order(spark, tmp_path, sample):
     written = files.publish(sample, folder=folder)
     assert tuple(written) == LOAD_ORDER
     files.publish(sample, folder=folder)
-    assert spark.read.parquet(f"{folder}/orders").count() == written["orders"] == sample.orders.count()
+    assert files.read_processed(spark, folder).orders.count() == written["orders"] == sample.orders.count()
     files.publish(sample, folder=folder, mode="append")
-    assert spark.read.parquet(f"{folder}/orders").count() == 2 * written["orders"]
+    assert files.read_processed(spark, folder).orders.count() == 2 * written["orders"]
     with pytest.raises(ValueError):
         files.publish(sample)
 
@@ -135,11 +135,15 @@ def test_tables_with_a_heavy_bucket_are_not_bucketed(spark, sample):
     assert not files.buckets_balance(hot.order_items, "order_id", 8)
     spark.sql("CREATE DATABASE IF NOT EXISTS heavy")
     written = files.publish(hot, database="heavy", buckets=8)
-    described = {n: {r[0] for r in spark.sql(f"DESCRIBE EXTENDED heavy.{n}").collect()} for n in ("orders", "order_items")}
-    assert "Num Buckets" in described["orders"] and "Num Buckets" not in described["order_items"]
+    assert [buckets_of(spark, "heavy", name) for name in ("orders", "order_items")] == [8, None]
     assert written["order_items"] == sample.order_items.count()
 
 
+def buckets_of(spark, database, name):
+    release = releases.read_pointer(spark, files.database_folder(spark, database))
+    return files.stored_buckets(spark, files.stored_table(release, database, name))
+
+
 def contents(spark, database):
     return {n: spark.table(f"{database}.{n}").count() for n in LOAD_ORDER}
 
@@ -154,7 +158,7 @@ def test_appending_keeps_the_buckets_of_the_table(spark, sample, heavy_first):
     with pytest.warns(UserWarning, match="order_items") if heavy_first else contextlib.nullcontext():
         files.publish(second, database=database, mode="append", buckets=8)
     assert contents(spark, database) == {n: 2 * rows for n, rows in written.items()}
-    assert files.stored_buckets(spark, f"{database}.order_items") == (None if heavy_first else 8)
+    assert buckets_of(spark, database, "order_items") == (None if heavy_first else 8)
 
 
 @pytest.mark.parametrize("mode", ["overwrite", "append"])
@@ -183,6 +187,101 @@ def test_a_failed_publish_changes_nothing_and_can_be_repeated(spark, sample, tmp
     assert stored() == {n: (2 if mode == "append" else 1) * rows for n, rows in written.items()}
 
 
+def published(spark, target):
+    """All rows that readers of the six tables see."""
+    back = files.read_published(spark, target["database"]) if "database" in target else files.read_processed(spark, target["folder"])
+    return {name: sorted(map(repr, rows(df.select(*sorted(df.columns))))) for name, df in back.as_dict().items()}
+
+
+def small_batch(spark, i):
+    return tables(
+        spark, orders=[order(f"o{i}")], items=[item(f"o{i}", "1.00")] * i, customers=[(f"c{i}", "u", "X")], products=[(f"p{i}", "t")],
+        sellers=[f"s{i}"], reviews=[(f"r{i}", f"o{i}", i)],
+    )
+
+
+#: Functions that publishing goes through, how often they are called before they fail, and whether the switch comes before.
+STEPS = [
+    (files, "store_batch", 0, False),
+    (files, "store_batch", 3, False),
+    (files, "store_batch", 5, False),
+    (releases, "switch_pointer", 0, False),
+    (files, "refresh_views", 0, True),
+    (files, "remove_old_generations", 0, True),
+]
+
+
+@pytest.mark.parametrize(("mode", "to_folder"), [("overwrite", True), ("append", False)])
+def test_a_failure_between_any_two_steps_leaves_one_whole_release(spark, tmp_path, monkeypatch, mode, to_folder):
+    spark.sql("CREATE DATABASE IF NOT EXISTS steps")
+    target = {"folder": str(tmp_path / "out")} if to_folder else {"database": "steps", "buckets": 2}
+    files.publish(small_batch(spark, 1), **target)
+    seen, expected = published(spark, target), small_batch(spark, 2)
+    whole = {n: sorted((seen[n] if mode == "append" else []) + [repr(r) for r in rows(df.select(*sorted(df.columns)))]) for n, df in expected.as_dict().items()}
+    for module, name, before, switched in STEPS:
+        if to_folder and name == "refresh_views":
+            continue
+        calls, real = [], getattr(module, name)
+
+        def failing(*args, calls=calls, real=real, before=before, **kwargs):
+            calls.append(1)
+            if len(calls) > before:
+                raise OSError("lost")
+            return real(*args, **kwargs)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(module, name, failing)
+            # a batch that is listed already has nothing left to fail
+            with pytest.raises(OSError, match="lost") if mode == "overwrite" or name != "remove_old_generations" else contextlib.nullcontext():
+                files.publish(expected, mode=mode, batch="second", **target)
+        assert published(spark, target) == (whole if switched else seen), (name, before)
+    files.publish(expected, mode=mode, batch="second", **target)
+    assert published(spark, target) == whole
+    if not to_folder:
+        files.refresh_views(spark, "steps")
+        assert contents(spark, "steps") == {name: len(found) for name, found in whole.items()}
+
+
+@pytest.mark.parametrize("to_folder", [True, False])
+def test_the_same_append_twice_adds_nothing(spark, tmp_path, to_folder):
+    spark.sql("CREATE DATABASE IF NOT EXISTS ledger")
+    target = {"folder": str(tmp_path / "out")} if to_folder else {"database": "ledger"}
+    files.publish(small_batch(spark, 1), **target)
+    added = files.publish(small_batch(spark, 2), mode="append", batch="2024-01", **target)
+    once = published(spark, target)
+    assert added["order_items"] == 2 and len(once["order_items"]) == 3
+    assert files.publish(small_batch(spark, 2), mode="append", batch="2024-01", **target) == dict.fromkeys(LOAD_ORDER, 0)
+    assert published(spark, target) == once
+    release = releases.read_pointer(spark, str(tmp_path / "out") if to_folder else files.database_folder(spark, "ledger"))
+    assert release.ids[1:] == ["2024-01"] and release.batches[1].rows == added
+    with pytest.raises(ValueError, match="batch id"):
+        files.publish(small_batch(spark, 2), mode="append", batch="../x", **target)
+    files.publish(small_batch(spark, 2), mode="append", batch="2024-02", **target)
+    assert len(published(spark, target)["order_items"]) == 5
+
+
+def test_readers_of_the_generation_before_finish_and_older_ones_go(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    files.publish(small_batch(spark, 1), folder=folder)
+    opened = files.read_processed(spark, folder)
+    files.publish(small_batch(spark, 2), folder=folder)
+    assert opened.order_items.count() == 1
+    files.publish(small_batch(spark, 2), folder=folder)
+    assert len(releases.folders_in(spark, folder)) == 2
+
+
+def test_other_batches_are_not_read(spark, tmp_path):
+    folder, sample = str(tmp_path / "out"), small_batch(spark, 1)
+    files.publish(sample, folder=folder)
+    release = releases.read_pointer(spark, folder)
+    files.store_batch(sample.orders, release, "orders", "stray", database=None, folder=folder, buckets=None)
+    assert files.read_processed(spark, folder).orders.count() == sample.orders.count()
+    assert releases.BATCH not in files.read_processed(spark, folder).orders.columns
+    named = sample.replacing(orders=sample.orders.withColumn(releases.BATCH, F.lit("x")))
+    with pytest.raises(ValueError, match=releases.BATCH):
+        files.publish(named, folder=folder)
+
+
 def test_views_are_replaced_and_readable_by_name(spark, sample):
     assert marts.register_views(sample) == list(marts.MARTS)
     assert marts.register_views(sample) == list(marts.MARTS)
