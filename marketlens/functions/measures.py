@@ -22,21 +22,37 @@ SPANS = {
 }
 
 
-def order_measures(*spans: str) -> list[Column]:
-    """Aggregates over orders: counts, lateness and the named spans."""
+#: Columns that the counts of lateness read.
+LATENESS = ("is_late", "delay_days")
+
+
+def lateness_measures() -> dict[str, Column]:
     late = F.col("is_late")
     late_delay = F.when(late, F.col("delay_days"))
-    measures = [
-        F.count(F.lit(1)).alias("n_orders"),
-        F.count_if(late).alias("n_late"),
-        F.count(late).alias("n_flagged"),
-        F.sum(late_delay).alias("late_delay"),
-        F.count(late_delay).alias("n_late_delay"),
-    ]
+    return {
+        "n_orders": F.count(F.lit(1)),
+        "n_late": F.count_if(late),
+        "n_flagged": F.count(late),
+        "late_delay": F.sum(late_delay),
+        "n_late_delay": F.count(late_delay),
+    }
+
+
+def span_measures(name: str, span: Column) -> dict[str, Column]:
+    return {f"us_{name}": exact_sum(span), f"n_{name}": F.count(span)}
+
+
+def measures_of_spans(name: str, span: Column) -> dict[str, Column]:
+    """Counts, lateness and one span that is computed already, by name."""
+    return lateness_measures() | span_measures(name, span)
+
+
+def order_measures(*spans: str) -> list[Column]:
+    """Aggregates over orders: counts, lateness and the named spans."""
+    measures = lateness_measures()
     for name in spans:
-        span = micros_between(*SPANS[name])
-        measures += [exact_sum(span).alias(f"us_{name}"), F.count(span).alias(f"n_{name}")]
-    return measures
+        measures |= span_measures(name, micros_between(*SPANS[name]))
+    return [measure.alias(name) for name, measure in measures.items()]
 
 
 def resum(*spans: str) -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import delivery
 from marketlens.functions.exact import MICROS_PER_DAY, pct2, ratio2
-from marketlens.functions.measures import average_days, average_late_delay, late_rate, order_measures
+from marketlens.functions.measures import LATENESS, average_days, average_late_delay, late_rate, measures_of_spans, order_measures
 from marketlens.operators.grains import state_measures
 from marketlens.operators.median import middle_sum
 from marketlens.schema import DELIVERED, PURCHASED, Tables
@@ -26,11 +26,12 @@ def overall(
 ) -> DataFrame:
     """Delivery speed and lateness in one row."""
     orders = t.orders.filter(delivery.delivered_with_evidence())
-    middle = middle_sum(orders.select(delivery.micros_between(PURCHASED, DELIVERED).alias("span")), "span")
-    return orders.agg(*order_measures("actual")).select(
-        F.col("n_orders").alias(count_name),
+    span = delivery.micros_between(PURCHASED, DELIVERED).alias("span")
+    figures = middle_sum(orders.select(span, *LATENESS), "span", measures_of_spans("actual", F.col("span")))
+    return figures.select(
+        F.coalesce("n_orders", F.lit(0)).alias(count_name),
         average_days("actual").alias("avg_delivery_days"),
-        ratio2(middle.scalar(), F.lit(2 * MICROS_PER_DAY).cast("decimal(20,0)")).alias("median_delivery_days"),
+        ratio2(F.col("middle_sum"), F.lit(2 * MICROS_PER_DAY).cast("decimal(20,0)")).alias("median_delivery_days"),
         late_rate().alias("late_rate_pct"),
         average_late_delay().alias(late_delay_name),
     )
