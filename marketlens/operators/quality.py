@@ -89,13 +89,54 @@ def _profile_missing(name: str, df: DataFrame) -> DataFrame:
 
 
 def _count_missing(df: DataFrame) -> DataFrame:
-    """One row: rows, duplicate rows and the missing values of every column, in one pass."""
-    copies = F.col("_copies")
-    return _distinct_rows(df).agg(
-        _or_zero(F.sum(copies)).alias("row_count"),
-        _or_zero(F.sum(copies - 1)).alias("duplicate_rows"),
-        *(_or_zero(F.sum(F.when(_missing(c), copies))).alias(f"_m{i}") for i, c in enumerate(df.columns)),
+    """One row: rows, duplicate rows and the missing values of every column."""
+    counts = df.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        *(F.count_if(_missing(c)).alias(f"_m{i}") for i, c in enumerate(df.columns)),
+    )
+    return counts.select("*", _duplicate_rows(df).scalar().alias("duplicate_rows"))
+
+
+#: Places of the bitmap that marks repeated rows: 8 MB, whatever the table.
+BITMAP_PLACES = 1 << 26
+#: Places of one row of it (a fixed value of the bitmap functions).
+BITMAP_ROW = 1 << 15
+
+
+def _row_hashes(df: DataFrame) -> dict[str, Column]:
+    """Two 64-bit hashes of a whole row."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return {f"_h{seed}": F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)}
+
+
+def _duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row ``n``: the rows that repeat an earlier one (NULL equals NULL).
+
+    Only hashes of rows are shuffled to find those that occur more than once. Their places are marked
+    in a bitmap of fixed size, and the rows whose place is marked are compared whole, combined on the
+    map side. Rows that only share a place, or a hash, are told apart there: the bitmap saves work and
+    decides nothing.
+    """
+    hashes = _row_hashes(df)
+    place = F.pmod(F.col("_h1"), F.lit(BITMAP_PLACES)) + 1
+    repeated = df.select(*(h.alias(n) for n, h in hashes.items())).groupBy(*hashes).agg(F.count(F.lit(1)).alias("_copies"))
+    marks = (
+        repeated.filter("_copies > 1")
+        .groupBy(F.bitmap_bucket_number(place).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_marks"))
+    )
+    # at most BITMAP_PLACES / BITMAP_ROW rows of 4 KB
+    bounded = F.broadcast(marks)
+    rows = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)), hashes["_h1"].alias("_h1"))
+    byte = F.conv(F.hex(F.substring("_marks", F.expr("bitmap_bit_position(_place) div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = (
+        rows.withColumn("_place", place)
+        .withColumn("_own", F.bitmap_bucket_number("_place"))
+        .join(bounded, F.col("_own") == F.col("_bucket"))
+        .filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))")) != 0)
+        .select(*(f"_c{i}" for i in range(len(df.columns))))
     )
+    return _distinct_rows(marked).agg(_or_zero(F.sum(F.col("_copies") - 1)).alias("n"))
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Profiling and validation on hand-made rows."""
 
 import pytest
+from pyspark.sql import functions as F
 from build import item, order, row_dicts, rows, tables
 
 from marketlens.operators import quality
@@ -147,3 +148,30 @@ def test_unreadable_money_and_scores_are_reported_and_stop_the_run(spark):
     with pytest.raises(quality.DataQualityError, match="order_items.price: 3 of 4"):
         quality.check_cast_losses(report)
     quality.check_cast_losses(report.where("column_name = 'review_creation_date'"))
+
+
+def duplicate_table(spark):
+    """Copies, rows that differ only in where a null is, and rows that occur once."""
+    data = [("a", None, 1)] * 3 + [(None, "a", 1)] * 2 + [(None, None, None)] * 2 + [(f"t{i}", "x" * 50, i) for i in range(40)] + [("", "a", 1)]
+    return spark.createDataFrame(data, "t string, `a.b` string, _h1 int").repartition(5)
+
+
+@pytest.mark.parametrize("hashes", ["own", "all alike", "few places"])
+def test_duplicates_are_compared_whole(spark, monkeypatch, hashes):
+    if hashes == "all alike":
+        monkeypatch.setattr(quality, "_row_hashes", lambda df: {"_h1": F.lit(7).cast("long"), "_h2": F.lit(7).cast("long")})
+    elif hashes == "few places":
+        monkeypatch.setattr(quality, "BITMAP_PLACES", 4)
+    found = quality.profile_missing({"t": duplicate_table(spark), "none": duplicate_table(spark).limit(0)})
+    assert sorted(map(repr, rows(found.select("table_name", "row_count", "duplicate_rows", "column_name", "missing_count")))) == sorted(
+        map(repr, [("t", 48, 4, "t", 4), ("t", 48, 4, "a.b", 5), ("t", 48, 4, "_h1", 2), ("none", 0, 0, None, 0)])
+    )
+
+
+def test_rows_that_occur_once_are_not_shuffled_whole(spark):
+    plan = quality._duplicate_rows(duplicate_table(spark))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    whole = [line for line in exchanges if "_c0" in line]
+    assert len(whole) == 1 and any("_h1" in line and "_h2" in line and "_c" not in line for line in exchanges)
+    below = plan[plan.index(whole[0]) :]
+    assert "partial_count" in below.splitlines()[1] and below.index("BroadcastHashJoin") < below.index("BroadcastExchange")
