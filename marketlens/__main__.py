@@ -46,6 +46,13 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
             metavar="TABLE=NAME",
             help="file name of a delivered table; further tables are profiled too",
         )
+        command.add_argument(
+            "--single-line",
+            action="append",
+            default=[],
+            metavar="TABLE",
+            help="declare that a table has a record per line: its files are divided among tasks, other records stop the run",
+        )
     return parser.parse_args(argv)
 
 
@@ -71,12 +78,13 @@ def main(argv: list[str] | None = None) -> None:
             buckets=args.buckets,
             mode="append" if args.append else "overwrite",
             batch=args.batch,
+            single_line=args.single_line,
         )
         files.load_report(spark, written).show(truncate=False)
     elif args.command == "profile":
-        raw = files.read_raw(spark, args.raw_folder, {t: n for t, n in names.items() if t in RAW_TABLES})
+        raw = files.read_raw(spark, args.raw_folder, {t: n for t, n in names.items() if t in RAW_TABLES}, args.single_line)
         others = {
-            table: files.read_csv_table(spark, f"{args.raw_folder}/{name}")
+            table: files.read_csv_table(spark, f"{args.raw_folder}/{name}", table in args.single_line)
             for table, name in names.items()
             if table not in RAW_TABLES
         }

@@ -1,14 +1,16 @@
 """CSV and parquet readers and writers.
 
-Text files are read without type inference, which would scan them an extra time. Any table may
-have quoted fields with line breaks, so every file is read as a stream by one task, by one reader
-whatever its size; a table delivered as many files is read by as many tasks.
+Text files are read without type inference, which would scan them an extra time. A table may have
+quoted fields with line breaks, so a file is read as a stream by one task; a table delivered as many
+files is read by as many tasks. A table that is *declared* to have a record per line is read by as
+many tasks as its files have blocks, and stops the run where the declaration does not hold.
 """
 
 from __future__ import annotations
 
+import csv
 import warnings
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +25,44 @@ BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """One table as text columns, with missing-value texts as NULL."""
-    return missing_to_null(spark.read.csv(path, multiLine=True, **CSV_OPTIONS))
+def read_csv_table(spark: SparkSession, path: str, single_line: bool = False) -> DataFrame:
+    """One table as text columns, with missing-value texts as NULL.
+
+    ``single_line`` declares that every record is one line (see ``read_lines``). It is for the caller
+    to say, whatever the size: nothing is guessed from the files.
+    """
+    return missing_to_null(read_lines(spark, path) if single_line else spark.read.csv(path, multiLine=True, **CSV_OPTIONS))
 
 
-def read_raw(spark: SparkSession, folder: str, file_names: Mapping[str, str] | None = None) -> RawTables:
-    """The seven delivered tables. ``file_names`` maps a table to its file or folder name."""
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A table with a record per line; its files, with one header each, are divided among tasks.
+
+    A line with another number of fields than the header or an odd number of quotes, as any line
+    break within a field leaves behind, raises an error when it is read. So does a bare quote in a text.
+    """
+    lines = spark.read.text(path)
+    header = lines.first()
+    if header is None:
+        return spark.read.csv(path, multiLine=True, **CSV_OPTIONS)
+    names = next(csv.reader([header["value"]]))
+    corrupt = "_corrupt_record"
+    schema = ", ".join("`{}` string".format(name.replace("`", "``")) for name in [*names, corrupt])
+    options = {name: str(value) for name, value in CSV_OPTIONS.items() if name != "header"}
+    fields = F.from_csv("value", F.lit(schema), options | {"columnNameOfCorruptRecord": corrupt})
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = (quotes % 2 == 1) | F.col("record")[corrupt].isNotNull()
+    error = F.raise_error(F.concat(F.lit(f"{path}: no record of {len(names)} fields in one line: "), F.substring("value", 1, 200)))
+    records = lines.where((F.col("value") != header["value"]) & (F.col("value") != "")).withColumn("record", fields)
+    whole = records.where(F.when(broken, error.cast("boolean")).otherwise(True))
+    return whole.select(*(F.col("record")[name].alias(name) for name in names))
+
+
+def read_raw(
+    spark: SparkSession, folder: str, file_names: Mapping[str, str] | None = None, single_line: Collection[str] = ()
+) -> RawTables:
+    """The seven delivered tables. ``file_names`` maps a table to its file or folder name, ``single_line`` declares tables."""
     names = {table: f"{table}.csv" for table in RAW_TABLES} | dict(file_names or {})
-    return RawTables(**{table: read_csv_table(spark, f"{folder}/{names[table]}") for table in RAW_TABLES})
+    return RawTables(**{table: read_csv_table(spark, f"{folder}/{names[table]}", table in single_line) for table in RAW_TABLES})
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import SparkSession
 
@@ -18,13 +18,17 @@ from marketlens.sources import files, releases
 def prepare(spark: SparkSession, raw: RawTables, staged: str | None = None) -> Tables:
     """Clean and validate; raises before anything is exported.
 
-    The cleaned tables are written once to ``staged``, by default a new shared scratch folder: the checks then read key
-    columns instead of parsing all text again, and a lost executor costs no second cleaning.
+    The delivered texts are parsed once and written below ``staged``, by default a new shared scratch folder; checks and
+    cleaning read that. So are the cleaned tables: the checks then read key columns only, and a lost executor
+    costs no second cleaning.
     """
-    check_cast_losses(cast_losses(raw.as_dict()))
-    staged = staged or scratch_folder(spark, "cleaned")
-    files.write_processed(clean_tables(raw), staged)
-    tables = files.read_processed(spark, staged)
+    staged = staged or scratch_folder(spark, "staged")
+    for name, df in raw.as_dict().items():
+        df.write.mode("overwrite").parquet(f"{staged}/texts/{name}")
+    texts = RawTables(**{name: spark.read.parquet(f"{staged}/texts/{name}") for name in RawTables.NAMES})
+    check_cast_losses(cast_losses(texts.as_dict()))
+    files.write_processed(clean_tables(texts), f"{staged}/cleaned")
+    tables = files.read_processed(spark, f"{staged}/cleaned")
     validate(tables)
     return tables
 
@@ -46,18 +50,20 @@ def run(
     buckets: int | None = None,
     mode: str = "overwrite",
     batch: str | None = None,
+    single_line: Collection[str] = (),
 ) -> dict[str, int]:
     """Process delivered files and return the rows added to each published table.
 
     Below ``out_folder`` come ``processed`` (cleaned tables in ``fmt``) and ``marts``; the tables
     are published to the catalog ``database`` or, without one, to ``published``. The marts are
     registered as views over the published tables. Appending names the batch by its contents
-    unless ``batch`` does: the same delivery adds nothing when it is appended again.
+    unless ``batch`` does: the same delivery adds nothing when it is appended again. ``single_line``
+    declares delivered tables that have a record per line, which many tasks read.
     """
     if buckets and database is None:
         raise ValueError("buckets need a database: files in a folder are not bucketed")
-    staged = scratch_folder(spark, "cleaned")
-    tables = prepare(spark, files.read_raw(spark, raw_folder, file_names), staged)
+    staged = scratch_folder(spark, "staged")
+    tables = prepare(spark, files.read_raw(spark, raw_folder, file_names, single_line), staged)
     files.write_processed(tables, f"{out_folder}/processed", fmt)
     if mode == "append" and batch is None:
         batch = contents_id(tables)
@@ -70,6 +76,6 @@ def run(
         published = files.read_published(spark, database)
     marts.register_views(published)
     marts.write_marts(published, f"{out_folder}/marts")
-    # the copy in the scratch folder is kept only if the run failed
+    # the copies in the scratch folder are kept only if the run failed
     releases.remove_folder(spark, staged)
     return written

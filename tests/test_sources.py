@@ -56,6 +56,38 @@ def test_any_table_may_hold_line_breaks_and_bare_quotes(spark, tmp_path, split_b
     assert products == [("p1", "toys\nand games"), ("p2", "b")]
 
 
+def test_a_declared_table_is_read_by_many_tasks(spark, tmp_path):
+    header = "review_id,order id,review_score,review_comment_message\n"
+    lines = [f'r{i},o{i},{i % 6},"say ""{i}"", and, more"\n' if i % 3 else f"r{i},,NA,\n" for i in range(300)]
+    (tmp_path / "reviews.csv").mkdir()
+    write(tmp_path / "reviews.csv" / "a.csv", header + "".join(lines[:200]))
+    write(tmp_path / "reviews.csv" / "b.csv", header + "".join(lines[200:]))
+    path, before = str(tmp_path / "reviews.csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        declared = files.read_csv_table(spark, path, single_line=True)
+        assert declared.rdd.getNumPartitions() >= 8
+        assert declared.columns == ["review_id", "order id", "review_score", "review_comment_message"]
+        assert sorted(map(repr, rows(declared))) == sorted(map(repr, rows(files.read_csv_table(spark, path))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ['"two\nlines"', '"two\na,b,lines"', "x,y", '10" pipe'])
+def test_a_declared_table_with_other_records_stops_the_run(spark, tmp_path, text):
+    write(tmp_path / "t.csv", f"a,b,c\n1,2,3\n4,5,{text}\n")
+    declared = files.read_csv_table(spark, str(tmp_path / "t.csv"), single_line=True)
+    with pytest.raises(Exception, match="in one line"):
+        declared.select("a").collect()
+    assert files.read_csv_table(spark, str(tmp_path / "t.csv")).count() == 2
+
+
+@pytest.mark.parametrize("text", ["", "a,b\n"])
+def test_a_declared_table_may_have_no_rows(spark, tmp_path, text):
+    write(tmp_path / "t.csv", text)
+    assert rows(files.read_csv_table(spark, str(tmp_path / "t.csv"), single_line=True)) == []
+
+
 def test_delivered_files_may_have_other_names(spark, tmp_path):
     for table in RAW_TABLES:
         write(tmp_path / f"x_{table}.csv", "order_id,other\n1,a\n")
