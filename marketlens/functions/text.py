@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,21 @@ MISSING_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Fixed value: the one timestamp layout that is accepted.
-TIMESTAMP_LAYOUT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+# The timestamp layouts that are known, the usual one first. Each has a pattern and the
+# order of its groups in the usual layout.
+LAYOUTS = {
+    "yyyy-MM-dd HH:mm:ss": (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})$", "$1"),
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$", "$1"),
+    "yyyy-MM-ddTHH:mm:ss": (r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})$", "$1 $2"),
+    "yyyy/MM/dd HH:mm:ss": (r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2})$", "$1-$2-$3 $4"),
+    "dd/MM/yyyy HH:mm:ss": (r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})$", "$3-$2-$1 $4"),
+    "MM/dd/yyyy HH:mm:ss": (r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})$", "$3-$1-$2 $4"),
+    "dd.MM.yyyy HH:mm:ss": (r"^(\d{2})\.(\d{2})\.(\d{4}) (\d{2}:\d{2}:\d{2})$", "$3-$2-$1 $4"),
+    "dd/MM/yyyy HH:mm": (r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2})$", "$3-$2-$1 $4:00"),
+    "yyyy-MM-dd HH:mm": (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2})$", "$1:00"),
+    "yyyy-MM-dd": (r"^(\d{4}-\d{2}-\d{2})$", "$1 00:00:00"),
+}
+USUAL_LAYOUT = next(iter(LAYOUTS))
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -30,15 +43,21 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def parse_timestamp(text: Column) -> Column:
+def parse_timestamp(text: Column, layout: str = USUAL_LAYOUT) -> Column:
     """Zone-free timestamp of a text; any other layout or an impossible date gives NULL."""
-    return F.when(text.rlike(TIMESTAMP_LAYOUT), text.try_cast(T.TimestampNTZType()))
+    pattern, usual = LAYOUTS[layout]
+    written = text if layout == USUAL_LAYOUT else F.regexp_replace(text, pattern, usual)
+    return F.when(text.rlike(pattern), written.try_cast(T.TimestampNTZType()))
 
 
-def parse_timestamps(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Parse the named columns that are still text; typed ones stay as they are."""
+def parse_timestamps(df: DataFrame, names: Iterable[str], layouts: Mapping[str, str] | None = None) -> DataFrame:
+    """Parse the named columns that are still text; typed ones stay as they are.
+
+    ``layouts`` names the layout of a column, if it is not the usual one.
+    """
+    layouts = layouts or {}
     parsed = {
-        name: parse_timestamp(F.col(name))
+        name: parse_timestamp(F.col(name), layouts.get(name, USUAL_LAYOUT))
         for name in names
         if name in df.columns and isinstance(df.schema[name].dataType, T.StringType)
     }
@@ -55,10 +74,10 @@ def cast_known(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def lost(value: Column, source: T.DataType, target: T.DataType) -> Column:
+def lost(value: Column, source: T.DataType, target: T.DataType, layout: str = USUAL_LAYOUT) -> Column:
     """Whether a value that is present does not survive as ``target``: unreadable, out of range or rounded."""
     if isinstance(target, T.TimestampNTZType):
-        typed = parse_timestamp(value) if isinstance(source, T.StringType) else value.try_cast(target)
+        typed = parse_timestamp(value, layout) if isinstance(source, T.StringType) else value.try_cast(target)
         return value.isNotNull() & typed.isNull()
     exact = T.DecimalType(38, 10)
     kept = value.try_cast(target)

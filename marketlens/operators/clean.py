@@ -5,6 +5,8 @@ Missing values are NULL already: the readers of text files see to that.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from marketlens.schema import (
     Tables,
 )
 
+#: Per column the layout of its timestamps.
+Layouts = Mapping[str, str] | None
+
 # Fixed value: category of a product whose category is missing or has no translation.
 UNKNOWN_CATEGORY = "unknown"
 
@@ -33,9 +38,9 @@ def seconds_between(start: str, end: str) -> Column:
     return delivery.micros_between(start, end) / MICROS_PER_SECOND
 
 
-def clean_orders(raw: DataFrame) -> DataFrame:
+def clean_orders(raw: DataFrame, layouts: Layouts = None) -> DataFrame:
     """Type the lifecycle timestamps, add status flags, durations and the late flag."""
-    typed = parse_timestamps(raw, ORDER_TIMESTAMPS)
+    typed = parse_timestamps(raw, ORDER_TIMESTAMPS, layouts)
     return typed.withColumns(
         {
             "is_delivered": delivery.has_status(delivery.STATUS_DELIVERED),
@@ -48,9 +53,9 @@ def clean_orders(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_order_items(raw: DataFrame) -> DataFrame:
+def clean_order_items(raw: DataFrame, layouts: Layouts = None) -> DataFrame:
     """Type the shipping limit and the money columns, add the total value of the item."""
-    typed = cast_known(parse_timestamps(raw, ITEM_TIMESTAMPS), COLUMN_TYPES["order_items"])
+    typed = cast_known(parse_timestamps(raw, ITEM_TIMESTAMPS, layouts), COLUMN_TYPES["order_items"])
     return typed.withColumn("item_total_value", F.col("price") + F.col("freight_value"))
 
 
@@ -85,17 +90,19 @@ def clean_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
     return fill_category(translate_category(rename_products(typed), translation))
 
 
-def clean_reviews(raw: DataFrame) -> DataFrame:
+def clean_reviews(raw: DataFrame, layouts: Layouts = None) -> DataFrame:
     """Type the review timestamps and the score."""
-    return cast_known(parse_timestamps(raw, REVIEW_TIMESTAMPS), COLUMN_TYPES["reviews"])
+    return cast_known(parse_timestamps(raw, REVIEW_TIMESTAMPS, layouts), COLUMN_TYPES["reviews"])
 
 
-def clean_tables(raw: RawTables) -> Tables:
+def clean_tables(raw: RawTables, layouts: Mapping[str, Mapping[str, str]] | None = None) -> Tables:
+    """The cleaned tables; ``layouts`` names per table the layouts of timestamp columns that are not the usual one."""
+    layouts = layouts or {}
     return Tables(
-        orders=lambda: clean_orders(raw.orders),
+        orders=lambda: clean_orders(raw.orders, layouts.get("orders")),
         customers=lambda: raw.customers,
-        order_items=lambda: clean_order_items(raw.order_items),
+        order_items=lambda: clean_order_items(raw.order_items, layouts.get("order_items")),
         products=lambda: clean_products(raw.products, raw.category_translation),
         sellers=lambda: raw.sellers,
-        reviews=lambda: clean_reviews(raw.reviews),
+        reviews=lambda: clean_reviews(raw.reviews, layouts.get("reviews")),
     )

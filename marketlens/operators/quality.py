@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.text import lost
+from marketlens.functions.text import LAYOUTS, USUAL_LAYOUT, lost, parse_timestamp
 from marketlens.schema import (
     APPROVED,
     CARRIER,
@@ -336,11 +336,46 @@ def table_contents(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _stack(reports)
 
 
-def cast_losses(raw: Mapping[str, DataFrame]) -> DataFrame:
+def layout_census(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """Per timestamp column that is still text, and known layout, the texts that can be read. One pass per table."""
+    reports = []
+    for table, df in raw.items():
+        columns = [n for n, t in COLUMN_TYPES[table].items() if isinstance(t, T.TimestampNTZType) and dict(df.dtypes).get(n) == "string"]
+        if not columns:
+            continue
+        pairs = [(column, layout) for column in columns for layout in LAYOUTS]
+        totals = df.agg(*(F.count(parse_timestamp(F.col(c), layout)).alias(f"_n{i}") for i, (c, layout) in enumerate(pairs)))
+        found = [
+            F.struct(F.lit(c).alias("column_name"), F.lit(layout).alias("layout"), F.col(f"_n{i}").alias("readable")) for i, (c, layout) in enumerate(pairs)
+        ]
+        reports.append(totals.select(F.lit(table).alias("table_name"), F.explode(F.array(*found)).alias("c")).select("table_name", "c.*"))
+    return _stack(reports) if reports else None
+
+
+def chosen_layouts(raw: Mapping[str, DataFrame], declared: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, dict[str, str]]:
+    """The layout of every timestamp column: the one declared, else the one that reads most of its texts.
+
+    Of two that read as many, the one known first is taken. The report that is collected has a row per column and layout.
+    """
+    chosen: dict[str, dict[str, str]] = {}
+    best: dict[tuple[str, str], int] = {}
+    report = layout_census(raw)
+    rank = {layout: i for i, layout in enumerate(LAYOUTS)}
+    for row in sorted(report.collect() if report is not None else [], key=lambda r: rank[r["layout"]]):
+        place = (row["table_name"], row["column_name"])
+        if row["readable"] > best.get(place, -1):
+            best[place] = row["readable"]
+            chosen.setdefault(row["table_name"], {})[row["column_name"]] = row["layout"]
+    for table, columns in (declared or {}).items():
+        chosen.setdefault(table, {}).update(columns)
+    return chosen
+
+
+def cast_losses(raw: Mapping[str, DataFrame], layouts: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Per typed column of the delivered tables the values that are present, and how many are no such value.
 
     A value is lost if it cannot be read as the declared type, or only by rounding; timestamps must
-    have the accepted layout. One pass per table.
+    have the layout of their column, the usual one unless ``layouts`` names another. One pass per table.
     """
     reports = []
     for table, df in raw.items():
@@ -348,9 +383,10 @@ def cast_losses(raw: Mapping[str, DataFrame]) -> DataFrame:
         columns = [name for name in COLUMN_TYPES[table] if name in given]
         if not columns:
             continue
+        own = (layouts or {}).get(table, {})
         totals = []
         for i, name in enumerate(columns):
-            is_lost = lost(F.col(name), given[name], COLUMN_TYPES[table][name])
+            is_lost = lost(F.col(name), given[name], COLUMN_TYPES[table][name], own.get(name, USUAL_LAYOUT))
             totals += [F.count(F.col(name)).alias(f"_present_{i}"), F.count_if(is_lost).alias(f"_lost_{i}")]
         rows = [
             F.struct(F.lit(name).alias("column_name"), F.col(f"_present_{i}").alias("present"), F.col(f"_lost_{i}").alias("lost"))
@@ -361,13 +397,21 @@ def cast_losses(raw: Mapping[str, DataFrame]) -> DataFrame:
     return _stack(reports)
 
 
-def check_cast_losses(report: DataFrame) -> None:
-    """Raise ``DataQualityError`` if a text that should be a number is none, or has too many digits or decimals.
+#: Share of a column's timestamps that may be unreadable before a run stops.
+UNREADABLE_SHARE = 0.1
+
+
+def check_cast_losses(report: DataFrame, unreadable_share: float = UNREADABLE_SHARE) -> None:
+    """Raise ``DataQualityError`` if values are lost.
 
-    Unreadable timestamps are tolerated; the report counts them.
+    That is any text that should be a number and is none, or has too many digits or decimals, and more than
+    ``unreadable_share`` of the timestamps of a column. Fewer unreadable timestamps are tolerated; the report counts them.
     """
-    strict = [F.col("table_name").eqNullSafe(t) & F.col("column_name").isin(*c) for t, c in STRICT_COLUMNS.items()]
-    broken = report.filter((F.col("lost") > 0) & reduce(or_, strict)).orderBy("table_name", "column_name").collect()
+    strict = reduce(or_, [F.col("table_name").eqNullSafe(t) & F.col("column_name").isin(*c) for t, c in STRICT_COLUMNS.items()])
+    times = {(t, c) for t, columns in COLUMN_TYPES.items() for c, kind in columns.items() if isinstance(kind, T.TimestampNTZType)}
+    is_time = reduce(or_, [(F.col("table_name") == t) & (F.col("column_name") == c) for t, c in sorted(times)])
+    too_many = is_time & (F.col("lost") > F.col("present") * F.lit(float(unreadable_share)))
+    broken = report.filter(((F.col("lost") > 0) & strict) | too_many).orderBy("table_name", "column_name").collect()
     if broken:
         raise DataQualityError("; ".join(f"{r['table_name']}.{r['column_name']}: {r['lost']} of {r['present']} texts unreadable" for r in broken))
 

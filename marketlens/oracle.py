@@ -681,6 +681,8 @@ def oracle_queries() -> dict[str, str]:
             {PARSED_CARRIER}, order_delivered_customer_date, order_estimated_delivery_date,
             is_delivered, is_canceled, {DURATIONS} FROM o"""
     q["src_raw_csv"] = stored_contents(read_orders, read_items, read_reviews, (("category_translation", "FROM tr"),))
+    timed = "('orders', 'order_items', 'reviews')"
+    q["src_raw_csv_layouts"] = f"SELECT * FROM ({q['src_raw_csv']}) WHERE table_name IN {timed}"
     q["src_raw_csv_text"] = with_model(
         "r",
         """SELECT review_id, order_id, review_score, review_comment_message,

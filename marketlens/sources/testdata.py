@@ -186,6 +186,19 @@ def delivered_texts(raw: RawTables) -> RawTables:
     )
 
 
+def in_other_layouts(texts: RawTables) -> RawTables:
+    """The same texts, with the timestamps of each table in another layout; what is no timestamp stays as it is."""
+
+    def rewritten(df: DataFrame, names: tuple[str, ...], order: str) -> DataFrame:
+        return df.withColumns({c: F.regexp_replace(c, r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}:\d{2}:\d{2})$", order) for c in names})
+
+    return texts.replacing(
+        orders=lambda: rewritten(texts.orders, ORDER_TIMESTAMPS, "$3/$2/$1 $4"),
+        order_items=lambda: rewritten(texts.order_items, ("shipping_limit_date",), "$2/$3/$1 $4"),
+        reviews=lambda: rewritten(texts.reviews, REVIEW_TIMESTAMPS, "$1-$2-$3T$4"),
+    )
+
+
 def damaged_texts(raw: RawTables) -> RawTables:
     """The same with prices and scores that are no such numbers."""
     texts = delivered_texts(raw)

@@ -8,26 +8,30 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import SparkSession
 
 from marketlens.operators.clean import clean_tables
-from marketlens.operators.quality import cast_losses, check_cast_losses, table_contents, validate
+from marketlens.operators.quality import cast_losses, check_cast_losses, chosen_layouts, table_contents, validate
 from marketlens.plans import marts
 from marketlens.schema import RawTables, Tables
 from marketlens.session import scratch_folder
 from marketlens.sources import files, releases
 
 
-def prepare(spark: SparkSession, raw: RawTables, staged: str | None = None) -> Tables:
+def prepare(
+    spark: SparkSession, raw: RawTables, staged: str | None = None, layouts: Mapping[str, Mapping[str, str]] | None = None
+) -> Tables:
     """Clean and validate; raises before anything is exported.
 
     The delivered texts are parsed once and written below ``staged``, by default a new shared scratch folder; checks and
     cleaning read that. So are the cleaned tables: the checks then read key columns only, and a lost executor
-    costs no second cleaning.
+    costs no second cleaning. Timestamps have the layout that most texts of their column have, unless ``layouts``
+    (per table and column) declares one.
     """
     staged = staged or scratch_folder(spark, "staged")
     for name, df in raw.as_dict().items():
         df.write.mode("overwrite").parquet(f"{staged}/texts/{name}")
     texts = RawTables(**{name: spark.read.parquet(f"{staged}/texts/{name}") for name in RawTables.NAMES})
-    check_cast_losses(cast_losses(texts.as_dict()))
-    files.write_processed(clean_tables(texts), f"{staged}/cleaned")
+    known = chosen_layouts(texts.as_dict(), layouts)
+    check_cast_losses(cast_losses(texts.as_dict(), known))
+    files.write_processed(clean_tables(texts, known), f"{staged}/cleaned")
     tables = files.read_processed(spark, f"{staged}/cleaned")
     validate(tables)
     return tables

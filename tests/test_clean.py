@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from build import order, row_dicts, rows, tables
 
-from marketlens.functions.text import missing_to_null, parse_timestamp
-from marketlens.operators import clean
+from marketlens.functions.text import LAYOUTS, missing_to_null, parse_timestamp
+from marketlens.operators import clean, quality
 from marketlens.schema import DELIVERED
 from pyspark.sql import functions as F
 
@@ -121,3 +121,39 @@ def test_typed_timestamps_are_left_alone(spark):
     raw = tables(spark, orders=[order("a", delivered="2017-01-02 00:00:00")]).orders
     again = clean.clean_orders(raw.select(*raw.columns[:8]))
     assert rows(again.select(DELIVERED)) == rows(raw.select(DELIVERED))
+
+
+def raw_like(spark, **columns):
+    """Delivered reviews with the given texts as creation dates."""
+    return {"reviews": spark.createDataFrame([(i, t, "2018-01-01 00:00:00") for i, t in enumerate(columns["created"])], "review_id int, review_creation_date string, review_answer_timestamp string")}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_the_layout_of_most_texts_is_found(spark, layout):
+    moments = ["2018-03-25 02:30:00", "2018-12-31 23:59:00", "2018-01-13 00:00:00"]
+    day = layout == "yyyy-MM-dd"
+    pattern = layout.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d").replace("HH", "%H").replace("mm", "%M").replace("[.SSSSSS]", ".%f").replace("ss", "%S")
+    texts = [dt.datetime.fromisoformat(m).strftime(pattern) for m in moments]
+    raw = raw_like(spark, created=[*texts, "junk", None, "1.1.18"])
+    chosen = quality.chosen_layouts(raw)
+    assert chosen == {"reviews": {"review_creation_date": layout, "review_answer_timestamp": "yyyy-MM-dd HH:mm:ss"}}
+    got = [str(r["review_creation_date"]) for r in clean.clean_reviews(raw["reviews"], chosen["reviews"]).orderBy("review_id").collect()]
+    assert got == [m[:10] + " 00:00:00" if day else m for m in moments] + ["None"] * 3
+    (loss,) = [r for r in quality.cast_losses(raw, chosen).collect() if r["column_name"] == "review_creation_date"]
+    assert (loss["present"], loss["lost"]) == (5, 2)
+    with pytest.raises(quality.DataQualityError, match="review_creation_date: 2 of 5"):
+        quality.check_cast_losses(quality.cast_losses(raw, chosen))
+    quality.check_cast_losses(quality.cast_losses(raw, chosen), unreadable_share=0.4)
+
+
+def test_a_declared_layout_is_used(spark):
+    raw = raw_like(spark, created=["01/02/2018 10:00:00", "13/02/2018 10:00:00"])
+    assert quality.chosen_layouts(raw)["reviews"]["review_creation_date"] == "dd/MM/yyyy HH:mm:ss"
+    declared = quality.chosen_layouts(raw, {"reviews": {"review_creation_date": "MM/dd/yyyy HH:mm:ss"}})
+    got = clean.clean_reviews(raw["reviews"], declared["reviews"]).orderBy("review_id").collect()
+    assert [str(r["review_creation_date"]) for r in got] == ["2018-01-02 10:00:00", "None"]
+
+
+def test_typed_or_empty_columns_need_no_layout(spark):
+    assert quality.chosen_layouts({"reviews": spark.createDataFrame([], "review_score int, review_creation_date timestamp_ntz")}) == {}
+    assert quality.chosen_layouts(raw_like(spark, created=[None]))["reviews"]["review_creation_date"] == "yyyy-MM-dd HH:mm:ss"
