@@ -12,7 +12,7 @@ from marketlens.plans.marts import MARTS
 from marketlens.plans.profiles import PROFILES, TABLE_PROFILES
 from marketlens.schema import RAW_TABLES
 from marketlens.session import build_session
-from marketlens.sources import files
+from marketlens.sources import files, releases
 
 
 def parse_args(argv: list[str] | None) -> argparse.Namespace:
@@ -44,7 +44,7 @@ def parse_args(argv: list[str] | None) -> argparse.Namespace:
             action="append",
             default=[],
             metavar="TABLE=NAME",
-            help="file name of a delivered table; further tables are profiled too",
+            help="file name of a delivered table; every other CSV of the folder is profiled under its own name",
         )
         command.add_argument(
             "--single-line",
@@ -82,6 +82,9 @@ def main(argv: list[str] | None = None) -> None:
         )
         files.load_report(spark, written).show(truncate=False)
     elif args.command == "profile":
+        # every CSV of the folder is a table, those of the model and others; --file gives other names
+        found = releases.csv_tables(spark, args.raw_folder)
+        names = {t: n for t, n in found.items() if n not in names.values()} | names
         raw = files.read_raw(spark, args.raw_folder, {t: n for t, n in names.items() if t in RAW_TABLES}, args.single_line)
         others = {
             table: files.read_csv_table(spark, f"{args.raw_folder}/{name}", table in args.single_line)

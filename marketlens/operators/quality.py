@@ -206,16 +206,22 @@ def entity_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def _orphans(tables: Mapping[str, DataFrame], child: str, column: str, parent: str) -> DataFrame:
-    """One row ``orphans``: child rows without parent. NULL finds only a NULL key.
+def _key_sides(children: DataFrame, parents: DataFrame, column: str) -> DataFrame:
+    """One row per key: ``_key``, the child rows that bear it, and whether a parent does. NULL is a key.
 
-    Both sides are folded to one row per key first, so no key can be hot in the join.
+    Both sides go through one aggregate, combined on the map side: one exchange of keys and counts, in which
+    no key is hot.
     """
-    children = tables[child].groupBy(F.col(column).alias("_child")).agg(F.count(F.lit(1)).alias("_rows"))
-    parents = tables[parent].select(F.col(column).alias("_parent")).distinct()
-    return children.join(parents, F.col("_child").eqNullSafe(F.col("_parent")), "left_anti").agg(
-        _or_zero(F.sum("_rows")).alias("orphans")
-    )
+    child = children.select(F.col(column).alias("_key"), F.lit(1).cast("bigint").alias("_rows"), F.lit(0).alias("_parent"))
+    parent = parents.select(F.col(column).alias("_key"), F.lit(0).cast("bigint").alias("_rows"), F.lit(1).alias("_parent"))
+    sides = child.unionByName(parent).groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.max("_parent").alias("_parent"))
+    return sides.select("_key", "_rows", (F.col("_parent") == 1).alias("_has_parent"))
+
+
+def _orphans(tables: Mapping[str, DataFrame], child: str, column: str, parent: str) -> DataFrame:
+    """One row ``orphans``: child rows without parent. NULL finds only a NULL key."""
+    sides = _key_sides(tables[child], tables[parent], column)
+    return sides.filter(~F.col("_has_parent")).agg(_or_zero(F.sum("_rows")).alias("orphans"))
 
 
 def orphan_counts(tables: Mapping[str, DataFrame], foreign_keys=FOREIGN_KEYS) -> DataFrame:
@@ -254,9 +260,12 @@ def null_counts_by_status(orders: DataFrame) -> DataFrame:
 
 
 def orders_without_items(orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """The orders that have no item."""
-    with_items = order_items.select(F.col("order_id").alias("_item_order")).distinct()
-    return orders.join(with_items, F.col("order_id").eqNullSafe(F.col("_item_order")), "left_anti")
+    """The orders that have no item; a NULL id finds only a NULL id.
+
+    The ids without items are found first, from keys alone; whole orders meet only those.
+    """
+    lacking = _key_sides(orders, order_items, "order_id").filter((F.col("_rows") > 0) & ~F.col("_has_parent"))
+    return orders.join(lacking.select("_key"), F.col("order_id").eqNullSafe(F.col("_key")), "left_semi")
 
 
 def orders_without_items_by_status(orders: DataFrame, order_items: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def folders_in(spark: SparkSession, place: str) -> list[str]:
     return [status.getPath().getName() for status in found if status.isDirectory()]
 
 
+def csv_tables(spark: SparkSession, place: str) -> dict[str, str]:
+    """Names of the CSV files, and folders of such, of a folder, by table; hidden ones are left out. The listing is Spark's."""
+    names = sorted(status.getPath().getName() for status in _file_system(spark, place).listStatus(_path(spark, place)))
+    return {name[: -len(".csv")]: name for name in names if name.lower().endswith(".csv") and name[0] not in "._"}
+
+
 def read_pointer(spark: SparkSession, home: str) -> Release | None:
     """The release that readers of ``home`` see, or None before the first."""
     place = f"{home}/{POINTER}"

@@ -175,3 +175,19 @@ def test_rows_that_occur_once_are_not_shuffled_whole(spark):
     assert len(whole) == 1 and any("_h1" in line and "_h2" in line and "_c" not in line for line in exchanges)
     below = plan[plan.index(whole[0]) :]
     assert "partial_count" in below.splitlines()[1] and below.index("BroadcastHashJoin") < below.index("BroadcastExchange")
+
+
+def test_orphans_and_orders_without_items_with_null_and_hot_ids(spark):
+    hot = [(7, i) for i in range(500)]
+    items = frame(spark, [*hot, (None, 1), (None, 2), (9, 1)], "order_id int, order_item_id int")
+    for parents, orphans, lacking in (([1, 7, 7, 7], 3, [1]), ([None, 9, 9, 2, 2], 500, [2, 2]), ([], 503, [])):
+        orders = frame(spark, [(p, "x") for p in parents], "order_id int, order_status string")
+        (got,) = rows(quality._orphans({"orders": orders, "order_items": items}, "order_items", "order_id", "orders"))
+        assert got == (orphans,)
+        assert sorted(r[0] for r in rows(quality.orders_without_items(orders, items))) == lacking
+
+
+def test_orphans_need_one_exchange_of_keys(spark):
+    items = frame(spark, [(1, "a")], "order_id int, other string")
+    plan = quality._orphans({"orders": items, "order_items": items}, "order_items", "order_id", "orders")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "partial_sum" in plan

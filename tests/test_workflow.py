@@ -8,7 +8,7 @@ from marketlens import workflow
 from marketlens.operators.quality import DataQualityError
 from marketlens.plans import marts
 from marketlens.plans.profiles import PROFILES
-from marketlens.sources import files, testdata
+from marketlens.sources import files, releases, testdata
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,14 @@ def test_profiles_run_on_delivered_text(spark, raw_folder):
     assert {r["table_name"] for r in PROFILES["profile_tables"](raw).collect()} == set(raw.as_dict())
 
 
+def test_every_csv_of_a_folder_is_a_table(spark, raw_folder, tmp_path):
+    (tmp_path / "More Data.CSV").write_text("a\n1\n")
+    (tmp_path / "notes.txt").write_text("x")
+    (tmp_path / ".hidden.csv").write_text("x")
+    assert releases.csv_tables(spark, f"file:{tmp_path}") == {"More Data": "More Data.CSV"}
+    assert set(releases.csv_tables(spark, raw_folder)) >= {"orders", "reviews"}
+
+
 def test_command_line(spark, raw_folder, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(command_line, "build_session", lambda master: spark)
     command_line.main(["run", raw_folder, str(tmp_path)])
