@@ -14,7 +14,7 @@ from marketlens.functions.delivery import delivered, delivered_with_evidence
 from marketlens.functions.exact import cents_sum
 from marketlens.functions.measures import order_measures, resum
 from marketlens.operators.lookup import lookup_join
-from marketlens.schema import Tables
+from marketlens.schema import HAS_ITEMS, HAS_REVIEWS, Tables
 
 
 def item_totals(order_items: DataFrame) -> DataFrame:
@@ -28,6 +28,8 @@ def item_totals(order_items: DataFrame) -> DataFrame:
 
 def delivered_sales(t: Tables) -> DataFrame:
     """Delivered orders that have items, with the sums of their items."""
+    if t.facts is not None:
+        return t.facts.filter(delivered() & F.col(HAS_ITEMS))
     return t.orders.filter(delivered()).join(item_totals(t.order_items), "order_id")
 
 
@@ -78,6 +80,9 @@ def order_reviews(reviews: DataFrame) -> DataFrame:
 
 def reviewed_deliveries(t: Tables) -> DataFrame:
     """Delivered orders with a known delivery time that were reviewed."""
+    if t.facts is not None:
+        reviewed = t.facts.filter(delivered_with_evidence() & F.col(HAS_REVIEWS))
+        return reviewed.select("order_id", "delay_days", "is_late", "score_sum", "scores")
     return (
         t.orders.filter(delivered_with_evidence())
         .select("order_id", "delay_days", "is_late")

@@ -699,5 +699,5 @@ def oracle_queries() -> dict[str, str]:
     q["vw_category_performance_split"] = q["vw_category_performance"]
     q["clean_translate_category_split"] = q["clean_translate_category"]
     q["src_raw_csv_text_split"] = q["src_raw_csv_text"]
-    q["sink_view"] = _union([digests(v, q[v]) for v in views])
+    q["sink_view"] = q["sink_marts"] = _union([digests(v, q[v]) for v in views])
     return q

@@ -19,6 +19,9 @@ ORDER_TIMESTAMPS = (PURCHASED, APPROVED, CARRIER, DELIVERED, ESTIMATED)
 ITEM_TIMESTAMPS = ("shipping_limit_date",)
 REVIEW_TIMESTAMPS = ("review_creation_date", "review_answer_timestamp")
 
+# Columns of the order-grain fact beyond those of orders and of folded items and reviews.
+PURCHASE_MONTH, HAS_ITEMS, HAS_REVIEWS = "purchase_month", "has_items", "has_reviews"
+
 MONEY = T.DecimalType(12, 2)
 
 # Parents stand before their children: the order in which tables are published.
@@ -100,6 +103,8 @@ class Tables:
     """
 
     NAMES = LOAD_ORDER
+    #: The stored order-grain fact of these tables, if there is one.
+    facts: DataFrame | None = None
 
     def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
         if set(sources) != set(self.NAMES):
@@ -117,8 +122,14 @@ class Tables:
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.NAMES}
 
+    def with_facts(self, facts: DataFrame) -> Self:
+        """The same tables with their order-grain fact, from which plans then aggregate."""
+        same = type(self)(**self._sources)
+        same.facts = facts
+        return same
+
     def replacing(self, **sources: DataFrame | Callable[[], DataFrame]) -> Self:
-        """The same tables with some exchanged."""
+        """The same tables with some exchanged, without a fact."""
         return type(self)(**{**self._sources, **sources})
 
 

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registry
 from marketlens.sources import testdata
+from marketlens.operators.facts import stage_facts
 from marketlens.plans import marts, operations
 
 ANALYSES = [n for n in registry.queries() if n.startswith(("q0", "vw_"))]
@@ -83,3 +84,29 @@ def test_building_a_query_runs_no_job(spark, small_dir, name):
 @pytest.mark.parametrize("name", ["vw_category_performance", "vw_category_performance_split"])
 def test_items_are_scanned_once_for_categories(spark, small_dir, name):
     assert plan_of(registry.queries()[name](spark, small_dir)).count("l_partkey:bigint") == 1
+
+
+def test_months_outside_the_range_are_not_read(spark, small_dir, tmp_path):
+    t = stage_facts(testdata.processed_tables(spark, small_dir), str(tmp_path / "facts"))
+    mart = marts.monthly_business(t)
+    plan = plan_of(mart)
+    assert re.search(r"PartitionFilters: \[[^]]*purchase_month#\d+ >= 2017-01-01", plan) and "Join" not in plan
+    months = sorted(p.name.partition("=")[2] for p in (tmp_path / "facts").iterdir() if p.is_dir())
+    assert "2018-09-01" in months and months[-1] > "2020"
+    expected = sorted(map(repr, mart.collect()))
+    # the same mart over damaged files of other months still succeeds
+    for folder in (tmp_path / "facts").iterdir():
+        if folder.is_dir() and not "2017-01-01" <= folder.name.partition("=")[2] < "2018-09-01":
+            for file in folder.iterdir():
+                file.write_bytes(b"damaged")
+    again = marts.monthly_business(t.with_facts(spark.read.schema(t.facts.schema).parquet(str(tmp_path / "facts"))))
+    assert sorted(map(repr, again.collect())) == expected
+
+
+def test_marts_from_the_fact_read_items_once_per_grain(spark, small_dir, tmp_path):
+    t = testdata.processed_tables(spark, small_dir)
+    staged = stage_facts(t, str(tmp_path / "facts"))
+    items = "l_extendedprice"
+    reading = {name for name, mart in marts.MARTS.items() if items in plan_of(mart(staged))}
+    assert reading == {"vw_seller_performance", "vw_category_performance"}
+    assert reading < {name for name, mart in marts.MARTS.items() if items in plan_of(mart(t))}
