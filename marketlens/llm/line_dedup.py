@@ -4,8 +4,8 @@ A line's set holds its distinct words. Words are ordered by rarity, told by coun
 in an array of fixed size; the first n - ceil(t * n) + 1 words of a set of n are its signatures
 (prefix filter). ``set_join`` compares the lines that share one by size, position and parity
 before their words are compared. Sets too small to be similar to any but their copies give no
-signatures: copies are found by grouping. A line goes if it is similar to an earlier line, by document id
-and line number; copies go but for the first.
+signatures: copies are found by grouping. A line goes if it is similar to an earlier line, by document and
+line number; copies go but for the first.
 """
 
 from __future__ import annotations
@@ -41,27 +41,27 @@ def line_sets(texts: pa.Array, rank: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def profiles(docs: DataFrame, min_words: int) -> DataFrame:
-    """place, line, key, size and parity bits of every line of at least min_words distinct words; and rows of word counters."""
+    """place, hash, line, key, size and parity bits of every line of at least min_words distinct words; and rows of word counters."""
     schema = pa.schema(
-        [("place", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
+        [("place", pa.int64()), ("hash", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
     )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, none = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.uint8)
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, number, sets in line_sets(batch.column(1), none):
+            place, text_hash = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for row, number, sets in line_sets(batch.column(2), none):
                 np.add.at(counts, slots_of(sets.tokens), 1)
                 kept = np.flatnonzero(sets.sizes >= min_words)
                 n = len(kept)
-                columns = [pa.array(place[row[kept]]), pa.array(number[kept], pa.int32()), pa.array(hashing.set_keys(sets)[kept]), pa.array(sets.sizes[kept], pa.int32())]
+                columns = [pa.array(place[row[kept]]), pa.array(text_hash[row[kept]]), pa.array(number[kept], pa.int32()), pa.array(hashing.set_keys(sets)[kept]), pa.array(sets.sizes[kept], pa.int32())]
                 bits = hashing.sized_parity(sets, PARITY_WORDS)
                 columns.append(pa.array([bits[i] for i in kept], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         parts = sliced(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts.num_rows, t) for t in schema.types[:5]), *parts.columns], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(parts.num_rows, t) for t in schema.types[:6]), *parts.columns], schema=schema)
 
-    return docs.select("place", "text").mapInArrow(profile, "place long, line int, key long, size int, parity binary, slice int, counts binary")
+    return docs.select("place", "hash", "text").mapInArrow(profile, "place long, hash long, line int, key long, size int, parity binary, slice int, counts binary")
 
 
 def least_similar(threshold: Fraction) -> int:
@@ -108,14 +108,14 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataFrame:
-    """place and line of every line that goes; ``docs`` has place and text."""
+    """place, hash and line of every line that goes; ``docs`` has place, text and its hash."""
     both = written(profiles(docs, min_words), "line-profiles")
-    lines = both.where("slice is null").select("place", "line", "key", "size", "parity")
+    lines = both.where("slice is null").select("place", "hash", "line", "key", "size", "parity")
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     # rarity in steps of a sixteenth of a power of two, 0 for words that occur once
     rank = np.minimum(255, np.rint(16 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     first = written(
-        lines.groupBy("key").agg(F.min(F.struct("place", "line")).alias("first"), F.any_value("size").alias("size"), F.first("parity").alias("parity")),
+        lines.groupBy("key").agg(F.min(F.struct("place", "hash", "line")).alias("first"), F.any_value("size").alias("size"), F.first("parity").alias("parity")),
         "line-sets",
     )
     found = written(set_join.candidates(postings(docs, threshold, min_words, rank), threshold).distinct(), "line-candidates")
@@ -142,20 +142,22 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
         more = set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("b.gone").isNull() & (F.col("a.first") < F.col("b.first")))
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "line-candidates")
         gone = gone.union(later(more))
-    firsts = first.join(gone, "key", "left_anti").select("key", F.col("first.place").alias("p"), F.col("first.line").alias("l"))
-    kept = (F.col("p") == F.col("place")) & (F.col("l") == F.col("line"))
-    return lines.join(firsts, "key", "left").where(~F.coalesce(kept, F.lit(False))).select("place", "line").distinct()
+    firsts = first.join(gone, "key", "left_anti").select("key", "first")
+    kept = F.struct("place", "hash", "line") == F.col("first")
+    return lines.join(firsts, "key", "left").where(~F.coalesce(kept, F.lit(False))).select("place", "hash", "line").distinct()
 
 
 def remove_similar_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), min_words: int = 5) -> DataFrame:
     """doc_id, n_lines, n_removed and text (the lines that stay) of every row of ``docs`` (doc_id, text, anything else).
 
     Lines end with a line feed. Lines of fewer than ``min_words`` distinct words stay; with 1, only
-    lines without words do. A null text stays null, with no lines. A null doc_id comes last; rows with
-    the same doc_id count as one document, so that all of them lose, or keep, the same lines.
+    lines without words do. A null text stays null, with no lines. Documents are told by doc_id and a hash of their
+    text, in this order, a null doc_id last: those that share a doc_id, or have none, lose lines each by its own
+    text. Rows alike in both count as one document and keep the same lines.
     """
-    placed = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("place"))
-    gone = removed_lines(placed, threshold, min_words).groupBy("place").agg(F.collect_list("line").alias("gone"))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    placed = docs.select(F.col("doc_id").cast("long"), "text", place.alias("place"), F.xxhash64("text").alias("hash"))
+    gone = removed_lines(placed, threshold, min_words).groupBy("place", "hash").agg(F.collect_list("line").alias("gone"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,5 +174,5 @@ def remove_similar_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5),
                 ["doc_id", "n_lines", "n_removed", "text"],
             )
 
-    joined = placed.join(gone, "place", "left").select("doc_id", "text", "gone")
+    joined = placed.join(gone, ["place", "hash"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(apply, "doc_id long, n_lines long, n_removed long, text string")

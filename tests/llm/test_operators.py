@@ -104,6 +104,14 @@ def test_line_dedup_awkward_rows(spark):
     assert line_dedup.remove_similar_lines(table(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_unique_lines_of_rows_that_share_an_id(spark):
+    line, own, other = "alpha beta gamma delta epsilon zeta", "one two three four five unique", "seven eight nine ten eleven twelve"
+    rows = [(1, line), (None, line), (None, own), (5, f"{line}\n{other}"), (5, f"{own} \n{line}")]
+    got = [r["text"] for r in line_dedup.remove_similar_lines(table(spark, rows)).collect()]
+    left = [x.strip() for text in got for x in text.split("\n") if x.strip()]
+    assert sorted(left) == sorted([line, own, other])
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     vocabulary = [f"word{i}" for i in range(500)]
@@ -175,6 +183,8 @@ def test_token_counts_and_files(spark, tmp_path):
     )
     manifest = token_files.write_token_files(table(spark, rows), str(tmp_path / "files"), path, shards=5)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(manifest).collect())
+    tasks = token_files.read_token_files(manifest).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1 or manifest.count() == 1
     start = 0
     for row, (doc_id, text) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
         content = np.array([*ids[text], 0], "<u4").tobytes()
