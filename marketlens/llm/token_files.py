@@ -181,8 +181,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    # one file per task as far as there are tasks
-    spread = manifest.select("path", "start").repartition("path")
+    # a number of partitions that adaptive execution keeps: about a file per task
+    files = manifest.select("path", "start")
+    spread = files.repartition(max(1, files.count()), "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
