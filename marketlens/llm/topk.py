@@ -23,12 +23,19 @@ from marketlens.llm.storage import written
 BINS = 1024
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 256
+#: Holds the product of a bin and its width before it is added to a lower end.
+WIDE = "decimal(19,0)"
 BLOCK = "block long, n int, dim int, ids binary, vectors binary, peak double"
 
 
 def scaled(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """floor(scale * x) of each component as double; doubles from 2**53 are whole numbers, which a long need not hold."""
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double") * scale
+        return F.when(F.abs(x) < float(2**53), F.floor(x).cast("double")).otherwise(x)
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -67,25 +74,34 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
 
 
 def block_scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores as whole numbers); a query's own row scores below all others."""
+    """(query ids, candidate ids, exact scores as longs); the scores of a query's own rows are 0 and do not count."""
     ids, others = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
     a, b = (np.frombuffer(row[k], np.float64).reshape(-1, row["dim"]) for k in ("q_vectors", "vectors"))
-    if np.abs(a).max() * np.abs(b).max() * row["dim"] < 2**53:  # every partial sum is exact
-        scores = (a @ b.T).astype(np.int64)
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * row["dim"] < 2**53:  # every partial sum is exact
+        return ids, others, (a @ b.T).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = a @ b.T
+        slack = np.abs(a) @ np.abs(b).T * (row["dim"] * 2.0**-52)
+        sure = np.abs(about) + slack < 2.0**62
+    own = ids[:, None] == others[None, :]
+    if max(np.abs(a).max(), np.abs(b).max()) < 2.0**62:
+        scores = a.astype(np.int64) @ b.astype(np.int64).T  # wraps around, which is right for a score that fits
     else:
-        scores = np.array([[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in b] for u in a], object)
-        if max(abs(int(s)) for s in scores.ravel()) >= 2**62:
-            raise OverflowError("a score does not fit into a long")
-        scores = scores.astype(np.int64)
-    return ids, others, scores
+        scores, sure = np.zeros(about.shape, np.int64), np.zeros(about.shape, bool)
+    for i, j in np.argwhere(~sure & ~own):
+        score = sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=True))
+        if not -(2**63) <= score < 2**63:
+            raise OverflowError(f"the score of {ids[i]} and {others[j]} does not fit into a long")
+        scores[i, j] = score
+    return ids, others, np.where(own, 0, scores)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of ``rows`` (id, vector) by inner product for each of ``queries``.
 
-    Vectors hold whole numbers as doubles; only those of equal length are compared. A query never
+    Vectors hold whole numbers as doubles, of any size; only those of equal length are compared. A query never
     gets rows of its own id; ties go to the smaller id, and repeated rows count each. Queries with
-    fewer candidates get all; without any, none.
+    fewer candidates get all; without any, none. Scores are exact; one that no long holds stops the search.
     """
     spark = rows.sparkSession
     candidates = written(packed(rows, CANDIDATES), "topk-candidates")
@@ -98,8 +114,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     widest = peak.agg(F.max(F.col("peak") * F.col("q_peak") * F.col("dim"))).first()[0]
     if widest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    low, width = -int(widest) - 1, 1
-    while width * BINS < 2 * int(widest) + 3:
+    most = int(widest) + 1 if widest < 2.0**62 else 2**63  # all scores are longs
+    low, width = -most, 1
+    while width * BINS < 2 * most + 1:
         width *= BINS
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +124,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, others, scores = block_scores(row)
                 starts, span = np.frombuffer(row["lows"], np.int64), row["width"]
-                bins = (scores - starts[:, None]) // span
+                # the distance from the start as an unsigned number, as it may take all 64 bits
+                bins = (scores.view(np.uint64) - starts[:, None].view(np.uint64)) // np.uint64(span)
                 inside = (scores >= starts[:, None]) & (bins < BINS) & (ids[:, None] != others[None, :])
+                bins = np.where(inside, bins, 0).astype(np.int64)
                 who = np.broadcast_to(np.arange(len(ids))[:, None], scores.shape)[inside]
                 flat = np.bincount(who * BINS + bins[inside], minlength=len(ids) * BINS)
                 some = np.flatnonzero(flat)
@@ -153,7 +172,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         state = written(
             moved.select(
                 "query_id",
-                F.when(F.col("hit").isNull(), F.col("low")).otherwise(F.col("low") + F.col("hit.bin") * width).alias("low"),
+                F.when(F.col("hit").isNull(), F.col("low")).otherwise((F.col("low").cast(WIDE) + F.col("hit.bin").cast(WIDE) * F.lit(width).cast(WIDE)).cast("long")).alias("low"),
                 F.coalesce("hit.above", "above").alias("above"),
             ),
             "topk-range",
@@ -181,7 +200,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def search(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """The k best for the rows of ``table`` (vec_id, embedding, anything else) whose vec_id is divisible by ``every``.
 
-    Components x count as floor(scale * x). Rows without id or with an unusable vector take no part;
+    Components x count as floor(scale * x), exactly, for every finite x of which scale * x is finite. Rows without id or with an unusable vector take no part;
     of several query rows with one id, the one with the smallest vector asks.
     """
     fit = table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
