@@ -1,5 +1,6 @@
 """Every operator against a plain version, on a small table and on awkward rows."""
 
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -168,6 +169,44 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def mixed_words(rows):
+    """Per source: (target, taken words, largest document)."""
+    out = {}
+    for r in rows:
+        target, taken, most = out.get(r["source"], (r["target"], 0, 0))
+        out[r["source"]] = (target, taken + r["taken"], max(most, r["size"]))
+    return out
+
+
+@pytest.mark.parametrize("sorted_rows", [1 << 14, 3])
+def test_mixing_cuts_inside_ties(spark, monkeypatch, sorted_rows):
+    """Sources whose rows share an id, have none, or are alike altogether still reach their targets."""
+    monkeypatch.setattr(mixing, "SORTED", sorted_rows)
+    rows = [("a", None, f"text {i} of no id" + " more" * (i % 4)) for i in range(200)]
+    rows += [("b", 7, f"text {i} of one id") for i in range(250)]
+    rows += [("c", 9, "the very same four") for _ in range(240)]
+    rows += [("d", i, f"an own text {i}") for i in range(250)]
+    docs = spark.createDataFrame([(s, i, t) for s, i, t in rows], "source string, doc_id long, text string").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for target, taken, most in mixed_words(got).values():
+        assert abs(taken - target) <= most / 2 + 1e-6
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r["source"], r["text"], r["taken"]) for r in again) == sorted((r["source"], r["text"], r["taken"]) for r in got)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "order no rest last whole start plan_source tie bucket words n doc pos copies among cut_order cut_tie upto own before".split()
+    docs = table(spark, [(i, "w " * (1 + i % 5)) for i in range(60)])
+    wide = docs.select("*", *(F.lit(f"is {x}").alias(x) for x in names))
+    got = mixing.mix(wide)
+    assert set(names) < set(got.columns) and got.where(" and ".join(f"`{x}` = 'is {x}'" for x in names)).count() == 60
+    kept = mixing.repeated(docs.drop("size").select("*", *(F.lit(-1).alias(x) for x in ("size", "source_size", "target", "repeats", "taken", "copy"))))
+    taken = mixing.mix(docs).agg(F.sum("repeats")).first()[0]
+    assert kept.where("size = -1 and taken = -1 and copy = -1").count() == taken == kept.count()
+
+
 def test_token_counts_and_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -234,6 +273,26 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores of all 64 bits, and own rows whose score no long holds."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
+    rows[50] = (50, [1e7, 0.25, -3.0])
+    rows[51], rows[52], rows[53] = (51, [1.2e7, 1.0, 2.0]), (52, [-1.2e7, 0.0, 0.5]), (53, [1.2e7, 1.0, 2.5])
+    rows[100] = (100, [2.0, -9e13, 1.0])  # its own score is beyond a long
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], whole[v], strict=True)), v) for v in whole if v != q)[:5]
+        want += [(q, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    assert max(s for *_, s in want) > 2**62
+    assert sorted(tuple(r) for r in topk.search(df).collect()) == want
+    beyond = df.union(spark.createDataFrame([(200, [1e300, 0.0, 0.0])], df.schema))
+    with pytest.raises(Exception, match="does not fit into a long"):
+        topk.search(beyond).collect()
+
+
 def test_language_id(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/../sf0.01/documents.parquet")
     got = language_id.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -294,7 +353,18 @@ def test_html_extraction(spark):
     want = [(i, t := f"unique {' '.join(f'u{i}x{k}' for k in range(9))}", len(t)) for i in range(6)]
     assert got == sorted([*want, (9, common, len(common)), (9, "again", 5), (10, "", 0), (11, "", 0)])
     assert html_extract.extract(df.limit(0)).count() == 0
-    assert html_extract.extract(df, shard_bytes=100).count() == len(pages)
+    assert html_extract.extract(df).count() == len(pages)
+
+
+def test_names_of_blocks_are_whole_and_never_remove_the_article():
+    text = lambda html: html_extract.marked_text(html_extract.blocks_of(html))
+    assert text('<article class="post share-buttons-on"><p>kept</p></article>') == "kept"
+    assert text('<main id="comments"><div class="banner-free content">kept</div><div class="banner">gone</div></main>') == "kept"
+    assert text('<div role="main" class="social">kept <div class="social-science">too</div><div class="big social">gone</div></div>') == "kept too"
+    assert text('<article>kept<div id="cookie_banner">gone</div><div class="cookie-banner x">gone</div></article>') == "kept"
+    assert text('<nav><article>gone</article></nav><article>kept</article>') == "kept"
+    assert html_extract.extracted(["<div>three word page</div>"]) == ["three word page"]
+    assert html_extract.extracted([]) == []
 
 
 def test_repeated_runs_against_brute_force():
@@ -393,7 +463,7 @@ def test_repeats_count_over_the_whole_host(spark):
     want = sorted(enumerate(html_extract.extracted(pages)))
     assert want[0][1] == " ".join(f"u0x{k}" for k in range(12)) and want[-1][1] == common
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df, shard_bytes=400).collect()) == want
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect()) == want
 
 
 def test_short_benchmark_items(spark):
