@@ -7,7 +7,6 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marketlens.llm import decontamination, language_id, mixing, ngram_join, token_files
 from marketlens.llm.storage import written
@@ -33,9 +32,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of the sources takes it."""
-    rows = mixing.mix(docs)
-    names = [c for c in rows.columns if c not in {"size", "source_size", "target", "repeats", "taken"}]
-    return rows.where("repeats > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select(*names)
+    return mixing.repeated(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
