@@ -152,7 +152,7 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     # rare tokens alone would scatter the counters around the mean by its root
     frequent = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + 64
-    found = written(set_join.candidates(postings(docs, words, threshold, frequent), threshold).distinct(), "ngram-candidates")
+    found = written(set_join.candidates(postings(docs, words, threshold, frequent), threshold, set_join.RUN).distinct(), "ngram-candidates")
     pairs = found.where("frequent is null").select("a", "b")
 
     def check(candidates: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 A *posting* says that a set bears a signature: columns ``signature, place, key, size, position,
 parity``. Sets of Jaccard similarity of at least ``threshold`` share a signature; the callers see
 to that. Postings are dealt by signature and sorted, so that each signature is a run of rows that
-a task reads as a stream and of which it holds at most ``RUN`` rows:
+a task reads as a stream and of which it compares at most ``held`` rows with each other:
 
-* the pairs of a signature of up to ``RUN`` sets are all compared, by size, position and parity;
+* the pairs of a signature of up to ``held`` sets are all compared, by size, position and parity;
 * the sets of a more frequent signature are compared with its first set only. Whatever that leaves
-  open is found by ``open_pairs``: a join on the signature of the sets that are not settled yet.
+  open is found by ``open_pairs``: a join on the signature of the sets that are not settled yet,
+  which gives a pair once, at the first signature that both bear.
 
 Nothing is dropped: both ways together compare all sets that share a signature, but for pairs that
 the caller knows to be settled.
@@ -32,6 +33,8 @@ RUN = 128
 HELD, LEADERS = 8192, 32
 #: Rows that a task gathers before it looks for pairs.
 GATHERED = 200_000
+#: Frequent signatures of a set that its rows carry, to tell the first that two sets share.
+CARRIED = 32
 
 
 def least_overlap(size: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -92,11 +95,13 @@ def pairs_of_run(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list
     return pairs, np.bincount(group, minlength=n)[group] > 2
 
 
-def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
+def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None = None) -> DataFrame:
     """Pairs (a, b, frequent signature or null): keys of sets that may be similar enough, each pair at least once.
 
-    A row with equal a and b says that b bears a frequent signature, and was compared with one set only.
+    A row with equal a and b says that b bears a signature of more than ``held_rows`` (``HELD``) sets, and was
+    compared with its first set only, or that it may be a copy of a set of that signature and was compared no more.
     """
+    most = HELD if held_rows is None else held_rows
     names = [f.name for f in postings.schema.fields]
 
     def rows_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -111,7 +116,7 @@ def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
             mark = pa.nulls(len(a), pa.int64()) if frequent is None else pa.array(frequent)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), mark], ["a", "b", "frequent"])
 
-        def against_leader(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def against_leader(leader: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             first = {k: np.broadcast_to(v[:1], len(rows["key"])) for k, v in leader.items()}
             first = {k: np.ascontiguousarray(v) for k, v in first.items()}
             good = possible(first, rows, threshold)
@@ -126,7 +131,7 @@ def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
             if leader is not None:
                 same = int(np.searchsorted(signature != leader["signature"][0], True))
                 if same:
-                    yield from against_leader({k: v[:same] for k, v in rows.items()})
+                    yield from against_leader(leader, {k: v[:same] for k, v in rows.items()})
                 rows = {k: v[same:] for k, v in rows.items()}
                 signature = rows["signature"]
                 if len(signature):
@@ -144,13 +149,16 @@ def candidates(postings: DataFrame, threshold: Fraction) -> DataFrame:
                     yield out(*pairs)
                 for i in np.flatnonzero(sizes > RUN):
                     run = {k: v[begins[i] : begins[i] + sizes[i]] for k, v in done.items()}
+                    if sizes[i] > most:
+                        yield from against_leader(run, run)
+                        continue
                     pairs, copies = pairs_of_run(run, threshold)
                     yield out(*(np.concatenate([p[side] for p in pairs] or [run["key"][:0]]) for side in (0, 1)))
                     yield out(run["key"][copies], run["key"][copies], run["signature"][copies])
             rest = {k: v[cut:] for k, v in rows.items()}
-            if len(rest["key"]) > HELD:
+            if len(rest["key"]) > most:
                 leader = {k: v[:1] for k, v in rest.items()}
-                yield from against_leader(rest)
+                yield from against_leader(leader, rest)
                 rest = {k: v[:0] for k, v in rest.items()}
             held, count = ([rest], len(rest["key"])) if len(rest["key"]) else ([], 0)
 
@@ -194,8 +202,11 @@ def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled) -
     """Pairs of sets with a frequent signature in common for which ``unsettled(a, b)`` holds.
 
     ``bearers``: signature, the columns of ``folded_bits`` and what the condition needs. A plain join
-    on the signature, which Spark may split, with all filters inside it.
+    on the signature, which Spark may split, with all filters inside it. A row carries the first ``CARRIED``
+    signatures of its set: if two sets share one of those, they meet at the first of them only.
     """
+    own = bearers.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, CARRIED).alias("first_ones"))
+    bearers = bearers.join(own, "key")
     a, b = bearers.alias("a"), bearers.alias("b")
     num, den = threshold.numerator, threshold.denominator
     size = F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
@@ -204,6 +215,8 @@ def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled) -
     # the least overlap is the total times num / (num + den), rounded up
     near = apart <= total - 2 * F.expr(f"(({num} * (a.size + b.size) + {num + den - 1}) div {num + den})")
     met = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.key") != F.col("b.key")) & size & unsettled & near
+    shared = F.array_min(F.array_intersect("a.first_ones", "b.first_ones"))
+    met = met & F.coalesce(shared == F.col("a.signature"), F.lit(True))
     return a.join(b, met).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 

@@ -51,11 +51,12 @@ def table(spark, rows, **columns):
     return spark.createDataFrame(full, SCHEMA)
 
 
-@pytest.fixture(params=[(128, 8192), (2, 40), (1, 2)], ids=["runs", "copies", "leader"])
+@pytest.fixture(params=[(128, 8192, 32), (2, 40, 1), (1, 2, 2)], ids=["runs", "copies", "leader"])
 def run_limits(request, monkeypatch):
     """The ways in which frequent signatures are handled."""
     monkeypatch.setattr(set_join, "RUN", request.param[0])
     monkeypatch.setattr(set_join, "HELD", request.param[1])
+    monkeypatch.setattr(set_join, "CARRIED", request.param[2])
 
 
 def test_ngram_join(spark, run_limits):
@@ -65,6 +66,29 @@ def test_ngram_join(spark, run_limits):
     assert len({c for _, _, c in got}) < len(got)
 
 
+@pytest.mark.parametrize("carried", [1, 2, 32])
+def test_open_pairs_meet_once_and_lose_none(spark, monkeypatch, carried):
+    """Sets that share a signature meet; those that share one of the first that both carry meet there only."""
+    monkeypatch.setattr(set_join, "CARRIED", carried)
+    rng = random.Random(carried)
+    bears = {key: rng.sample(range(12), rng.randint(1, 6)) for key in range(60)}
+    rows = [(s, key, 100, [0, 0], key) for key, signatures in bears.items() for s in signatures]
+    bearers = spark.createDataFrame(rows, "signature long, key long, size int, bits array<long>, root long")
+    got = set_join.open_pairs(bearers, 2, Fraction(4, 5), F.col("a.root") < F.col("b.root"))
+    want = {(a, b) for a in bears for b in bears if a < b and set(bears[a]) & set(bears[b])}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_a_long_run_is_not_compared_pair_by_pair(spark):
+    """20,000 different sets of one signature: one comparison each, wherever the run ends in the buffer."""
+    rows = [(1, i, i, 10, 0, i) for i in range(20_000)] + [(2, 50_000 + i, 50_000 + i, 10, 0, 7) for i in range(3)]
+    found = set_join.candidates(spark.createDataFrame(rows, set_join.POSTINGS), Fraction(4, 5))
+    counts = {r["frequent"]: r["count"] for r in found.where("a = b").groupBy("frequent").count().collect()}
+    assert counts == {1: 20_000}
+    assert found.where("a <> b and a >= 50000").count() == 3
+    assert found.where("a <> b and a < 50000").count() < 20_000
+
+
 def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
     """Every token counts as frequent: large sets meet by pairs of tokens only."""
     monkeypatch.setattr(ngram_join, "slots_of", lambda tokens: np.zeros(len(tokens), np.int64))
