@@ -303,7 +303,7 @@ def test_top_k_of_large_components(spark):
     rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(120)]
     rows[50] = (50, [1e7, 0.25, -3.0])
     rows[51], rows[52], rows[53] = (51, [1.2e7, 1.0, 2.0]), (52, [-1.2e7, 0.0, 0.5]), (53, [1.2e7, 1.0, 2.5])
-    rows[100] = (100, [2.0, -9e13, 1.0])  # its own score is beyond a long
+    rows[100] = (100, [2.0, -1e13, 1.0])  # its own score is beyond a long
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
     want = []
