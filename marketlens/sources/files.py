@@ -1,16 +1,18 @@
 """CSV and parquet readers and writers.
 
 Text files are read without type inference, which would scan them an extra time. A table may have
-quoted fields with line breaks, so a file is read as a stream by one task; a table delivered as many
-files is read by as many tasks. A table that is *declared* to have a record per line is read by as
-many tasks as its files have blocks, and stops the run where the declaration does not hold.
+quoted fields with line breaks, so a file of up to ``STREAM_BYTES`` is read as a stream by one task; a
+larger one is divided among tasks, once it is known which of its splits begin within a quoted field. A
+table that is *declared* to have a record per line is read by as many tasks as its files have blocks,
+and stops the run where the declaration does not hold.
 """
 
 from __future__ import annotations
 
 import csv
+import re
 import warnings
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,13 @@ from marketlens.sources.releases import BATCH, Batch, Release
 
 BY_ORDER = frozenset({"orders", "reviews", "order_items"})
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+#: Largest text file that one task reads as a stream.
+STREAM_BYTES = 256 << 20
+#: Records of a text file that is written.
+FILE_RECORDS = 1_000_000
+# A line, from the start of a field, that ends within a quoted one; and what ends a quoted field that is open.
+OPENING = re.compile(r'(?:(?:[^",][^,]*+|"(?:[^"]++|"")*+"[^,]*+)?+,)*+"(?:[^"]++|"")*+\Z')
+CLOSING = re.compile(r'(?:[^"]++|"")*+"[^,]*+')
 
 
 def read_csv_table(spark: SparkSession, path: str, single_line: bool = False) -> DataFrame:
@@ -31,7 +40,97 @@ def read_csv_table(spark: SparkSession, path: str, single_line: bool = False) ->
     ``single_line`` declares that every record is one line (see ``read_lines``). It is for the caller
     to say, whatever the size: nothing is guessed from the files.
     """
-    return missing_to_null(read_lines(spark, path) if single_line else spark.read.csv(path, multiLine=True, **CSV_OPTIONS))
+    if single_line:
+        return missing_to_null(read_lines(spark, path))
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]  # lengths only, no content
+    if (largest or 0) > STREAM_BYTES:
+        return missing_to_null(read_divided(spark, path))
+    return missing_to_null(spark.read.csv(path, multiLine=True, **CSV_OPTIONS))
+
+
+def ends_open(line: str, opened: bool) -> bool:
+    """Whether a quoted field is open after a line, if one is before it."""
+    if '"' not in line:
+        return opened
+    if not opened:
+        return OPENING.match(line) is not None
+    closed = CLOSING.match(line)
+    return closed is None or (closed.end() < len(line) and OPENING.match(line, closed.end() + 1) is not None)
+
+
+def read_divided(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """A table whose quoted fields may hold line breaks; its files are divided among tasks.
+
+    A first pass finds for each split of a file whether a quoted field is open at its end, if one was or
+    was not at its begin: one row per split. A record that goes on in the next split is completed by the
+    task in whose split it begins. Lines end with ``\\n`` or ``\\r\\n``.
+    """
+    conf = {"textinputformat.record.delimiter": "\n"}
+    if split_bytes:
+        conf["mapreduce.input.fileinputformat.split.maxsize"] = str(split_bytes)
+    types = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text"
+    # pairs of offset and line; the splits of one RDD are the same in every pass
+    lines = spark.sparkContext.newAPIHadoopFile(path, *types, conf=conf)
+
+    def measure(split: int, rows: Iterator[tuple[int, str]]) -> Iterator[tuple[int, int, bool, bool]]:
+        begin, closed, opened = -1, False, True
+        for offset, line in rows:
+            begin = offset if begin < 0 else begin
+            if '"' in line:
+                closed, opened = ends_open(line, closed), ends_open(line, opened)
+        yield split, begin, closed, opened
+
+    opens: dict[int, bool] = {}
+    state = False
+    for split, begin, closed, opened in sorted(lines.mapPartitionsWithIndex(measure).collect()):
+        opens[split] = state = state and begin != 0
+        state = opened if state else closed
+
+    def head(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list[str], bool]]:
+        """The lines that a split holds of the record before it, and whether that ends there."""
+        held, opened = [], True
+        for _, line in rows:
+            held.append(line)
+            opened = ends_open(line, opened)
+            if not opened:
+                break
+        yield held, not opened
+
+    late = [split for split, opened in opens.items() if opened]
+    heads = dict(zip(late, spark.sparkContext.runJob(lines, head, late) if late else [], strict=True))
+    rest: dict[int, list[str]] = {}
+    for split in late:
+        if not opens.get(split - 1) or heads[split - 1][1]:
+            begin = split - 1
+        rest.setdefault(begin, []).extend(heads[split][0])
+
+    def records(split: int, rows: Iterator[tuple[int, str]]) -> Iterator[tuple[str]]:
+        opened = before = opens[split]
+        held: list[str] = []
+        header = None
+        for offset, line in rows:
+            header = offset == 0 if header is None else header
+            opened = ends_open(line, opened)
+            if before:
+                before = opened
+                continue
+            held.append(line)
+            if not opened:
+                record, held = "\n".join(held).removesuffix("\r"), []
+                if record and not header:
+                    yield (record,)
+                header = header and not record
+        if held:
+            record = "\n".join([*held, *rest.get(split, [])]).removesuffix("\r")
+            if not header:
+                yield (record,)
+
+    given = spark.read.csv(path, multiLine=True, **CSV_OPTIONS).schema
+    options = {name: str(value) for name, value in CSV_OPTIONS.items() if name != "header"} | {"multiLine": "true"}
+    rows = spark.createDataFrame(lines.mapPartitionsWithIndex(records), "record string", verifySchema=False)
+    names = [f"c{i}" for i in range(len(given))]
+    fields = F.from_csv("record", F.lit(", ".join(f"{name} string" for name in names)), options)
+    return rows.select(fields.alias("r")).select(*(F.col(f"r.{name}").alias(f.name) for name, f in zip(names, given, strict=True)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +168,11 @@ def write_csv_table(df: DataFrame, path: str) -> None:
     """One table as CSV with a header and without an index.
 
     Empty text is written quoted, NULL as nothing, so the two stay apart for other readers.
-    Timestamps are written in the layout the cleaning step reads.
+    Timestamps are written in the layout the cleaning step reads. No file has more than ``FILE_RECORDS``
+    records, so that a table is read by as many tasks as its size asks for.
     """
     texts = {f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
-    df.withColumns(texts).write.mode("overwrite").csv(path, nullValue="", emptyValue='""', **CSV_OPTIONS)
+    df.withColumns(texts).write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).csv(path, nullValue="", emptyValue='""', **CSV_OPTIONS)
 
 
 def write_processed(tables: Tables, folder: str, fmt: str = "parquet") -> None:

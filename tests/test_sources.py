@@ -1,6 +1,7 @@
 """Files, published tables and views."""
 
 import contextlib
+import random
 
 import pytest
 from build import item, order, rows, tables
@@ -56,6 +57,42 @@ def test_any_table_may_hold_line_breaks_and_bare_quotes(spark, tmp_path, split_b
     assert products == [("p1", "toys\nand games"), ("p2", "b")]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split_bytes", [60, 1 << 20])
+def test_a_large_file_is_divided_among_tasks_whatever_its_fields_hold(spark, tmp_path, split_bytes, end):
+    rng = random.Random(split_bytes)
+    texts = ["", "plain", "NA", 'say ""hi""', "two\nlines", ",", "\n\n,", 'a\n"",""\nb', "über\n", '""', "x" * 90 + "\n" + "y" * 90]
+    bare = ["", "z", '10" pipe', 'a "b" c', " "]
+    folder = tmp_path / "reviews.csv"
+    folder.mkdir()
+    for part in range(3):
+        fields = lambda: ",".join(f'"{rng.choice(texts)}"' if rng.random() < 0.6 else rng.choice(bare) for _ in range(3))
+        records = ["id,text,note,more", *(f"{part}-{i},{fields()}" + rng.choice(["", "", end]) for i in range(20))]
+        with open(folder / f"part-{part}.csv", "w", encoding="utf-8", newline="") as file:
+            file.write(end.join(records) + (end if part else ""))
+    whole = spark.read.csv(str(folder), multiLine=True, **files.CSV_OPTIONS)
+    divided = files.read_divided(spark, str(folder), split_bytes)
+    assert divided.columns == whole.columns
+    assert divided.rdd.getNumPartitions() > 30 or split_bytes > 60
+    assert sorted(rows(divided), key=repr) == sorted(rows(whole), key=repr) and whole.count() == 60
+
+
+def test_files_above_the_bound_are_divided(spark, tmp_path, monkeypatch):
+    write(tmp_path / "t.csv", 'a,b\n1,"x\ny"\n2,NA\n')
+    divided = []
+    monkeypatch.setattr(files, "read_divided", lambda *given, real=files.read_divided: divided.append(given) or real(*given))
+    assert sorted(rows(files.read_csv_table(spark, str(tmp_path / "t.csv")))) == [("1", "x\ny"), ("2", None)] and not divided
+    monkeypatch.setattr(files, "STREAM_BYTES", 10)
+    assert sorted(rows(files.read_csv_table(spark, str(tmp_path / "t.csv")))) == [("1", "x\ny"), ("2", None)] and divided
+
+
+def test_written_files_are_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_RECORDS", 10)
+    files.write_csv_table(spark.range(95).coalesce(1), str(tmp_path / "t.csv"))
+    assert len(list((tmp_path / "t.csv").glob("*.csv"))) == 10
+    assert files.read_csv_table(spark, str(tmp_path / "t.csv")).count() == 95
+
+
 def test_a_declared_table_is_read_by_many_tasks(spark, tmp_path):
     header = "review_id,order id,review_score,review_comment_message\n"
     lines = [f'r{i},o{i},{i % 6},"say ""{i}"", and, more"\n' if i % 3 else f"r{i},,NA,\n" for i in range(300)]
