@@ -43,11 +43,22 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def may_have_layout(text: Column, layout: str) -> Column:
+    """Whether a text has the length of a layout and some of its separators: cheap, and true for all that match its pattern."""
+    least = len(layout.partition("[")[0])
+    most = len(layout.replace("[", "").replace("]", "")) + 2  # a pattern allows a line end after the text
+    places = [i for i in (2, 4, 10) if i < least and not layout[i].isalpha() or layout[i : i + 1] == "T"]
+    found = F.length(text).between(least, most)
+    for i in places:
+        found = found & (F.substring(text, i + 1, 1) == layout[i])
+    return found
+
+
 def parse_timestamp(text: Column, layout: str = USUAL_LAYOUT) -> Column:
     """Zone-free timestamp of a text; any other layout or an impossible date gives NULL."""
     pattern, usual = LAYOUTS[layout]
     written = text if layout == USUAL_LAYOUT else F.regexp_replace(text, pattern, usual)
-    return F.when(text.rlike(pattern), written.try_cast(T.TimestampNTZType()))
+    return F.when(may_have_layout(text, layout) & text.rlike(pattern), written.try_cast(T.TimestampNTZType()))
 
 
 def parse_timestamps(df: DataFrame, names: Iterable[str], layouts: Mapping[str, str] | None = None) -> DataFrame:

@@ -157,3 +157,21 @@ def test_a_declared_layout_is_used(spark):
 def test_typed_or_empty_columns_need_no_layout(spark):
     assert quality.chosen_layouts({"reviews": spark.createDataFrame([], "review_score int, review_creation_date timestamp_ntz")}) == {}
     assert quality.chosen_layouts(raw_like(spark, created=[None]))["reviews"]["review_creation_date"] == "yyyy-MM-dd HH:mm:ss"
+
+
+def test_the_quick_look_at_a_timestamp_excludes_nothing_that_its_layout_reads(spark):
+    import datetime as dt
+
+    from marketlens.functions import text
+
+    moment = dt.datetime(2017, 10, 21, 13, 45, 59)
+    for layout, (pattern, usual) in text.LAYOUTS.items():
+        form = layout.replace("[.SSSSSS]", "")
+        for a, b in (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S")):
+            form = form.replace(a, b)
+        full = moment.strftime(form)
+        tries = [full, full + "\n", full + "\r\n", full + ".5", full + ".123456", full + ".123456\n", full + " ", " " + full, full[:-1], "", "junk", None]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(tries)], "i int, t string")
+        old = F.when(F.col("t").rlike(pattern), F.regexp_replace("t", pattern, usual).try_cast("timestamp_ntz"))
+        got = df.select(text.parse_timestamp(F.col("t"), layout), old, text.may_have_layout(F.col("t"), layout)).collect()
+        assert [r[0] for r in got] == [r[1] for r in got] and got[0][0] is not None and got[9][2] is False
