@@ -26,10 +26,11 @@ def order_facts(t: Tables) -> DataFrame:
 
 
 def stage_facts(t: Tables, folder: str) -> Tables:
-    """Store the fact in ``folder``, a partition per month, and return the tables with it.
+    """Store the fact in ``folder``, a partition per month, and return the tables with it; their orders are its rows.
 
     Rows are dealt by month before they are written; large months are divided, small ones share a task.
     """
     facts = order_facts(t)
     facts.hint("rebalance", PURCHASE_MONTH).write.mode("overwrite").partitionBy(PURCHASE_MONTH).parquet(folder)
-    return t.with_facts(facts.sparkSession.read.schema(facts.schema).parquet(folder))
+    stored = facts.sparkSession.read.schema(facts.schema).parquet(folder)
+    return t.replacing(orders=stored.select(*t.orders.columns)).with_facts(stored)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,12 +110,21 @@ def register_views(t: Tables) -> list[str]:
     return list(MARTS)
 
 
+#: Marts that are written at the same time: while the last tasks of one end, cores work on others.
+AT_ONCE = 4
+
+
 def write_marts(t: Tables, folder: str) -> None:
     """Materialise every mart as parquet, for readers outside the session.
 
-    The order-grain fact is stored first, beside them, and the marts that need items or reviews per order
-    share it: items are read once per grain, for orders, sellers and categories.
+    The order-grain fact is stored first, beside them. All marts read their orders from it, and those that need
+    items or reviews per order share it: items are read once per grain, for orders, sellers and categories.
     """
     t = stage_facts(t, f"{folder}/order_facts")
-    for name, mart in MARTS.items():
-        mart(t).write.mode("overwrite").parquet(f"{folder}/{name}")
+    plans = {name: mart(t) for name, mart in MARTS.items()}
+
+    def write(name: str) -> None:
+        plans[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(inheritable_thread_target(write), plans))  # raises what a write raised

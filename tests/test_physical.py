@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as registry
+from pyspark.sql import functions as F
+
 from marketlens.sources import testdata
 from marketlens.operators.facts import stage_facts
 from marketlens.plans import marts, operations
@@ -110,3 +112,20 @@ def test_marts_from_the_fact_read_items_once_per_grain(spark, small_dir, tmp_pat
     reading = {name for name, mart in marts.MARTS.items() if items in plan_of(mart(staged))}
     assert reading == {"vw_seller_performance", "vw_category_performance"}
     assert reading < {name for name, mart in marts.MARTS.items() if items in plan_of(mart(t))}
+
+
+def test_marts_read_orders_from_the_stored_fact(spark, small_dir, tmp_path):
+    t = testdata.processed_tables(spark, small_dir)
+    staged = stage_facts(t, str(tmp_path / "facts"))
+    assert staged.orders.columns == t.orders.columns
+    assert sorted(map(repr, staged.orders.collect())) == sorted(map(repr, t.orders.collect()))
+    for name, mart in marts.MARTS.items():
+        read = mart(staged)._jdf.inputFiles()
+        assert not [f for f in read if f.endswith("/orders.parquet")] or "customer" in "".join(read), name
+
+
+def test_a_mart_that_cannot_be_written_stops_the_run(spark, small_dir, tmp_path, monkeypatch):
+    broken = lambda t: t.orders.select(F.raise_error(F.lit("no mart")).cast("int").alias("x"))
+    monkeypatch.setitem(marts.MARTS, "vw_order_status", broken)
+    with pytest.raises(Exception, match="no mart"):
+        marts.write_marts(testdata.processed_tables(spark, small_dir), str(tmp_path / "marts"))
