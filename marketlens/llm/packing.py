@@ -36,7 +36,7 @@ from marketlens.llm import pretokens
 WINDOW, STEP, HORIZON = 4096, 256, 1 << 18
 #: Costs in ids of padding: of a window, of a cut after a sentence, of any other cut inside a document.
 CHARGE, SENTENCE, INSIDE = 4, 2, 16
-#: Words and ids that a task keeps encoded.
+#: Words and ids that a worker process keeps encoded, over its tasks.
 CACHED_WORDS, CACHED_IDS = 1 << 20, 1 << 23
 #: Words that are looked up at once, and pieces that are encoded as one text.
 LOOKED_UP, ENCODED = 1 << 14, 1 << 10
@@ -135,6 +135,24 @@ class WordEncoder:
 BLANKS = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
 
 
+#: The encoder that the last task of this worker process has left, by its model and end id.
+ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def shared_encoder(model: str, end_id: int) -> WordEncoder:
+    """An encoder with the words that earlier tasks of this process have looked up, else a new one.
+
+    It is taken out; a task that ends well puts it back, so that none is left half written. One is kept, and it is bounded.
+    """
+    found = ENCODERS.pop((model, end_id), None)
+    ENCODERS.clear()
+    if found is None:
+        return WordEncoder(model, end_id)
+    if found.full():
+        found.forget()
+    return found
+
+
 def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
     """Numbers of the places at which to cut, the last place included; windows begin at the first place.
 
@@ -321,12 +339,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             return pa.RecordBatch.from_pydict({name: found[name] for name in kinds}, schema=schema)
 
         for batch in batches:
-            packer = packer or Packer(WordEncoder(model.value, end_id), window, horizon)
+            packer = packer or Packer(shared_encoder(model.value, end_id), window, horizon)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if packer.add(doc_id, text):
                     yield settled(False)
         if packer is not None:
             yield settled(True)
+            ENCODERS[model.value, end_id] = packer.encoder
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     types = {pa.int64(): "long", pa.binary(): "binary"}

@@ -124,3 +124,25 @@ def test_empty_table_and_window(spark):
     assert packing.pack(df, PATH).collect() == []
     with pytest.raises(ValueError, match="power of two"):
         packing.pack(df, PATH, window=3000)
+
+
+def test_tasks_of_a_process_share_the_words_they_looked_up():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = file.read()
+    packing.ENCODERS.clear()
+    one = packing.shared_encoder(model, 2)
+    texts = ["two words, two", "Odd-ones 12 <|x|> été", "two more words."]
+
+    def ids(encoder, text):
+        return encoder.ids_of(encoder.numbers(encoder.words(text)))[0].tolist()
+
+    first = [ids(one, text) for text in texts]
+    packing.ENCODERS[model, 2] = one  # as a task that ends well does
+    again = packing.shared_encoder(model, 2)
+    assert not packing.ENCODERS and again is one and "words," in again.known
+    assert [ids(again, text) for text in reversed(texts)][::-1] == first
+    assert first == [one.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    packing.ENCODERS[model, 2] = again
+    assert packing.shared_encoder(model, 3) is not one and not packing.ENCODERS  # only one is kept
