@@ -226,10 +226,11 @@ def key_filter(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
     slices = 16
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(bits, bool)
+        marks = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            marks[places(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
-        parts = np.packbits(marks).reshape(slices, -1)
+            at = places(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(marks, at >> np.uint64(3), bit_of(at))
+        parts = marks.reshape(slices, -1)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["slice", "marks"])
 
@@ -252,6 +253,17 @@ def places(keys: np.ndarray, bits: int) -> np.ndarray:
     return hashing.mixed(keys.view(np.uint64)) & np.uint64(bits - 1)
 
 
+def bit_of(at: np.ndarray) -> np.ndarray:
+    """The bit of each place within its byte, as ``packbits`` orders them."""
+    return np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+
+
+def marked(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Whether the place of each key is set in a packed bitmap, which is not unpacked: a task holds 2 MB of it, not 16."""
+    at = places(keys, 8 * len(packed))
+    return packed[at >> np.uint64(3)] & bit_of(at) > 0
+
+
 def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets may reach the threshold by their sizes and parity bits.
 
@@ -305,15 +317,13 @@ def token_sets(docs: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[has
     """key and tokens of the sets in the documents whose key is wanted, or shares its place in the bitmap."""
     spark = docs.sparkSession
     marks = spark.sparkContext.broadcast(np.packbits(wanted))
-    bits = len(wanted)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(marks.value).astype(bool)
         seen: set[int] = set()
         for batch in batches:
             for sets in sets_of(batch):
                 keys = hashing.set_keys(sets)
-                at = np.flatnonzero(known[places(keys, bits)])
+                at = np.flatnonzero(marked(keys, marks.value))
                 at = at[np.unique(keys[at], return_index=True)[1]]
                 at = at[[key not in seen for key in keys[at].tolist()]] if len(at) else at
                 seen.update(keys[at].tolist())

@@ -496,3 +496,15 @@ def test_short_benchmark_items(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.find_leaks(table(spark, docs), benchmark).collect()
     assert sorted(map(tuple, found), key=str) == sorted([(1, 1, 1, 2, 0, 1.0), (2, 3, 0, 1, 0, 1.0), (None, 4, 0, 4, 0, 1.0)], key=str)
+
+
+def test_a_packed_bitmap_marks_what_an_unpacked_one_does(spark):
+    from marketlens.llm import set_join
+
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 5000)
+    df = spark.createDataFrame([(int(k),) for k in keys[:2000]] + [(None,)], "key long")
+    want = np.zeros(1 << 12, bool)
+    want[set_join.places(keys[:2000], len(want))] = True
+    found = set_join.key_filter(df, "key", bits=1 << 12)
+    assert (found == want).all()
+    assert (set_join.marked(keys, np.packbits(found)) == found[set_join.places(keys, len(found))]).all()
