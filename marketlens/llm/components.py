@@ -11,13 +11,13 @@ from marketlens.llm.storage import written
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key that has a link; the root is the smallest key it is connected with.
 
-    Links are pairs (a, b) of longs. Every round is written to the shared folder. The groups are
-    minima, which Spark combines before it shuffles, and joins that it may split: a key with very
-    many links needs no single task. About log n rounds.
+    Links are pairs (a, b) of longs, of a written table, as they are read several times. Every round is
+    written to the shared folder, until only stars are left. The groups are minima, which Spark combines
+    before it shuffles, and joins that it may split: a key with very many links needs no single task.
+    About log n rounds.
     """
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    state = None
-    while state != (state := signature(edges)):
+    edges = links.select("a", "b").where("a <> b")
+    while not starred(edges):
         both = edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -25,10 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select("v", "m").where("v <> m").union(least.select("u", "m")).toDF("a", "b")
         edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    stars = edges.select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("root"))
+    stars = edges.select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("root")).distinct()
     return stars.union(stars.select("root", "root").distinct()).toDF("key", "root")
 
 
-def signature(edges: DataFrame) -> tuple:
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(low, high)), F.bit_xor(F.xxhash64(high, low, F.lit(1)))).first())
+def starred(edges: DataFrame) -> bool:
+    """Whether every larger key of a link is linked with one smaller key only, which is no larger one itself."""
+    ends = edges.select(F.greatest("a", "b").alias("key"), F.least("a", "b").alias("low"))
+    ends = ends.union(edges.select(F.least("a", "b"), F.lit(None).cast("long")))
+    lows = ends.groupBy("key").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.bool_or(F.col("low").isNull()).alias("centre"))
+    return lows.where("low <> high or (centre and low is not null)").isEmpty()

@@ -1,8 +1,9 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, and the groups they form.
 
-Token-combination prefixes. The n-grams (tokens) of every set are put into one global order: rare
-ones first, then by hash. Frequent tokens are told by counters of all documents, in an array of
-fixed size. A set of n tokens shares all but e = n - ceil(t * n) with any partner, so
+Token-combination prefixes. The n-grams (tokens) of every set are put into one global order: the
+rarest first, then by hash. How frequent tokens are is told by counters of all documents, in an array
+whose size follows the number of documents up to a bound, so that it tells as much of more documents.
+A set of n tokens shares all but e = n - ceil(t * n) with any partner, so
 
 * if e + 1 rare tokens come first, these are its signatures, one by one;
 * otherwise all its rare tokens are, and its prefix goes on over frequent tokens, which fall into
@@ -28,8 +29,8 @@ from marketlens.llm import hashing, set_join
 from marketlens.llm.components import components
 from marketlens.llm.storage import added_up, broadcast_if_small, sliced, written
 
-#: Counters for the frequency of tokens.
-SLOTS = 1 << 18
+#: Least and most counters for the frequency of tokens, powers of two; and how many a document gets.
+SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 18, 1 << 22, 4
 CLASSES = 32
 #: Least words of 64 parity bits that are kept of a set.
 PARITY_WORDS = 8
@@ -37,31 +38,38 @@ SMALL = 64
 
 
 def slots_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
+    """The counter of each token among the most; fewer counters take its low bits."""
+    return (tokens & np.uint64(MOST_SLOTS - 1)).astype(np.int64)
 
 
-def ngram_sets(texts: pa.Array, words: int, frequent: np.ndarray) -> Iterator[tuple[int, int, hashing.Sets]]:
-    """(first row, end row, sets) of runs of texts, tokens in global order."""
+def slots_for(documents: int) -> int:
+    """Counters for so many documents."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << (SLOTS_EACH * max(1, documents) - 1).bit_length()))
+
+
+def ngram_sets(texts: pa.Array, words: int, rank: np.ndarray | None = None) -> Iterator[tuple[int, int, hashing.Sets]]:
+    """(first row, end row, sets) of runs of texts, tokens in global order, or by hash if no ranks are given."""
+    ranked = None if rank is None else lambda t: rank[slots_of(t) & (len(rank) - 1)]
     for first, end, data, offsets in hashing.chunks(texts):
         units = hashing.shingles(hashing.hashed_words(data, offsets), words)
-        yield first, end, hashing.distinct(units, lambda t: frequent[slots_of(t)])
+        yield first, end, hashing.distinct(units, ranked)
 
 
-def profiles(docs: DataFrame, words: int) -> DataFrame:
+def profiles(docs: DataFrame, words: int, slots: int) -> DataFrame:
     """doc_id, text_hash, size, key (null if empty) and parity bits of every document; and rows of counters of its tokens."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())]
     )
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, none = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool)
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
             sizes, keys, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for _, _, sets in ngram_sets(batch.column(1), words, none):
+            for _, _, sets in ngram_sets(batch.column(1), words):
                 sizes.append(sets.sizes)
                 keys.append(hashing.set_keys(sets))
                 bits += hashing.sized_parity(sets, PARITY_WORDS)
-                counts += np.bincount(slots_of(sets.tokens), minlength=SLOTS)
+                np.add.at(counts, slots_of(sets.tokens) & (slots - 1), 1)
             size, n = np.concatenate(sizes), batch.num_rows
             key = pa.array(np.concatenate(keys), mask=size == 0)
             columns = [batch.column(0), batch.column(2), pa.array(size, pa.int32()), key, pa.array(bits, pa.binary())]
@@ -75,6 +83,11 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+def ranks_of(counts: np.ndarray | float) -> np.ndarray:
+    """Ranks in steps of a sixteenth of a power of two, 0 for a count of one; the last is for all above."""
+    return np.minimum(254, np.rint(16 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
 def combinations(tokens: np.ndarray, missing: int) -> np.ndarray:
     """Pairs within a class of the shortest prefix that has ``missing`` tokens beyond the first of each class."""
     kind = ((tokens >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int64)
@@ -91,15 +104,19 @@ def combinations(tokens: np.ndarray, missing: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndarray) -> DataFrame:
-    """The signatures of every set; copies of a set that a task meets give them once."""
-    marks = docs.sparkSession.sparkContext.broadcast(frequent)
+def postings(docs: DataFrame, words: int, threshold: Fraction, rank: np.ndarray, frequent: int) -> DataFrame:
+    """The signatures of every set; copies of a set that a task meets give them once.
+
+    ``rank``: how frequent the tokens of each slot are, 0 for those that occur once, which match nothing; tokens
+    of the rank ``frequent`` and above count as frequent.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(rank)
     num, den = threshold.numerator, threshold.denominator
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, sets in ngram_sets(batch.column(0), words, marks.value):
+            for _, _, sets in ngram_sets(batch.column(0), words, ranks.value):
                 size, keys = sets.sizes, hashing.set_keys(sets)
                 fresh = np.zeros(len(keys), bool)
                 for i, key in enumerate(keys.tolist()):
@@ -109,12 +126,13 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, frequent: np.ndar
                 if len(seen) > 1_000_000:
                     seen.clear()
                 owner, position = sets.owner, sets.position
-                often = marks.value[slots_of(sets.tokens)]
+                ranked = ranks.value[slots_of(sets.tokens) & (len(ranks.value) - 1)]
+                often = ranked >= frequent
                 rare = hashing.reduced(np.add, (~often).astype(np.int64), sets.starts)
                 spare = size - set_join.least_overlap(size, threshold)
                 # singly: rare tokens among the first e + 1, or any of them in small sets
                 single = (position <= spare[owner]) & fresh[owner] & (~often | (size[owner] * num <= SMALL * den))
-                at = np.flatnonzero(single)
+                at = np.flatnonzero(single & (ranked > 0))
                 signature, unit, place = [sets.tokens[at]], [owner[at]], [position[at]]
                 for i in np.flatnonzero(fresh & (size > SMALL) & (rare <= spare)):
                     pairs = combinations(sets.tokens[sets.starts[i] + rare[i] : sets.starts[i + 1]], int(spare[i] + 1 - rare[i]))
@@ -146,32 +164,33 @@ def open_bearers(bearers: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
     """(profiles of the documents, (key, root) of the sets that are linked)."""
-    both = written(profiles(docs, words), "ngram-profiles")
+    slots = slots_for(docs.count())
+    both = written(profiles(docs, words, slots), "ngram-profiles")
     documents = both.where("slice is null").select("doc_id", "text_hash", "size", "key", "parity")
     sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"))
-    counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
+    counts = added_up(both.where("slice is not null").select("slice", "counts"), slots)
+    rank = ranks_of(counts)
     # rare tokens alone would scatter the counters around the mean by its root
-    frequent = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + 64
-    found = written(set_join.candidates(postings(docs, words, threshold, frequent), threshold, set_join.RUN).distinct(), "ngram-candidates")
+    frequent = int(ranks_of(counts.mean() + 6 * np.sqrt(counts.mean()) + 64)) + 1
+    found = written(set_join.candidates(postings(docs, words, threshold, rank, frequent), threshold, set_join.RUN).distinct(), "ngram-candidates")
     pairs = found.where("frequent is null").select("a", "b")
 
     def check(candidates: DataFrame) -> DataFrame:
         candidates = written(set_join.close_pairs(candidates, sizes, threshold), "ngram-candidates")
         keys = candidates.select(F.explode(F.array("a", "b")).alias("key"))
         wanted = set_join.key_filter(keys, "key")
-        none = np.zeros(SLOTS, bool)
-        sets = set_join.token_sets(docs.select("text"), lambda batch: (s for _, _, s in ngram_sets(batch.column(0), words, none)), wanted)
+        sets = set_join.token_sets(docs.select("text"), lambda batch: (s for _, _, s in ngram_sets(batch.column(0), words)), wanted)
         return written(set_join.verified(candidates, sets.join(keys.distinct(), "key", "left_semi"), threshold), "ngram-links")
 
+    # sets with a frequent signature were compared with one set only: now with a few of them, then with those of other groups
+    bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
+    frequent_ones = not bearers.isEmpty()
+    if frequent_ones:
+        pairs = pairs.union(set_join.leader_pairs(bearers.withColumn("root", F.col("key")))).distinct()
     links = check(pairs)
     roots = components(links)
-    # sets with a frequent signature were compared with one set only: now with those of other groups
-    bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
-    rest = open_bearers(bearers, roots)
-    if not rest.isEmpty():
-        links = links.union(check(set_join.leader_pairs(rest)))
-        roots = components(links)
-        rest = open_bearers(rest.select("signature", "key"), roots)
+    if frequent_ones:
+        rest = open_bearers(bearers, roots)
         wide = rest.join(set_join.folded_bits(sizes, PARITY_WORDS), "key")
         more = written(set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("a.root") < F.col("b.root")), "ngram-candidates")
         if not more.isEmpty():

@@ -244,7 +244,7 @@ def key_filter(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
     schema = "slice int, marks binary"
     parts = keys.select(column).where(F.col(column).isNotNull()).mapInArrow(place, schema)
     marks = np.zeros((slices, bits // slices // 8), np.uint8)
-    for row in parts.repartition("slice").mapInArrow(union, schema).collect():
+    for row in parts.repartition("slice").coalesce(slices).mapInArrow(union, schema).collect():
         marks[row["slice"]] = np.frombuffer(row["marks"], np.uint8)
     return np.unpackbits(marks.ravel()).astype(bool)
 

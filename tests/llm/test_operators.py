@@ -508,3 +508,21 @@ def test_a_packed_bitmap_marks_what_an_unpacked_one_does(spark):
     found = set_join.key_filter(df, "key", bits=1 << 12)
     assert (found == want).all()
     assert (set_join.marked(keys, np.packbits(found)) == found[set_join.places(keys, len(found))]).all()
+
+
+def test_rare_ngrams_come_first(spark):
+    """A passage of 60 documents, too few for a frequent one: their own n-grams come first and match nothing."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"u{rng.random()}" for _ in range(60)) + " " + passage) for i in range(60)]
+    docs = table(spark, rows)
+    slots = ngram_join.slots_for(len(rows))
+    counts = ngram_join.added_up(ngram_join.profiles(docs, 4, slots).where("slice is not null").select("slice", "counts"), slots)
+    assert counts.sum() == 60 * 97
+    found = ngram_join.postings(docs, 4, Fraction(85, 100), ngram_join.ranks_of(counts), 255)
+    assert found.groupBy("signature").count().where("count >= 60").count() == 0
+    assert [c for _, _, c in sorted(tuple(r) for r in ngram_join.link_documents(docs).collect())] == list(range(60))
+
+
+def test_counters_follow_the_documents():
+    assert [ngram_join.slots_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 40)] == [1 << 18, 1 << 18, 1 << 19, 1 << 22]
