@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain, repeat
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +137,15 @@ class WordEncoder:
 BLANKS = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
 
 
-#: The encoder that the last task of this worker process has left, by its model and end id.
-ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+def kept() -> dict:
+    """The encoder that the last task of this process has left, by its model and end id.
+
+    It is held by a module of the process: this one is shipped by value, so that each task has its own copy.
+    """
+    return vars(sys.modules.setdefault("marketlens_packing", ModuleType("marketlens_packing"))).setdefault("encoders", {})
+
+
+ENCODERS = kept()
 
 
 def shared_encoder(model: str, end_id: int) -> WordEncoder:
@@ -144,8 +153,8 @@ def shared_encoder(model: str, end_id: int) -> WordEncoder:
 
     It is taken out; a task that ends well puts it back, so that none is left half written. One is kept, and it is bounded.
     """
-    found = ENCODERS.pop((model, end_id), None)
-    ENCODERS.clear()
+    found = kept().pop((model, end_id), None)
+    kept().clear()
     if found is None:
         return WordEncoder(model, end_id)
     if found.full():
@@ -153,6 +162,11 @@ def shared_encoder(model: str, end_id: int) -> WordEncoder:
     return found
 
 
+def leave(model: str, end_id: int, encoder: WordEncoder) -> None:
+    """Leave an encoder to later tasks of this process."""
+    kept()[model, end_id] = encoder
+
+
 def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
     """Numbers of the places at which to cut, the last place included; windows begin at the first place.
 
@@ -345,7 +359,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
                     yield settled(False)
         if packer is not None:
             yield settled(True)
-            ENCODERS[model.value, end_id] = packer.encoder
+            leave(model.value, end_id, packer.encoder)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     types = {pa.int64(): "long", pa.binary(): "binary"}
