@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FOOTER, FOOTER_BYTES = "<IBI", 9
 ENTRY = np.dtype([("compressed", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
 MANIFEST = "shard int, path string, documents long, tokens long"
-#: Pre-tokens that a task keeps encoded.
-CACHE = 1 << 19
+#: Pre-tokens that a task keeps encoded; or a worker process over its tasks, if they share them.
+CACHE, SHARED_CACHE = 1 << 19, 1 << 20
 
 
 class Writer:
@@ -97,8 +99,8 @@ def opened(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def encoder(model: str, end_id: int):
-    """A function from a text to its token ids and the end id as bytes."""
+def encoder(model: str, end_id: int, most: int = CACHE):
+    """A function from a text to its token ids and the end id as bytes; it keeps up to about ``most`` pre-tokens encoded."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_str(model)
     end = np.array([end_id], "<u4").tobytes()
@@ -115,7 +117,7 @@ def encoder(model: str, end_id: int):
         try:
             return b"".join(map(known.__getitem__, pieces)) + end
         except KeyError:
-            if len(known) > CACHE:
+            if len(known) > most:
                 known.clear()
             missing = [p for p in set(pieces) if p not in known]
             known.update(zip(missing, map(as_bytes, pretokens.encoded(tokenizer, missing)), strict=True))
@@ -124,12 +126,38 @@ def encoder(model: str, end_id: int):
     return encode
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
+def kept() -> dict:
+    """The encoder that the last task of this process has left, by its model and end id.
+
+    It is held by a module of the process: this one is shipped by value, so that each task has its own copy.
+    """
+    return vars(sys.modules.setdefault("marketlens_token_files", ModuleType("marketlens_token_files"))).setdefault("encoders", {})
+
+
+ENCODERS = kept()
+
+
+def shared_encoder(model: str, end_id: int):
+    """An encoder with the pre-tokens that earlier tasks of this process have encoded, else a new one; one is kept."""
+    found = kept().pop((model, end_id), None)
+    kept().clear()
+    return found or encoder(model, end_id, SHARED_CACHE)
+
+
+def leave(model: str, end_id: int, encode) -> None:
+    """Leave an encoder to later tasks of this process."""
+    kept()[model, end_id] = encode
+
+
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None, shared: bool = False
+) -> DataFrame:
     """Write the documents (doc_id, text) in ascending doc_id order; returns the manifest, in file order.
 
     Equal doc_ids are ordered by text; null doc_ids come last; a null text counts as empty. The
     order is dealt in ranges by id and a hash of the text, so that one id with very many rows
-    fills several files. ``folder`` is a path that all executors reach.
+    fills several files. ``folder`` is a path that all executors reach. With ``shared`` a worker
+    process keeps the pre-tokens that it has encoded for its later tasks, in some 200 MB at most.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -142,7 +170,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         shard, writer, tokens = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             if writer is None:
-                encode = encoder(model.value, end_id)
+                encode = shared_encoder(model.value, end_id) if shared else encoder(model.value, end_id)
                 path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.zst"
                 system, place = opened(path)
                 system.create_dir(os.path.dirname(place))
@@ -153,6 +181,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 writer.add(doc_id, content)
         if writer is not None:
             writer.close()
+            if shared:
+                leave(model.value, end_id, encode)
             row = {"shard": [shard], "path": [path], "documents": [len(writer.ids)], "tokens": [tokens]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 

@@ -526,3 +526,45 @@ def test_rare_ngrams_come_first(spark):
 
 def test_counters_follow_the_documents():
     assert [ngram_join.slots_for(n) for n in (0, 1 << 16, (1 << 16) + 1, 1 << 40)] == [1 << 18, 1 << 18, 1 << 19, 1 << 22]
+
+
+def test_token_encoder_serves_later_tasks(monkeypatch):
+    """Pre-tokens that a task of the process has encoded are not encoded again; a small table gives the same ids."""
+    with open(queries.public_tokenizers.path(queries.TOKENIZER), encoding="utf-8") as file:
+        model = file.read()
+    plain = token_files.Tokenizer.from_str(model)
+    some = [text or "" for _, text in texts()] + ["", "one <|endoftext|> two", "ÄÖ中文 x"]
+    want = [np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes() for text in some]
+    token_files.ENCODERS.clear()
+    monkeypatch.setattr(token_files, "SHARED_CACHE", 5)
+    first = token_files.shared_encoder(model, 0)
+    assert [first(text) for text in some] == want
+    token_files.ENCODERS[model, 0] = first
+    assert token_files.shared_encoder(model, 0) is first and not token_files.ENCODERS
+    monkeypatch.setattr(token_files, "SHARED_CACHE", 1 << 20)
+    again = token_files.shared_encoder(model, 0)
+    assert [again(text) for text in some] == want
+    monkeypatch.setattr(token_files.pretokens, "encoded", None)
+    assert [again(text) for text in some] == want
+    token_files.ENCODERS[model, 0] = again
+    assert token_files.shared_encoder(model, 7) is not again and not token_files.ENCODERS
+
+
+@pytest.mark.parametrize("module", ["packing", "token_files"])
+def test_tasks_leave_their_encoder_to_later_tasks(spark, tmp_path, module):
+    def count(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(vars(sys.modules.get(f"marketlens_{module}", sys)).get("encoders", ()))]})
+
+    docs = table(spark, texts()).repartition(8)
+    if module == "packing":
+        queries.packing.pack(docs, queries.public_tokenizers.path(queries.PACKED)).count()
+    else:
+        path = queries.public_tokenizers.path(queries.TOKENIZER)
+        token_files.write_token_files(docs, str(tmp_path), path, shards=8, shared=True).count()
+    left = spark.range(16).repartition(16).mapInArrow(count, "n long").collect()
+    assert max(r["n"] for r in left) == 1
