@@ -35,6 +35,9 @@ CLASSES = 32
 #: Least words of 64 parity bits that are kept of a set.
 PARITY_WORDS = 8
 SMALL = 64
+#: Sets of a frequent signature that the others meet in a round.
+LEADERS = 64
+MET, FEW = 64, 4
 
 
 def slots_of(tokens: np.ndarray) -> np.ndarray:
@@ -182,7 +185,8 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
         sets = set_join.token_sets(docs.select("text"), lambda batch: (s for _, _, s in ngram_sets(batch.column(0), words)), wanted)
         return written(set_join.verified(candidates, sets.join(keys.distinct(), "key", "left_semi"), threshold), "ngram-links")
 
-    # sets with a frequent signature were compared with one set only: now with a few of them, then with those of other groups
+    # sets with a frequent signature were compared with one set only: now with a few of them, then with more of them that
+    # are in other groups, as long as that halves the number of groups, and at last with all that are in other groups still
     bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
     frequent_ones = not bearers.isEmpty()
     if frequent_ones:
@@ -190,11 +194,20 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     links = check(pairs)
     roots = components(links)
     if frequent_ones:
-        rest = open_bearers(bearers, roots)
-        wide = rest.join(set_join.folded_bits(sizes, PARITY_WORDS), "key")
-        more = written(set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("a.root") < F.col("b.root")), "ngram-candidates")
-        if not more.isEmpty():
-            roots = components(links.union(check(more)))
+        rest, draw, rounds = open_bearers(bearers, roots), 0, True
+        groups = rest.select("root").distinct().count()
+        while groups:
+            wide = rest.join(set_join.folded_bits(sizes, PARITY_WORDS), "key")
+            other = F.col("a.root") != F.col("b.root") if rounds else F.col("a.root") < F.col("b.root")
+            more = written(set_join.open_pairs(wide, PARITY_WORDS, threshold, other, LEADERS if rounds else None, draw), "ngram-candidates")
+            if not more.isEmpty():
+                links = links.union(check(more))
+                roots = components(links)
+            if not rounds:
+                break
+            before, rest, draw = groups, open_bearers(bearers, roots), draw + 1
+            groups = rest.select("root").distinct().count()
+            rounds = 2 * groups < before
     return documents, roots
 
 

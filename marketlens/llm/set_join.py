@@ -198,16 +198,26 @@ def leader_pairs(bearers: DataFrame, leaders: int = 8) -> DataFrame:
     return met.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
 
 
-def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled) -> DataFrame:
+def some_bearers(bearers: DataFrame, about: int, draw: int) -> DataFrame:
+    """About so many rows of every signature, by a hash of their keys, so that signatures mostly choose the same; all rows of one that has no more."""
+    counts = bearers.groupBy("signature").agg(F.count("*").alias("of"))
+    chosen = F.pmod(F.xxhash64("key", F.lit(draw)), F.lit(1 << 30)) * F.col("of") < F.lit(about << 30)
+    return bearers.join(counts, "signature").where(chosen).drop("of")
+
+
+def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled, leaders: int | None = None, draw: int = 0) -> DataFrame:
     """Pairs of sets with a frequent signature in common for which ``unsettled(a, b)`` holds.
 
     ``bearers``: signature, the columns of ``folded_bits`` and what the condition needs. A plain join
     on the signature, which Spark may split, with all filters inside it. A row carries the first ``CARRIED``
     signatures of its set: if two sets share one of those, they meet at the first of them only.
+    With ``leaders`` not all pairs, but those with about so many sets b of each signature, another choice for each
+    ``draw``: their number grows as the rows do.
     """
-    own = bearers.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, CARRIED).alias("first_ones"))
-    bearers = bearers.join(own, "key")
-    a, b = bearers.alias("a"), bearers.alias("b")
+    if leaders is None:
+        own = bearers.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, CARRIED).alias("first_ones"))
+        bearers = bearers.join(own, "key")
+    a, b = bearers.alias("a"), (bearers if leaders is None else some_bearers(bearers, leaders, draw)).alias("b")
     num, den = threshold.numerator, threshold.denominator
     size = F.least("a.size", "b.size") * den >= F.greatest("a.size", "b.size") * num
     total = F.col("a.size") + F.col("b.size")
@@ -215,8 +225,9 @@ def open_pairs(bearers: DataFrame, words: int, threshold: Fraction, unsettled) -
     # the least overlap is the total times num / (num + den), rounded up
     near = apart <= total - 2 * F.expr(f"(({num} * (a.size + b.size) + {num + den - 1}) div {num + den})")
     met = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.key") != F.col("b.key")) & size & unsettled & near
-    shared = F.array_min(F.array_intersect("a.first_ones", "b.first_ones"))
-    met = met & F.coalesce(shared == F.col("a.signature"), F.lit(True))
+    if leaders is None:
+        shared = F.array_min(F.array_intersect("a.first_ones", "b.first_ones"))
+        met = met & F.coalesce(shared == F.col("a.signature"), F.lit(True))
     return a.join(b, met).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 

@@ -89,6 +89,31 @@ def test_a_long_run_is_not_compared_pair_by_pair(spark):
     assert found.where("a <> b and a < 50000").count() < 20_000
 
 
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies that differ in two words near each other: a quarter of all pairs link; the pairs compared grow as the copies do."""
+    monkeypatch.setattr(set_join, "RUN", 8)
+    monkeypatch.setattr(set_join, "leader_pairs", lambda bearers: bearers.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b")))
+    monkeypatch.setattr(ngram_join, "LEADERS", 8, raising=False)
+    compared = []
+    verified = set_join.verified
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(set_join, "verified", counted)
+    rows = []
+    for i in range(240):
+        words = [f"v{k}" for k in range(120)]
+        at = 40 + (i * 7) % 60
+        words[at : at + 2] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(words)))
+    got = sorted(tuple(r) for r in ngram_join.link_documents(table(spark, rows)).collect())
+    assert got == brute.groups(rows)
+    assert got[-1][2] == 0
+    assert sum(compared) < 20 * len(rows)
+
+
 def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
     """Every token counts as frequent: large sets meet by pairs of tokens only."""
     monkeypatch.setattr(ngram_join, "slots_of", lambda tokens: np.zeros(len(tokens), np.int64))
