@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import hashing, set_join
-from marketlens.llm.storage import added_up, sliced, written
+from marketlens.llm.storage import BROADCAST_ROWS, added_up, broadcast_if_small, sliced, written
 
 #: Counters for the rarity of words.
 SLOTS = 1 << 22
@@ -121,15 +121,32 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
     found = written(set_join.candidates(postings(docs, threshold, min_words, rank), threshold).distinct(), "line-candidates")
     pairs = found.where("frequent is null").select("a", "b")
 
+    def similar(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Keys of the later lines of the pairs (a, b), b the later one, that are similar."""
+        return set_join.verified(candidates.select("a", "b"), tokens, threshold).select(F.col("b").alias("key")).distinct()
+
     def later(candidates: DataFrame) -> DataFrame:
-        """Keys of the lines that are similar to an earlier one."""
-        keys = candidates.select(F.explode(F.array("a", "b")).alias("key"))
+        """Keys of the lines that are similar to an earlier one: to the first that they may be similar to, or else to any other."""
+        one, two = (first.select(F.col("key").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+        swapped = F.col("first_a") > F.col("first_b")
+        ends = [F.when(swapped, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("b", "a", "a"), ("a", "b", "b"))]
+        pairs = candidates.join(one, "a").join(two, "b").select(*ends, F.least("first_a", "first_b").alias("first"))
+        pairs = written(pairs, "line-pairs")
+        keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
         wanted = set_join.key_filter(keys, "key")
         none = np.zeros(SLOTS, np.uint8)
-        sets = set_join.token_sets(docs.select("text"), lambda batch: (s for _, _, s in line_sets(batch.column(0), none)), wanted)
-        links = set_join.verified(candidates, sets.join(keys.distinct(), "key", "left_semi"), threshold)
-        one, two = (first.select(F.col("key").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
-        return links.join(one, "a").join(two, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
+        texts = broadcast_if_small(written(first.join(keys, "key", "left_semi").select("first.place").distinct(), "line-places"))
+        bearing = docs.join(texts, "place", "left_semi") if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else docs
+        found = set_join.token_sets(bearing.select("text"), lambda batch: (s for _, _, s in line_sets(batch.column(0), none)), wanted)
+        tokens = written(found.join(keys, "key", "left_semi"), "line-tokens")
+        tried = pairs.groupBy("b").agg(F.min_by("a", F.struct("first", "a")).alias("a"))
+        settled = written(similar(tried, tokens), "line-similar")
+        rest = pairs.join(settled.withColumnRenamed("key", "b"), "b", "left_anti").join(tried, ["a", "b"], "left_anti")
+        rest = written(set_join.close_pairs(rest.select("a", "b"), first, threshold), "line-pairs")
+        if rest.isEmpty():
+            return settled
+        ends = broadcast_if_small(written(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys"))
+        return settled.union(similar(rest, tokens.join(ends, "key", "left_semi")))
 
     gone = written(later(pairs), "line-removed")
     # lines with a frequent signature were compared with one line only: those that stay, with all earlier ones
@@ -138,7 +155,8 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
     open_ = rest.where("gone is null").select("signature").distinct()
     rest = written(rest.join(open_, "signature", "left_semi"), "line-bearers")
     if not rest.isEmpty():
-        wide = rest.drop("size").join(set_join.folded_bits(first, PARITY_WORDS), "key")
+        bits = written(set_join.folded_bits(first.join(rest.select("key").distinct(), "key", "left_semi"), PARITY_WORDS), "line-bits")
+        wide = written(rest.drop("size", "parity").join(bits, "key"), "line-bearers")
         more = set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("b.gone").isNull() & (F.col("a.first") < F.col("b.first")))
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "line-candidates")
         gone = gone.union(later(more))

@@ -5,8 +5,9 @@ parity``. Sets of Jaccard similarity of at least ``threshold`` share a signature
 to that. Postings are dealt by signature and sorted, so that each signature is a run of rows that
 a task reads as a stream and of which it compares at most ``held`` rows with each other:
 
-* the pairs of a signature of up to ``held`` sets are all compared, by size, position and parity;
-* the sets of a more frequent signature are compared with its first set only. Whatever that leaves
+* the pairs of a signature of up to ``held`` sets are all compared, by size, parity and position; where
+  most of them are near copies, with some of the copies only;
+* the sets of a more frequent signature are compared with one set only, the first of those at hand. Whatever that leaves
   open is found by ``open_pairs``: a join on the signature of the sets that are not settled yet,
   which gives a pair once, at the first signature that both bear.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from marketlens.llm import hashing
 
 POSTINGS = "signature long, place long, key long, size int, position int, parity long"
-#: Sets of one signature whose pairs are compared at once.
-RUN = 128
+#: Sets of one signature whose pairs are all given, however many; and pairs for each set from which a larger run is one of copies.
+RUN, DENSE = 128, 4
 #: Sets of one signature that a task holds at most, and of which it tells copies from others.
 HELD, LEADERS = 8192, 32
 #: Rows that a task gathers before it looks for pairs.
@@ -52,20 +53,52 @@ def possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray], threshold: Frac
     return (small * den >= large * num) & (left >= overlap) & (apart <= total - 2 * overlap) & (a["key"] != b["key"])
 
 
-def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs within runs of equal signatures of at most RUN rows."""
-    signature = rows["signature"]
-    begins = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    ends = np.repeat(np.append(begins[1:], len(signature)), np.diff(np.append(begins, len(signature))))
-    at = np.arange(len(signature))
+def few_differences(size: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Parity bits in which a similar set that is no larger may differ at most; all 64 for large sets."""
+    num, den = threshold.numerator, threshold.denominator
+    return np.minimum(64, 2 * size * (den - num) // (num + den)).astype(np.uint8)
+
+
+def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Possible pairs within runs of equal signatures, and the signatures of more than RUN rows with DENSE pairs a row or more: these are left out.
+
+    The rows of a run are ordered by size, so that a row meets those of similar size only, and by parity first.
+    """
+    begins = np.flatnonzero(np.concatenate([[True], rows["signature"][1:] != rows["signature"][:-1]]))
+    run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows["signature"]))))
+    order = np.lexsort((rows["key"], rows["size"], run))
+    rows = {k: v[order] for k, v in rows.items()}
+    fresh = np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (run[1:] != run[:-1])])
+    rows, run = {k: v[fresh] for k, v in rows.items()}, run[fresh]
+    sizes = np.bincount(run, minlength=len(begins))
+    # the row after the last one of the run that is not too large
+    spread = int(rows["size"].max()) * threshold.denominator // threshold.numerator + 1
+    ends = np.searchsorted(run * (spread + 1) + rows["size"], run * (spread + 1) + rows["size"] * threshold.denominator // threshold.numerator, "right")
+    parity, limit = rows["parity"].view(np.uint64), few_differences(rows["size"], threshold)
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found, dense, unseen = np.zeros(len(begins), np.int64), np.zeros(len(begins), bool), 0
+    at = np.arange(len(run))
+    reach = ends - at
     apart = 0
     while len(at):
         apart += 1
-        at = at[at + apart < ends[at]]
-        a, b = ({k: v[i] for k, v in rows.items()} for i in (at, at + apart))
-        good = possible(a, b, threshold)
-        if good.any():
-            yield a["key"][good], b["key"][good]
+        far = reach[at] > apart
+        at = at[far]
+        near = at[np.bitwise_count(parity[at] ^ parity[at + apart]) <= limit[at + apart]]
+        if not len(near):
+            continue
+        one, two = ({k: v[i] for k, v in rows.items()} for i in (near, near + apart))
+        good = possible(one, two, threshold)
+        pairs.append((one["key"][good], two["key"][good], run[near[good]]))
+        unseen += int(good.sum())
+        if unseen > len(run):
+            found += np.bincount(np.concatenate([p[2] for p in pairs]), minlength=len(begins))
+            dense |= (sizes > RUN) & (found >= DENSE * sizes)
+            found[:] = 0
+            pairs = [tuple(np.concatenate([p[side] for p in pairs]) for side in range(3))]
+            pairs = [tuple(side[~dense[pairs[0][2]]] for side in pairs[0])]
+            at, unseen = at[~dense[run[at]]], 0
+    return [(one, two) for one, two, _ in pairs], rows["signature"][np.searchsorted(run, np.flatnonzero(dense))]
 
 
 def pairs_of_run(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -116,14 +149,22 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
             mark = pa.nulls(len(a), pa.int64()) if frequent is None else pa.array(frequent)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), mark], ["a", "b", "frequent"])
 
-        def against_leader(leader: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            first = {k: np.broadcast_to(v[:1], len(rows["key"])) for k, v in leader.items()}
+        def by_place(rows: dict[str, np.ndarray]) -> np.ndarray:
+            return np.lexsort((rows["key"], rows["place"]))
+
+        def against_leader(rows: dict[str, np.ndarray], leader: dict[str, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+            first = {k: np.broadcast_to(v, len(rows["key"])) for k, v in (leader or first_of(rows)).items()}
             first = {k: np.ascontiguousarray(v) for k, v in first.items()}
             good = possible(first, rows, threshold)
             if good.any():
                 yield out(first["key"][good], rows["key"][good])
             yield out(rows["key"], rows["key"], rows["signature"])
 
+        def first_of(*runs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            """The row of the smallest place, and key."""
+            rows = {n: np.concatenate([r[n] for r in runs]) for n in names}
+            return {k: v[by_place(rows)[:1]] for k, v in rows.items()}
+
         def found(rows: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             """Pairs among all rows but those of the last signature, which stay in ``held`` unless it is the last call."""
             nonlocal held, count, leader
@@ -131,7 +172,9 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
             if leader is not None:
                 same = int(np.searchsorted(signature != leader["signature"][0], True))
                 if same:
-                    yield from against_leader(leader, {k: v[:same] for k, v in rows.items()})
+                    run = {k: v[:same] for k, v in rows.items()}
+                    yield from against_leader(run, leader)
+                    leader = first_of(leader, run)
                 rows = {k: v[same:] for k, v in rows.items()}
                 signature = rows["signature"]
                 if len(signature):
@@ -144,21 +187,26 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
             if cut:
                 begins = np.flatnonzero(np.concatenate([[True], done["signature"][1:] != done["signature"][:-1]]))
                 sizes = np.diff(np.append(begins, cut))
-                few = np.repeat(sizes <= RUN, sizes)
-                for pairs in pairs_of_runs({k: v[few] for k, v in done.items()}, threshold):
-                    yield out(*pairs)
-                for i in np.flatnonzero(sizes > RUN):
+                few = np.repeat((sizes > 1) & (sizes <= most), sizes)
+                dense = np.zeros(0, np.int64)
+                if few.any():
+                    found_pairs, dense = pairs_of_runs({k: v[few] for k, v in done.items()}, threshold)
+                    for pairs in found_pairs:
+                        yield out(*pairs)
+                for i in np.flatnonzero((sizes > most) | np.isin(done["signature"][begins], dense)):
                     run = {k: v[begins[i] : begins[i] + sizes[i]] for k, v in done.items()}
                     if sizes[i] > most:
-                        yield from against_leader(run, run)
+                        yield from against_leader(run)
                         continue
+                    order = by_place(run)
+                    run = {k: v[order] for k, v in run.items()}
                     pairs, copies = pairs_of_run(run, threshold)
                     yield out(*(np.concatenate([p[side] for p in pairs] or [run["key"][:0]]) for side in (0, 1)))
                     yield out(run["key"][copies], run["key"][copies], run["signature"][copies])
             rest = {k: v[cut:] for k, v in rows.items()}
             if len(rest["key"]) > most:
-                leader = {k: v[:1] for k, v in rest.items()}
-                yield from against_leader(leader, rest)
+                leader = first_of(rest)
+                yield from against_leader(rest, leader)
                 rest = {k: v[:0] for k, v in rest.items()}
             held, count = ([rest], len(rest["key"])) if len(rest["key"]) else ([], 0)
 
@@ -170,7 +218,8 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
         if held:
             yield from found({n: np.concatenate([h[n] for h in held]) for n in names}, True)
 
-    dealt = postings.repartition("signature").sortWithinPartitions("signature", "place", "key")
+    # by one long only, which Spark sorts by its digits; tasks order the rows of a signature themselves
+    dealt = postings.repartition("signature").sortWithinPartitions("signature")
     return dealt.mapInArrow(find, "a long, b long, frequent long")
 
 

@@ -593,3 +593,44 @@ def test_tasks_leave_their_encoder_to_later_tasks(spark, tmp_path, module):
         token_files.write_token_files(docs, str(tmp_path), path, shards=8, shared=True).count()
     left = spark.range(16).repartition(16).mapInArrow(count, "n long").collect()
     assert max(r["n"] for r in left) == 1
+
+
+def test_runs_are_compared_by_size_and_parity_first(monkeypatch):
+    """All possible pairs of the runs come out once; a large run of copies is named instead; few pairs are compared in full."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**62), 2**62, 40)
+    rows = {"signature": np.sort(rng.integers(0, 4, 600)), "key": rng.integers(0, 500, 600), "size": rng.integers(5, 60, 600), "position": rng.integers(0, 5, 600), "place": np.zeros(600, np.int64)}
+    rows["size"], rows["position"] = rows["key"] % 50 + 5, rows["key"] % 3
+    rows["parity"] = base[rows["key"] % 40] ^ (np.int64(1) << (rows["key"] % 7))
+    threshold, full = Fraction(4, 5), []
+    possible = set_join.possible
+    monkeypatch.setattr(set_join, "possible", lambda a, b, t: full.append(len(a["key"])) or possible(a, b, t))
+    monkeypatch.setattr(set_join, "RUN", 10_000)
+    pairs, dense = set_join.pairs_of_runs(rows, threshold)
+    got = sorted(tuple(sorted(p)) for one, two in pairs for p in zip(one.tolist(), two.tolist(), strict=True))
+    want = []
+    for s in range(4):
+        own = {int(k): {n: v[[i]] for n, v in rows.items()} for i, k in enumerate(rows["key"]) if rows["signature"][i] == s}
+        want += [(a, b) for a in own for b in own if a < b and possible(own[a], own[b], threshold)[0]]
+    assert got == sorted(want) and want and not len(dense)
+    assert sum(full) < 20_000  # of about 40,000 pairs of a signature
+    same = {k: np.full(300, v[0]) for k, v in rows.items()} | {"key": np.arange(300)}
+    monkeypatch.setattr(set_join, "RUN", 128)
+    assert set_join.pairs_of_runs(same, threshold)[1].tolist() == [rows["signature"][0]]
+
+
+def test_lines_are_compared_with_one_earlier_line_first(spark, monkeypatch):
+    """Every copy is similar to the first line: one comparison each, not one for each pair of copies."""
+    compared = []
+    verified = set_join.verified
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(set_join, "verified", counted)
+    line = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join([*line[:-1], f"u{i}"])) for i in range(100)] + [(200, " ".join(["x1", "x2", *line[2:-1], "u3"]))]
+    got = sorted(tuple(r) for r in line_dedup.remove_similar_lines(table(spark, rows)).collect())
+    assert got == brute.without_similar_lines(rows)
+    assert sum(compared) < 3 * len(rows)
