@@ -127,10 +127,10 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
 
     def later(candidates: DataFrame) -> DataFrame:
         """Keys of the lines that are similar to an earlier one: to the first that they may be similar to, or else to any other."""
-        one, two = (first.select(F.col("key").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+        close = set_join.close_pairs(candidates, first, threshold, "first")
         swapped = F.col("first_a") > F.col("first_b")
         ends = [F.when(swapped, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("b", "a", "a"), ("a", "b", "b"))]
-        pairs = candidates.join(one, "a").join(two, "b").select(*ends, F.least("first_a", "first_b").alias("first"))
+        pairs = close.select(*ends, F.least("first_a", "first_b").alias("first"))
         pairs = written(pairs, "line-pairs")
         keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
         wanted = set_join.key_filter(keys, "key")
@@ -142,7 +142,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
         tried = pairs.groupBy("b").agg(F.min_by("a", F.struct("first", "a")).alias("a"))
         settled = written(similar(tried, tokens), "line-similar")
         rest = pairs.join(settled.withColumnRenamed("key", "b"), "b", "left_anti").join(tried, ["a", "b"], "left_anti")
-        rest = written(set_join.close_pairs(rest.select("a", "b"), first, threshold), "line-pairs")
+        rest = written(rest.select("a", "b"), "line-pairs")
         if rest.isEmpty():
             return settled
         ends = broadcast_if_small(written(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys"))

@@ -5,8 +5,8 @@ parity``. Sets of Jaccard similarity of at least ``threshold`` share a signature
 to that. Postings are dealt by signature and sorted, so that each signature is a run of rows that
 a task reads as a stream and of which it compares at most ``held`` rows with each other:
 
-* the pairs of a signature of up to ``held`` sets are all compared, by size, parity and position; where
-  most of them are near copies, with some of the copies only;
+* the pairs of a signature of up to ``held`` sets are all compared, by size, parity and position; if these
+  are many and ``held`` is not given, a set keeps a few of them;
 * the sets of a more frequent signature are compared with one set only, the first of those at hand. Whatever that leaves
   open is found by ``open_pairs``: a join on the signature of the sets that are not settled yet,
   which gives a pair once, at the first signature that both bear.
@@ -30,6 +30,8 @@ from marketlens.llm import hashing
 POSTINGS = "signature long, place long, key long, size int, position int, parity long"
 #: Sets of one signature whose pairs are all given, however many; and pairs for each set from which a larger run is one of copies.
 RUN, DENSE = 128, 4
+#: Sets of one signature from which on a set keeps so many pairs of it.
+THIN, KEPT = 16, 2
 #: Sets of one signature that a task holds at most, and of which it tells copies from others.
 HELD, LEADERS = 8192, 32
 #: Rows that a task gathers before it looks for pairs.
@@ -59,10 +61,12 @@ def few_differences(size: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.minimum(64, 2 * size * (den - num) // (num + den)).astype(np.uint8)
 
 
-def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Possible pairs within runs of equal signatures, and the signatures of more than RUN rows with DENSE pairs a row or more: these are left out.
+def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction, thin: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, np.ndarray], np.ndarray]:
+    """Possible pairs within runs of equal signatures; rows of pairs that are left out; signatures that are left out whole.
 
     The rows of a run are ordered by size, so that a row meets those of similar size only, and by parity first.
+    In runs of more than ``thin`` rows a row keeps the pairs with the ``KEPT`` first ones before it by place; the rows of all
+    others are given. Runs of more than RUN rows with DENSE pairs a row or more are left out.
     """
     begins = np.flatnonzero(np.concatenate([[True], rows["signature"][1:] != rows["signature"][:-1]]))
     run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows["signature"]))))
@@ -89,7 +93,7 @@ def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[lis
             continue
         one, two = ({k: v[i] for k, v in rows.items()} for i in (near, near + apart))
         good = possible(one, two, threshold)
-        pairs.append((one["key"][good], two["key"][good], run[near[good]]))
+        pairs.append((near[good], near[good] + apart, run[near[good]]))
         unseen += int(good.sum())
         if unseen > len(run):
             found += np.bincount(np.concatenate([p[2] for p in pairs]), minlength=len(begins))
@@ -98,7 +102,18 @@ def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[lis
             pairs = [tuple(np.concatenate([p[side] for p in pairs]) for side in range(3))]
             pairs = [tuple(side[~dense[pairs[0][2]]] for side in pairs[0])]
             at, unseen = at[~dense[run[at]]], 0
-    return [(one, two) for one, two, _ in pairs], rows["signature"][np.searchsorted(run, np.flatnonzero(dense))]
+    one, two = (np.concatenate([p[side] for p in pairs] or [at]) for side in (0, 1))
+    rank = np.empty(len(run), np.int64)
+    rank[np.lexsort((rows["key"], rows["place"]))] = np.arange(len(run))
+    swapped = rank[one] > rank[two]
+    one, two = np.where(swapped, two, one), np.where(swapped, one, two)
+    order = np.lexsort((rank[one], two))
+    one, two = one[order], two[order]
+    nth = np.arange(len(two)) - np.searchsorted(two, two)
+    left = (nth >= KEPT) & (sizes[run[two]] > thin) if thin is not None else np.zeros(len(two), bool)
+    open_ = np.unique(np.concatenate([one[left], two[left]]))
+    whole = rows["signature"][np.searchsorted(run, np.flatnonzero(dense))]
+    return (rows["key"][one[~left]], rows["key"][two[~left]]), {k: v[open_] for k, v in rows.items()}, whole
 
 
 def pairs_of_run(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -132,7 +147,7 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
     """Pairs (a, b, frequent signature or null): keys of sets that may be similar enough, each pair at least once.
 
     A row with equal a and b says that b bears a signature of more than ``held_rows`` (``HELD``) sets, and was
-    compared with its first set only, or that it may be a copy of a set of that signature and was compared no more.
+    compared with its first set only, or that some of its pairs of that signature are left out, as it has others.
     """
     most = HELD if held_rows is None else held_rows
     names = [f.name for f in postings.schema.fields]
@@ -190,9 +205,9 @@ def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None =
                 few = np.repeat((sizes > 1) & (sizes <= most), sizes)
                 dense = np.zeros(0, np.int64)
                 if few.any():
-                    found_pairs, dense = pairs_of_runs({k: v[few] for k, v in done.items()}, threshold)
-                    for pairs in found_pairs:
-                        yield out(*pairs)
+                    pairs, left, dense = pairs_of_runs({k: v[few] for k, v in done.items()}, threshold, THIN if held_rows is None else None)
+                    yield out(*pairs)
+                    yield out(left["key"], left["key"], left["signature"])
                 for i in np.flatnonzero((sizes > most) | np.isin(done["signature"][begins], dense)):
                     run = {k: v[begins[i] : begins[i] + sizes[i]] for k, v in done.items()}
                     if sizes[i] > most:
@@ -324,30 +339,33 @@ def marked(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return packed[at >> np.uint64(3)] & bit_of(at) > 0
 
 
-def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
+def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried: str | None = None) -> DataFrame:
     """The pairs (a, b) whose sets may reach the threshold by their sizes and parity bits.
 
-    ``bits``: one row of key, size and parity (binary) for each set.
+    ``bits``: one row of key, size and parity (binary) for each set. Its column ``carried`` is added for both sets, as ``..._a``, ``..._b``.
     """
     num, den = threshold.numerator, threshold.denominator
+    more = [] if carried is None else [carried]
+    added = [f"{c}_{k}" for c in more for k in "ab"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
             u, v = (batch.column(i).to_pylist() for i in (4, 5))
             apart = np.empty(len(m), np.int64)
-            usual = np.array([len(x) == len(y) == 64 for x, y in zip(u, v, strict=True)], bool)
-            at = np.flatnonzero(usual)
-            x, y = (np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), 8) for w in (u, v))
-            apart[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) if len(at) else 0
-            for i in np.flatnonzero(~usual):
-                apart[i] = hashing.differing_bits(u[i], v[i])
+            words = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(u, v, strict=True)], np.int64).reshape(-1, 2)
+            for one, two in np.unique(words, axis=0).tolist():
+                at = np.flatnonzero((words == (one, two)).all(axis=1))
+                few = min(one, two)
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([w[i] for i in at]), np.uint64).reshape(len(at), -1, few), axis=1) for w in (u, v))
+                apart[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             good = apart <= m + n - 2 * -(-(m + n) * num // (num + den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[6:]], ["a", "b", *added]).filter(pa.array(good))
 
-    one, two = (bits.select(F.col("key").alias(k), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b")
-    return joined.mapInArrow(compare, "a long, b long")
+    one, two = (bits.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ["size", "parity", *more])) for k in "ab")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b", *added)
+    types = "".join(f", {c}_{k} {bits.schema[c].dataType.simpleString()}" for c in more for k in "ab")
+    return joined.mapInArrow(compare, f"a long, b long{types}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:

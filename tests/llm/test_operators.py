@@ -596,7 +596,7 @@ def test_tasks_leave_their_encoder_to_later_tasks(spark, tmp_path, module):
 
 
 def test_runs_are_compared_by_size_and_parity_first(monkeypatch):
-    """All possible pairs of the runs come out once; a large run of copies is named instead; few pairs are compared in full."""
+    """All possible pairs of the runs come out, few are compared in full; a large run of copies is named instead."""
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**62), 2**62, 40)
     rows = {"signature": np.sort(rng.integers(0, 4, 600)), "key": rng.integers(0, 500, 600), "size": rng.integers(5, 60, 600), "position": rng.integers(0, 5, 600), "place": np.zeros(600, np.int64)}
@@ -606,17 +606,24 @@ def test_runs_are_compared_by_size_and_parity_first(monkeypatch):
     possible = set_join.possible
     monkeypatch.setattr(set_join, "possible", lambda a, b, t: full.append(len(a["key"])) or possible(a, b, t))
     monkeypatch.setattr(set_join, "RUN", 10_000)
-    pairs, dense = set_join.pairs_of_runs(rows, threshold)
-    got = sorted(tuple(sorted(p)) for one, two in pairs for p in zip(one.tolist(), two.tolist(), strict=True))
-    want = []
+    pairs, left, dense = set_join.pairs_of_runs(rows, threshold)
+    got = sorted(tuple(sorted(p)) for p in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True))
+    want, bears = [], {}
     for s in range(4):
         own = {int(k): {n: v[[i]] for n, v in rows.items()} for i, k in enumerate(rows["key"]) if rows["signature"][i] == s}
         want += [(a, b) for a in own for b in own if a < b and possible(own[a], own[b], threshold)[0]]
-    assert got == sorted(want) and want and not len(dense)
-    assert sum(full) < 20_000  # of about 40,000 pairs of a signature
+        bears[s] = own
+    assert got == sorted(want) and want and not len(dense) and not len(left["key"])
+    assert sum(full) < 20_000  # of about 40,000 pairs of four signatures
+    # thinned out: a pair is given, or both its rows are
+    few, left, dense = set_join.pairs_of_runs(rows, threshold, 16)
+    few = set(map(tuple, map(sorted, zip(few[0].tolist(), few[1].tolist(), strict=True))))
+    open_ = set(zip(left["signature"].tolist(), left["key"].tolist(), strict=True))
+    assert all(pair in few or any({(s, pair[0]), (s, pair[1])} <= open_ for s in range(4)) for pair in want)
+    assert len(few) < len(want) and not len(dense)
     same = {k: np.full(300, v[0]) for k, v in rows.items()} | {"key": np.arange(300)}
     monkeypatch.setattr(set_join, "RUN", 128)
-    assert set_join.pairs_of_runs(same, threshold)[1].tolist() == [rows["signature"][0]]
+    assert set_join.pairs_of_runs(same, threshold)[2].tolist() == [rows["signature"][0]]
 
 
 def test_lines_are_compared_with_one_earlier_line_first(spark, monkeypatch):
@@ -634,3 +641,14 @@ def test_lines_are_compared_with_one_earlier_line_first(spark, monkeypatch):
     got = sorted(tuple(r) for r in line_dedup.remove_similar_lines(table(spark, rows)).collect())
     assert got == brute.without_similar_lines(rows)
     assert sum(compared) < 3 * len(rows)
+
+
+def test_close_pairs_fold_parity_bits_and_carry_columns(spark):
+    rng = np.random.default_rng(3)
+    bits = {k: rng.integers(0, 2**63, 2 ** int(rng.integers(1, 5)), dtype=np.uint64) for k in range(12)}
+    rows = [(k, 30 + 15 * k, v.tobytes(), f"p{k}") for k, v in bits.items()]
+    pairs = [(a, b) for a in bits for b in bits if a < b]
+    got = set_join.close_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "key long, size int, parity binary, place string"), Fraction(2, 5), "place")
+    near = lambda a, b: set_join.hashing.differing_bits(rows[a][2], rows[b][2]) <= (n := rows[a][1] + rows[b][1]) - 2 * math.ceil(Fraction(2 * n, 7))
+    want = [(a, b, f"p{a}", f"p{b}") for a, b in pairs if near(a, b)]
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < len(pairs)
