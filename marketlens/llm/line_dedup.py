@@ -107,11 +107,6 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
     return docs.select("place", "text").mapInArrow(sign, set_join.POSTINGS)
 
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    """Keys of the lines of the pairs (a, b), each side folded before it meets the other: no row for every pair."""
-    return pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
-
-
 def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataFrame:
     """place, hash and line of every line that goes; ``docs`` has place, text and its hash."""
     both = written(profiles(docs, min_words), "line-profiles")
@@ -137,7 +132,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
         ends = [F.when(swapped, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("b", "a", "a"), ("a", "b", "b"))]
         pairs = close.select(*ends, F.least("first_a", "first_b").alias("first"))
         pairs = written(pairs, "line-pairs")
-        keys = written(ends_of(pairs), "line-keys")
+        keys = written(set_join.ends_of(pairs), "line-keys")
         wanted = set_join.key_filter(keys, "key")
         none = np.zeros(SLOTS, np.uint8)
         texts = broadcast_if_small(written(first.join(keys, "key", "left_semi").select("first.place").distinct(), "line-places"))
@@ -150,7 +145,7 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
         rest = written(rest.select("a", "b"), "line-pairs")
         if rest.isEmpty():
             return settled
-        ends = broadcast_if_small(written(ends_of(rest), "line-keys"))
+        ends = broadcast_if_small(written(set_join.ends_of(rest), "line-keys"))
         return settled.union(similar(rest, tokens.join(ends, "key", "left_semi")))
 
     gone = written(later(pairs), "line-removed")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import hashing, set_join
 from marketlens.llm.components import components
-from marketlens.llm.storage import added_up, broadcast_if_small, sliced, written
+from marketlens.llm.storage import BROADCAST_ROWS, added_up, broadcast_if_small, sliced, written
 
 #: Least and most counters for the frequency of tokens, powers of two; and how many a document gets.
 SLOTS, MOST_SLOTS, SLOTS_EACH = 1 << 18, 1 << 22, 4
@@ -159,8 +159,11 @@ def postings(docs: DataFrame, words: int, threshold: Fraction, rank: np.ndarray,
 
 
 def open_bearers(bearers: DataFrame, roots: DataFrame) -> DataFrame:
-    """signature, key and root of the sets whose signature occurs in several groups."""
-    grouped = bearers.join(roots, "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root"))
+    """signature, key and root of the sets whose signature occurs in several groups. ``bearers``: signature, key.
+
+    A signature of one group stays so, so the rows of one round serve the next.
+    """
+    grouped = written(bearers.join(roots, "key", "left").select("signature", "key", F.coalesce("root", "key").alias("root")), "ngram-bearers")
     spread = grouped.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return written(grouped.join(spread.select("signature"), "signature", "left_semi"), "ngram-bearers")
 
@@ -170,7 +173,9 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     slots = slots_for(docs.count())
     both = written(profiles(docs, words, slots), "ngram-profiles")
     documents = both.where("slice is null").select("doc_id", "text_hash", "size", "key", "parity")
-    sizes = documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"))
+    # of every set its size, parity bits and one document
+    one = F.min(F.struct("doc_id", "text_hash")).alias("text")
+    sizes = written(documents.where("key is not null").groupBy("key").agg(F.any_value("size").alias("size"), F.first("parity").alias("parity"), one), "ngram-sets")
     counts = added_up(both.where("slice is not null").select("slice", "counts"), slots)
     rank = ranks_of(counts)
     # rare tokens alone would scatter the counters around the mean by its root
@@ -179,11 +184,17 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     pairs = found.where("frequent is null").select("a", "b")
 
     def check(candidates: DataFrame) -> DataFrame:
-        candidates = written(set_join.close_pairs(candidates, sizes, threshold), "ngram-candidates")
-        keys = candidates.select(F.explode(F.array("a", "b")).alias("key"))
+        """The written pairs that link."""
+        keys = written(set_join.ends_of(candidates), "ngram-keys")
         wanted = set_join.key_filter(keys, "key")
-        sets = set_join.token_sets(docs.select("text"), lambda batch: (s for _, _, s in ngram_sets(batch.column(0), words)), wanted)
-        return written(set_join.verified(candidates, sets.join(keys.distinct(), "key", "left_semi"), threshold), "ngram-links")
+        bearing = docs
+        if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+            texts = sizes.join(keys, "key", "left_semi").select(F.col("text.doc_id").alias("id"), F.col("text.text_hash").alias("hash"))
+            same = docs["doc_id"].cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("hash"))
+            bearing = docs.join(F.broadcast(texts), same, "left_semi")
+        sets = set_join.token_sets(bearing.select("text"), lambda batch: (s for _, _, s in ngram_sets(batch.column(0), words)), wanted)
+        return written(set_join.verified(candidates, sets.join(keys, "key", "left_semi"), threshold, candidates.count()), "ngram-links")
 
     # sets with a frequent signature were compared with one set only: now with a few of them, then with more of them that
     # are in other groups, as long as that halves the number of groups, and at last with all that are in other groups still
@@ -191,21 +202,27 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     frequent_ones = not bearers.isEmpty()
     if frequent_ones:
         pairs = pairs.union(set_join.leader_pairs(bearers.withColumn("root", F.col("key")))).distinct()
-    links = check(pairs)
-    roots = components(links)
+    roots = components(check(written(set_join.close_pairs(pairs, sizes, threshold), "ngram-candidates")))
     if frequent_ones:
         rest, draw, rounds = open_bearers(bearers, roots), 0, True
         groups = rest.select("root").distinct().count()
+        if groups:
+            own = sizes.join(broadcast_if_small(written(rest.select("key").distinct(), "ngram-keys")), "key", "left_semi")
+            bits = written(set_join.folded_bits(own, PARITY_WORDS), "ngram-bits")
+            # the bits of sets of about as many tokens are not folded: close_pairs has no more of them
+            folded = own.where(F.length("parity") > 8 * PARITY_WORDS).count() > 0
         while groups:
-            wide = rest.join(set_join.folded_bits(sizes, PARITY_WORDS), "key")
             other = F.col("a.root") != F.col("b.root") if rounds else F.col("a.root") < F.col("b.root")
-            more = written(set_join.open_pairs(wide, PARITY_WORDS, threshold, other, LEADERS if rounds else None, draw), "ngram-candidates")
-            if not more.isEmpty():
-                links = links.union(check(more))
-                roots = components(links)
+            more = set_join.open_pairs(rest.join(bits, "key"), PARITY_WORDS, threshold, other, LEADERS if rounds else None, draw)
+            more = written(more, "ngram-candidates")
+            if more.count():
+                if folded:
+                    more = written(set_join.close_pairs(more, sizes, threshold), "ngram-candidates")
+                # groups are stars already
+                roots = components(check(more).union(roots.select("key", "root")))
             if not rounds:
                 break
-            before, rest, draw = groups, open_bearers(bearers, roots), draw + 1
+            before, rest, draw = groups, open_bearers(rest.select("signature", "key"), roots), draw + 1
             groups = rest.select("root").distinct().count()
             rounds = 2 * groups < before
     return documents, roots
@@ -222,7 +239,7 @@ def link_documents(docs: DataFrame, words: int = 4, threshold: Fraction = Fracti
     """
     documents, roots = similar_sets(docs, words, threshold)
     sets = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    grouped = sets.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    grouped = written(sets.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "ngram-groups")
     first = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     component = written(grouped.join(first, "root").select("key", "component_id"), "ngram-components")
     return documents.join(component, "key", "left").select(
@@ -240,7 +257,7 @@ def keep_first(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     rows = documents.where("key is not null").select("key", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash")
     place = F.struct("none", "id", "text_hash")
     sets = rows.groupBy("key").agg(F.min(place).alias("first"))
-    grouped = sets.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    grouped = written(sets.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "ngram-groups")
     stays = written(grouped.join(grouped.groupBy("root").agg(F.min("first").alias("stays")), "root").select("key", "stays"), "ngram-components")
     own = written(rows.groupBy("key", "none", "id", "text_hash").count().join(stays, "key").select("id", "text_hash", "count", (place == F.col("stays")).alias("kept")), "ngram-rows")
     keyed = docs.withColumn("text_hash of row", F.xxhash64("text"))

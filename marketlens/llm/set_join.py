@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import hashing
+from marketlens.llm.storage import few_tasks
 
 POSTINGS = "signature long, place long, key long, size int, position int, parity long"
 #: Sets of one signature whose pairs are all given, however many; and pairs for each set from which a larger run is one of copies.
@@ -368,10 +369,16 @@ def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried:
     return joined.mapInArrow(compare, f"a long, b long{types}")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """Keys of the sets of the pairs (a, b), each side folded before it meets the other: no row for every pair."""
+    return pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows: int | None = None) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, compared token by token.
 
-    ``sets``: key and tokens (binary of sorted 64-bit hashes); several rows of a key are alike.
+    ``sets``: key and tokens (binary of sorted 64-bit hashes); several rows of a key are alike. ``rows``: how many
+    pairs there are, if known, so that few are compared in few tasks.
     """
     num, den = threshold.numerator, threshold.denominator
 
@@ -388,7 +395,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     one = sets.groupBy("key").agg(F.any_value("tokens").alias("tokens"))
     left = one.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     right = one.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return (joined if rows is None else few_tasks(joined, rows)).mapInArrow(compare, "a long, b long")
 
 
 def token_sets(docs: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[hashing.Sets]], wanted: np.ndarray) -> DataFrame:

@@ -19,6 +19,7 @@ from marketlens.llm import (
     ngram_join,
     queries,
     set_join,
+    storage,
     token_counts,
     token_files,
     topk,
@@ -652,3 +653,33 @@ def test_close_pairs_fold_parity_bits_and_carry_columns(spark):
     near = lambda a, b: set_join.hashing.differing_bits(rows[a][2], rows[b][2]) <= (n := rows[a][1] + rows[b][1]) - 2 * math.ceil(Fraction(2 * n, 7))
     want = [(a, b, f"p{a}", f"p{b}") for a, b in pairs if near(a, b)]
     assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < len(pairs)
+
+
+def test_tokens_are_read_from_one_text_of_each_candidate(spark, monkeypatch):
+    """Null ids included; texts that meet no other are not read again."""
+    read = []
+    token_sets = set_join.token_sets
+    monkeypatch.setattr(set_join, "token_sets", lambda docs, *others: read.append(docs.count()) or token_sets(docs, *others))
+    near = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, near), (7, f"{near} end"), *((i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(10, 50))]
+    got = [tuple(r) for r in ngram_join.link_documents(table(spark, rows)).collect()]
+    assert sorted(got, key=str)[-1] == (None, 57, 7) and (7, 58, 7) in got and len(got) == 42
+    assert read == [2]
+
+
+def test_signatures_of_one_group_are_left_out_of_later_rounds(spark):
+    bearers = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12)], "signature long, key long")
+    roots = spark.createDataFrame([(10, 10), (11, 10)], "key long, root long")
+    rest = ngram_join.open_bearers(bearers, roots)
+    assert sorted(map(tuple, rest.collect())) == [(2, 11, 10), (2, 12, 12)]
+    joined = spark.createDataFrame([(10, 10), (11, 10), (12, 10)], "key long, root long")
+    assert ngram_join.open_bearers(rest.select("signature", "key"), joined).count() == 0
+
+
+def test_counters_take_as_many_bytes_as_their_largest_needs(spark):
+    counts = np.zeros(8 * storage.SLICE, np.int64)
+    counts[[3, storage.SLICE, 2 * storage.SLICE, 3 * storage.SLICE + 1]] = 255, 256, 1 << 16, (1 << 31) + 5
+    parts = storage.sliced(counts)
+    assert [len(x) // storage.SLICE for x in parts.column(1).to_pylist()] == [1, 2, 4, 8]
+    rows = spark.createDataFrame([(r["slice"], bytearray(r["counts"])) for r in parts.to_pylist() * 3], "slice int, counts binary")
+    assert (storage.added_up(rows, len(counts)) == 3 * counts).all()
