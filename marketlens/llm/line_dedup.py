@@ -108,26 +108,31 @@ def postings(docs: DataFrame, threshold: Fraction, min_words: int, rank: np.ndar
 
 
 def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataFrame:
-    """place, hash and line of every line that goes; ``docs`` has place, text and its hash."""
+    """place, hash and line of every line that goes, of rows alike repeatedly; ``docs`` has place, text and its hash."""
     both = written(profiles(docs, min_words), "line-profiles")
     lines = both.where("slice is null").select("place", "hash", "line", "key", "size", "parity")
     counts = added_up(both.where("slice is not null").select("slice", "counts"), SLOTS)
     # rarity in steps of a sixteenth of a power of two, 0 for words that occur once
     rank = np.minimum(255, np.rint(16 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
     first = written(
-        lines.groupBy("key").agg(F.min(F.struct("place", "hash", "line")).alias("first"), F.any_value("size").alias("size"), F.first("parity").alias("parity")),
+        lines.groupBy("key").agg(F.min(F.struct("place", "hash", "line")).alias("first"), F.any_value("size").alias("size"), F.first("parity").alias("parity"), F.count("*").alias("copies")),
         "line-sets",
     )
     found = written(set_join.candidates(postings(docs, threshold, min_words, rank), threshold).distinct(), "line-candidates")
     pairs = found.where("frequent is null").select("a", "b")
 
+    def of_keys(keys: DataFrame) -> DataFrame:
+        """Those of the sets, written: the table of all sets is read for them, and shuffled once at most."""
+        return written(first.join(broadcast_if_small(written(keys, "line-keys")), "key", "left_semi"), "line-ends")
+
     def similar(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
-        """Keys of the later lines of the pairs (a, b), b the later one, that are similar."""
-        return set_join.verified(candidates.select("a", "b"), tokens, threshold).select(F.col("b").alias("key")).distinct()
+        """Keys of the later lines of the written pairs (a, b), b the later one, that are similar."""
+        return set_join.verified(candidates.select("a", "b"), tokens, threshold, candidates.count()).select(F.col("b").alias("key")).distinct()
 
     def later(candidates: DataFrame) -> DataFrame:
         """Keys of the lines that are similar to an earlier one: to the first that they may be similar to, or else to any other."""
-        close = set_join.close_pairs(candidates, first, threshold, "first")
+        own = of_keys(set_join.ends_of(candidates))
+        close = set_join.close_pairs(candidates, own, threshold, "first", candidates.count())
         swapped = F.col("first_a") > F.col("first_b")
         ends = [F.when(swapped, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("b", "a", "a"), ("a", "b", "b"))]
         pairs = close.select(*ends, F.least("first_a", "first_b").alias("first"))
@@ -135,11 +140,11 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
         keys = written(set_join.ends_of(pairs), "line-keys")
         wanted = set_join.key_filter(keys, "key")
         none = np.zeros(SLOTS, np.uint8)
-        texts = broadcast_if_small(written(first.join(keys, "key", "left_semi").select("first.place").distinct(), "line-places"))
+        texts = broadcast_if_small(written(own.join(keys, "key", "left_semi").select("first.place").distinct(), "line-places"))
         bearing = docs.join(texts, "place", "left_semi") if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else docs
         found = set_join.token_sets(bearing.select("text"), lambda batch: (s for _, _, s in line_sets(batch.column(0), none)), wanted)
         tokens = written(found.join(keys, "key", "left_semi"), "line-tokens")
-        tried = pairs.groupBy("b").agg(F.min_by("a", F.struct("first", "a")).alias("a"))
+        tried = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("first", "a")).alias("a")), "line-pairs")
         settled = written(similar(tried, tokens), "line-similar")
         rest = pairs.join(settled.withColumnRenamed("key", "b"), "b", "left_anti").join(tried, ["a", "b"], "left_anti")
         rest = written(rest.select("a", "b"), "line-pairs")
@@ -151,18 +156,19 @@ def removed_lines(docs: DataFrame, threshold: Fraction, min_words: int) -> DataF
     gone = written(later(pairs), "line-removed")
     # lines with a frequent signature were compared with one line only: those that stay, with all earlier ones
     bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
-    rest = bearers.join(first, "key").join(gone.withColumn("gone", F.lit(True)), "key", "left")
+    rest = bearers.join(of_keys(bearers.select("key").distinct()), "key").join(gone.withColumn("gone", F.lit(True)), "key", "left")
     open_ = rest.where("gone is null").select("signature").distinct()
     rest = written(rest.join(open_, "signature", "left_semi"), "line-bearers")
     if not rest.isEmpty():
-        bits = written(set_join.folded_bits(first.join(rest.select("key").distinct(), "key", "left_semi"), PARITY_WORDS), "line-bits")
+        bits = written(set_join.folded_bits(rest.dropDuplicates(["key"]), PARITY_WORDS), "line-bits")
         wide = written(rest.drop("size", "parity").join(bits, "key"), "line-bearers")
         more = set_join.open_pairs(wide, PARITY_WORDS, threshold, F.col("b.gone").isNull() & (F.col("a.first") < F.col("b.first")))
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "line-candidates")
         gone = gone.union(later(more))
-    firsts = first.join(gone, "key", "left_anti").select("key", "first")
+    # a line that occurs once and is similar to no earlier one stays, without a look at it
+    marks = first.join(broadcast_if_small(written(gone.withColumn("gone", F.lit(True)), "line-removed")), "key", "left").where("gone or copies > 1")
     kept = F.struct("place", "hash", "line") == F.col("first")
-    return lines.join(firsts, "key", "left").where(~F.coalesce(kept, F.lit(False))).select("place", "hash", "line").distinct()
+    return lines.join(marks.select("key", "first", "gone"), "key").where(F.col("gone").isNotNull() | ~kept).select("place", "hash", "line")
 
 
 def remove_similar_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), min_words: int = 5) -> DataFrame:
@@ -175,7 +181,7 @@ def remove_similar_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5),
     """
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     placed = docs.select(F.col("doc_id").cast("long"), "text", place.alias("place"), F.xxhash64("text").alias("hash"))
-    gone = removed_lines(placed, threshold, min_words).groupBy("place", "hash").agg(F.collect_list("line").alias("gone"))
+    gone = removed_lines(placed, threshold, min_words).groupBy("place", "hash").agg(F.collect_set("line").alias("gone"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -201,8 +201,8 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
     bearers = found.where("frequent is not null").select(F.col("frequent").alias("signature"), F.col("a").alias("key"))
     frequent_ones = not bearers.isEmpty()
     if frequent_ones:
-        pairs = pairs.union(set_join.leader_pairs(bearers.withColumn("root", F.col("key")))).distinct()
-    roots = components(check(written(set_join.close_pairs(pairs, sizes, threshold), "ngram-candidates")))
+        pairs = written(pairs.union(set_join.leader_pairs(bearers.withColumn("root", F.col("key")))).distinct(), "ngram-candidates")
+    roots = components(check(written(set_join.close_pairs(pairs, sizes, threshold, rows=pairs.count()), "ngram-candidates")))
     if frequent_ones:
         rest, draw, rounds = open_bearers(bearers, roots), 0, True
         groups = rest.select("root").distinct().count()
@@ -217,7 +217,7 @@ def similar_sets(docs: DataFrame, words: int, threshold: Fraction) -> tuple[Data
             more = written(more, "ngram-candidates")
             if more.count():
                 if folded:
-                    more = written(set_join.close_pairs(more, sizes, threshold), "ngram-candidates")
+                    more = written(set_join.close_pairs(more, sizes, threshold, rows=more.count()), "ngram-candidates")
                 # groups are stars already
                 roots = components(check(more).union(roots.select("key", "root")))
             if not rounds:

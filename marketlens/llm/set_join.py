@@ -6,7 +6,7 @@ to that. Postings are dealt by signature and sorted, so that each signature is a
 a task reads as a stream and of which it compares at most ``held`` rows with each other:
 
 * the pairs of a signature of up to ``held`` sets are all compared, by size, parity and position; if these
-  are many and ``held`` is not given, a set keeps a few of them;
+  are many, a set keeps one with a leader, or a few if ``held`` is not given;
 * the sets of a more frequent signature are compared with one set only, the first of those at hand. Whatever that leaves
   open is found by ``open_pairs``: a join on the signature of the sets that are not settled yet,
   which gives a pair once, at the first signature that both bear.
@@ -118,30 +118,22 @@ def pairs_of_runs(rows: dict[str, np.ndarray], threshold: Fraction, thin: int |
 
 
 def pairs_of_run(rows: dict[str, np.ndarray], threshold: Fraction) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Possible pairs of one run of up to HELD rows, and which rows may be copies of one row and were not compared."""
+    """Pairs of one run of up to HELD rows with the first of LEADERS rows that they may be copies of; and rows of pairs that are not given.
+
+    A run of many pairs is not compared pair by pair: no more pairs than rows come out, all other pairs are left
+    to ``open_pairs``, which compares what is not settled by then.
+    """
     n = len(rows["key"])
-    group = np.full(n, -1)
+    free = np.arange(n)
     pairs = []
-
-    def against(i: int, others: np.ndarray) -> np.ndarray:
-        one = {k: np.full(len(others), v[i]) for k, v in rows.items()}
-        return others[possible(one, {k: v[others] for k, v in rows.items()}, threshold)]
-
     for _ in range(LEADERS):
-        free = np.flatnonzero(group < 0)
-        if not len(free):
+        if len(free) < 2:
             break
-        copies = against(free[0], free[1:])
-        group[free[0]] = free[0]
-        group[copies] = free[0]
-        pairs.append((np.full(len(copies), rows["key"][free[0]]), rows["key"][copies]))
-    group = np.where(group < 0, np.arange(n), group)
-    for i in range(n - 1):
-        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-        near = against(i, others)
-        if len(near):
-            pairs.append((np.full(len(near), rows["key"][i]), rows["key"][near]))
-    return pairs, np.bincount(group, minlength=n)[group] > 2
+        one, others = free[0], free[1:]
+        copies = possible({k: np.full(len(others), v[one]) for k, v in rows.items()}, {k: v[others] for k, v in rows.items()}, threshold)
+        pairs.append((np.full(int(copies.sum()), rows["key"][one]), rows["key"][others[copies]]))
+        free = others[~copies]
+    return pairs, np.full(n, n > 2)
 
 
 def candidates(postings: DataFrame, threshold: Fraction, held_rows: int | None = None) -> DataFrame:
@@ -340,10 +332,11 @@ def marked(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return packed[at >> np.uint64(3)] & bit_of(at) > 0
 
 
-def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried: str | None = None) -> DataFrame:
+def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried: str | None = None, rows: int | None = None) -> DataFrame:
     """The pairs (a, b) whose sets may reach the threshold by their sizes and parity bits.
 
     ``bits``: one row of key, size and parity (binary) for each set. Its column ``carried`` is added for both sets, as ``..._a``, ``..._b``.
+    ``rows``: how many pairs there are, if known.
     """
     num, den = threshold.numerator, threshold.denominator
     more = [] if carried is None else [carried]
@@ -366,7 +359,7 @@ def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried:
     one, two = (bits.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ["size", "parity", *more])) for k in "ab")
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "parity_a", "parity_b", *added)
     types = "".join(f", {c}_{k} {bits.schema[c].dataType.simpleString()}" for c in more for k in "ab")
-    return joined.mapInArrow(compare, f"a long, b long{types}")
+    return (joined if rows is None else few_tasks(joined, rows)).mapInArrow(compare, f"a long, b long{types}")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:

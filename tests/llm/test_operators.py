@@ -683,3 +683,20 @@ def test_counters_take_as_many_bytes_as_their_largest_needs(spark):
     assert [len(x) // storage.SLICE for x in parts.column(1).to_pylist()] == [1, 2, 4, 8]
     rows = spark.createDataFrame([(r["slice"], bytearray(r["counts"])) for r in parts.to_pylist() * 3], "slice int, counts binary")
     assert (storage.added_up(rows, len(counts)) == 3 * counts).all()
+
+
+def test_a_dense_run_gives_no_more_pairs_than_rows(spark):
+    """Sets of one signature in many overlapping groups: a pair is given, or left open at the signature of both."""
+    rng, n, threshold = np.random.default_rng(2), 600, Fraction(4, 5)
+    bits = [sum(1 << int(b) for b in rng.choice(60, 5, replace=False)) for _ in range(n)]
+    rows = [(1, i, i, 30, 0, bits[i]) for i in range(n)]
+    found = [tuple(r) for r in set_join.candidates(spark.createDataFrame(rows, set_join.POSTINGS).coalesce(1), threshold).collect()]
+    columns = {k: np.array(v) for k, v in zip(("signature", "place", "key", "size", "position", "parity"), zip(*rows, strict=True), strict=True)}
+    want = set()
+    for i in range(n):
+        near = set_join.possible({k: np.full(n, v[i]) for k, v in columns.items()}, columns, threshold)
+        want |= {(i, int(j)) for j in np.flatnonzero(near) if i < j}
+    given, open_ = {x[:2] for x in found if x[2] is None}, {x[0] for x in found if x[2] is not None}
+    assert len(want) > set_join.DENSE * n and given <= want
+    assert all(pair in given or set(pair) <= open_ for pair in want)
+    assert len(found) <= 2 * n
