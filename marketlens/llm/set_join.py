@@ -363,8 +363,10 @@ def close_pairs(pairs: DataFrame, bits: DataFrame, threshold: Fraction, carried:
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
-    """Keys of the sets of the pairs (a, b), each side folded before it meets the other: no row for every pair."""
-    return pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct()
+    """Keys of the sets of the written pairs (a, b), each side folded before it meets the other: no row for every pair."""
+    rows = pairs.count()
+    one, two = (few_tasks(pairs.select(F.col(x).alias("key")).distinct(), rows) for x in "ab")
+    return few_tasks(one.union(two).distinct(), rows)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction, rows: int | None = None) -> DataFrame:
